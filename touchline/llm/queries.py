@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from touchline.llm.encode import encode_corpus
+from touchline.llm.leaks import find_leaks
+from touchline.llm.pieces import oversized, split_oversized
+from touchline.llm.unify import find_inconsistent
 from touchline.plans.registry import Registry
 from touchline.sources.tables import table
 
@@ -14,3 +17,27 @@ registry = Registry()
 @registry.add("p8_ids")
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode_corpus(table(spark, folder, "documents", ["doc_id", "text"]))
+
+
+@registry.add("p6_found")
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    players = find_inconsistent(table(spark, folder, "players", ["row_id", "display_name"]), "row_id", "display_name", "players")
+    teams = find_inconsistent(table(spark, folder, "teams", ["team_code", "team_name"]), "team_code", "team_name", "teams")
+    return players.unionByName(teams)
+
+
+@registry.add("p9_found")
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents", ["doc_id", "text"])
+    items = table(spark, folder, "eval_items", ["item_id", "passage"])
+    return find_leaks(docs, items).select("doc_id", "item_id")
+
+
+@registry.add("p10_found")
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return oversized(split_oversized(table(spark, folder, "documents", ["doc_id", "text"])))
+
+
+@registry.add("p10_pieces")
+def p10_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return split_oversized(table(spark, folder, "documents", ["doc_id", "text"]))
