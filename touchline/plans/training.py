@@ -2,8 +2,69 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from touchline.operators.history import attribute_history
+from touchline.operators.markets import market_nodes, markets, named_teams, ranges
 from touchline.plans.registry import Registry
+from touchline.sources.tables import table
+
+
+def _history(spark: SparkSession, folder: str) -> DataFrame:
+    columns = ["player_id", "last_updated_at", "loaded_at", "row_id", "current_club", "is_active"]
+    return attribute_history(table(spark, folder, "players", columns), "player_id", "last_updated_at", ["current_club", "is_active"], ["loaded_at", "row_id"])
+
+
+def _nodes(spark: SparkSession, folder: str) -> DataFrame:
+    return market_nodes(table(spark, folder, "kxfifaadvance_markets", ["pull_id", "payload"]))
 
 
 def register(registry: Registry) -> None:
     """Add the queries to ``registry``."""
+
+    @registry.add("p2_found", P2_SQL)
+    def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+        return _history(spark, folder).select("player_id", F.date_format("valid_from", "yyyy-MM-dd").alias("valid_from"))
+
+    @registry.add("p2_history")
+    def p2_history(spark: SparkSession, folder: str) -> DataFrame:
+        return _history(spark, folder)
+
+    @registry.add("p4_found")
+    def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+        return named_teams(_nodes(spark, folder)).select("event_ticker", "ticker", "soccer_team").distinct()
+
+    @registry.add("p4_markets")
+    def p4_markets(spark: SparkSession, folder: str) -> DataFrame:
+        return markets(_nodes(spark, folder))
+
+    @registry.add("p4_ranges")
+    def p4_ranges(spark: SparkSession, folder: str) -> DataFrame:
+        return ranges(_nodes(spark, folder))
+
+
+P2_SQL = """
+WITH day AS (
+  SELECT player_id, last_updated_at AS d, current_club, is_active,
+         row_number() OVER (PARTITION BY player_id, last_updated_at ORDER BY loaded_at DESC, row_id DESC) AS rn
+  FROM players WHERE player_id IS NOT NULL AND last_updated_at IS NOT NULL
+), clean AS (
+  SELECT player_id, d, nullif(lower(trim(regexp_replace(current_club, '\\s+', ' ', 'g'))), '') AS c, is_active AS a
+  FROM day WHERE rn = 1
+), filled AS (
+  SELECT player_id, d,
+         coalesce(last_value(c IGNORE NULLS) OVER w, first_value(c IGNORE NULLS) OVER v) AS c,
+         coalesce(last_value(a IGNORE NULLS) OVER w, first_value(a IGNORE NULLS) OVER v) AS a
+  FROM clean
+  WINDOW w AS (PARTITION BY player_id ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+         v AS (PARTITION BY player_id ORDER BY d ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+), marked AS (
+  SELECT player_id, d, c, a,
+         lag(c) OVER (PARTITION BY player_id ORDER BY d) AS pc,
+         lag(a) OVER (PARTITION BY player_id ORDER BY d) AS pa,
+         row_number() OVER (PARTITION BY player_id ORDER BY d) AS n
+  FROM filled
+)
+SELECT player_id, strftime(d, '%Y-%m-%d') AS valid_from
+FROM marked WHERE n = 1 OR c IS DISTINCT FROM pc OR a IS DISTINCT FROM pa
+"""
