@@ -43,7 +43,7 @@ def ranges(nodes: DataFrame) -> DataFrame:
 def named_teams(nodes: DataFrame) -> DataFrame:
     """``event_ticker, ticker, yes_sub_title, soccer_team``: every market with each
     team that it names, or with the empty string if it names none."""
-    teams = nodes_of(nodes, KEYS, "team", {"name": "name"})
+    teams = nodes_of(nodes, KEYS, "team", {"name": "name"}, records=False)
     teams = teams.withColumn("soccer_team", F.coalesce("name", "text")).where(F.col("soccer_team").isNotNull()).drop("name", "text")
     flat = markets(nodes)
     parents = flat.select(*KEYS, "doc", "pre", "post", F.lit(None).alias("text"))

@@ -135,14 +135,17 @@ def label_nodes(df: DataFrame, keys: Sequence[str], payload: str, kinds: Mapping
     return base.mapInArrow(run, schema)
 
 
-def nodes_of(nodes: DataFrame, keys: Sequence[str], kind: str, fields: Mapping[str, str]) -> DataFrame:
+def nodes_of(nodes: DataFrame, keys: Sequence[str], kind: str, fields: Mapping[str, str], records: bool = True) -> DataFrame:
     """The flat table of one kind; ``fields`` maps its columns to record fields.
 
+    With ``records``, a null or a scalar where a record should be is no node.
+
     Distinct: copies of a record meet here as a few flat columns, combined on
     the map side first, so a hot group of copies costs nothing.
     """
+    wanted = F.col("kind") == kind
     return (
-        nodes.where(F.col("kind") == kind)
+        nodes.where(wanted & (F.size("fields") > 0) if records else wanted)
         .select(*keys, "doc", "pre", "post", "text", *[F.col("fields")[f].alias(c) for c, f in fields.items()])
         .distinct()
     )
