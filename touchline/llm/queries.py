@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from touchline.llm.canon import market_teams, team_matches
 from touchline.llm.encode import encode_corpus
 from touchline.llm.leaks import find_leaks
 from touchline.llm.pieces import oversized, split_oversized
+from touchline.llm.ranking import rank_teams
 from touchline.llm.unify import find_inconsistent
+from touchline.operators.markets import market_nodes, named_teams
 from touchline.plans.registry import Registry
 from touchline.sources.tables import table
 
@@ -41,3 +44,34 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
 @registry.add("p10_pieces")
 def p10_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return split_oversized(table(spark, folder, "documents", ["doc_id", "text"]))
+
+
+def _team_lists(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    return table(spark, folder, "teams", ["team_code", "team_name", "iso2_code"]), table(spark, folder, "team_aliases", ["alias", "team_code"])
+
+
+@registry.add("p1_ranking")
+def p1_ranking(spark: SparkSession, folder: str) -> DataFrame:
+    columns = ["match_no", "match_date", "match", "score", "actual", "loaded_at"]
+    return rank_teams(table(spark, folder, "match_results", columns), *_team_lists(spark, folder)).withColumnRenamed("item", "team_code")
+
+
+@registry.add("p1_found")
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p1_ranking(spark, folder).where("rank <= 12").select("team_code")
+
+
+@registry.add("p5_found")
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    teams, aliases = _team_lists(spark, folder)
+    snaps = table(spark, folder, "polymarket_snapshot", ["snap_id", "outcome"]).where(F.length(F.trim("outcome")) > 0)
+    codes = team_matches(snaps, "outcome", teams, aliases)
+    typed = snaps.join(codes, snaps["outcome"] == codes["typed"]).select(
+        F.lit("polymarket_snapshot").alias("origin"), F.col("snap_id").cast("string").alias("rec_key"), "typed", F.col("code").alias("team_code")
+    )
+    nodes = market_nodes(table(spark, folder, "kxfifaadvance_markets", ["pull_id", "payload"]))
+    named = named_teams(nodes).select("ticker", "yes_sub_title", "soccer_team").distinct()
+    markets = market_teams(named, teams, aliases).select(
+        F.lit("kxfifaadvance_markets").alias("origin"), "rec_key", "typed", F.col("code").alias("team_code")
+    )
+    return typed.unionByName(markets).distinct()
