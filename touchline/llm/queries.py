@@ -10,6 +10,7 @@ from touchline.llm.leaks import find_leaks
 from touchline.llm.pieces import oversized, split_oversized
 from touchline.llm.ranking import rank_teams
 from touchline.llm.unify import find_inconsistent
+from touchline.llm.variants import same_people
 from touchline.operators.markets import market_nodes, named_teams
 from touchline.plans.registry import Registry
 from touchline.sources.tables import table
@@ -75,3 +76,10 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
         F.lit("kxfifaadvance_markets").alias("origin"), "rec_key", "typed", F.col("code").alias("team_code")
     )
     return typed.unionByName(markets).distinct()
+
+
+@registry.add("p7_found")
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    columns = ["player_id", "display_name", "normalized_name", "statsbomb_name", "understat_name", "birth_date", "birth_year"]
+    columns += ["country_code", "position", "current_club", "understat_id", "espn_player_id"]
+    return same_people(table(spark, folder, "players", columns))
