@@ -94,7 +94,7 @@ def channel(variant: list[str], canon: list[str], rarity: dict[str, float]) -> f
     for w in list(rest_v) if surest >= FAMILY else ():
         # beside a family name, a shortened or respelled first name still shares
         # its beginning or its end
-        partner = next((c for c in rest_c if (c[:2] == w[:2] or c[-3:] == w[-3:]) and min(len(c), len(w)) >= 3), None)
+        partner = next((c for c in rest_c if (c[:3] == w[:3] or c[-4:] == w[-4:]) and min(len(c), len(w)) >= 3), None)
         if partner is not None:
             rest_v.remove(w)
             rest_c.remove(partner)
