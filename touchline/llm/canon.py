@@ -172,9 +172,9 @@ class Matcher:
                 short.setdefault(text.casefold(), code)
         return cls(table, short, BKTree.of(table))
 
-    def match(self, typed: str | None) -> tuple[str, int, str]:
+    def match(self, typed: str | None, near: bool = True) -> tuple[str, int, str]:
         """``(code, distance, how)``; the code is UNMATCHED where nothing, or
-        more than one thing, is meant."""
+        more than one thing, is meant. Without ``near`` the tree isn't searched."""
         if typed is None or not unify(typed):
             return UNMATCHED, -1, "blank"
         folded = fold_name(typed)
@@ -197,7 +197,7 @@ class Matcher:
                     if len(meant) == 1:
                         return meant.pop(), 0, "shortened"
         best: dict[str, int] = {}
-        for key in keys:
+        for key in keys if near else ():
             for d, name in self.tree.within(key, threshold_of(key)):
                 code = self.names[name]
                 best[code] = min(d, best.get(code, 99))
@@ -219,6 +219,7 @@ def match_values(
     names: DataFrame,
     codes: DataFrame,
     max_broadcast: int = MAX_BROADCAST,
+    near: bool = True,
 ) -> DataFrame:
     """``typed, code, distance, how`` for each distinct non-blank value.
 
@@ -241,7 +242,7 @@ def match_values(
             matcher = shared.value
             for batch in batches:
                 texts = batch.column(0).to_pylist()
-                found = [matcher.match(t) for t in texts]
+                found = [matcher.match(t, near) for t in texts]
                 keep = [i for i, f in enumerate(found) if f[2] != "blank"]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -264,7 +265,7 @@ def match_values(
     def one(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         pairs = lambda kind: [(t, c) for k, t, c in zip(right["kind"], right["text"], right["code"]) if k == kind]
         matcher = Matcher.of(pairs("name"), pairs("code"))
-        found = [(t, *matcher.match(t)) for t in left["typed"]]
+        found = [(t, *matcher.match(t, near)) for t in left["typed"]]
         return pd.DataFrame([f for f in found if f[3] != "blank"], columns=["typed", "code", "distance", "how"])
 
     results = visits.groupBy("shard", "part").cogroup(spread.groupBy("shard", "part")).applyInPandas(one, schema)
@@ -284,11 +285,11 @@ def match_values(
     )
 
 
-def team_matches(values: DataFrame, typed: str, teams: DataFrame, aliases: DataFrame) -> DataFrame:
+def team_matches(values: DataFrame, typed: str, teams: DataFrame, aliases: DataFrame, near: bool = True) -> DataFrame:
     """:func:`match_values` against teams with their names, aliases and codes."""
     names = teams.select("team_name", "team_code").union(aliases.select("alias", "team_code"))
     codes = teams.select("team_code", F.col("team_code").alias("code")).union(teams.select("iso2_code", "team_code")).where("team_code is not null")
-    return match_values(values, typed, names.dropna(), codes.dropna())
+    return match_values(values, typed, names.dropna(), codes.dropna(), near=near)
 
 
 #: Fixed value: how an id is written where a name is meant.

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from touchline.llm.canon import market_teams, team_matches
 from touchline.llm.encode import encode_corpus
 from touchline.llm.leaks import find_leaks
+from touchline.llm.linkage import link_appearances
 from touchline.llm.pieces import oversized, split_oversized
 from touchline.llm.ranking import rank_teams
 from touchline.llm.unify import find_inconsistent
@@ -83,3 +84,19 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     columns = ["player_id", "display_name", "normalized_name", "statsbomb_name", "understat_name", "birth_date", "birth_year"]
     columns += ["country_code", "position", "current_club", "understat_id", "espn_player_id"]
     return same_people(table(spark, folder, "players", columns))
+
+
+def _links(spark: SparkSession, folder: str) -> DataFrame:
+    seen = ["roster_id", "player_name", "nation", "team_title", "position", "match_date", "loaded_at"]
+    known = ["player_id", "display_name", "normalized_name", "statsbomb_name", "understat_name", "country_code", "position", "current_club", "last_updated_at"]
+    return link_appearances(table(spark, folder, "player_matches", seen), table(spark, folder, "players", known), *_team_lists(spark, folder))
+
+
+@registry.add("p3_found")
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _links(spark, folder).select("roster_id", "player_id")
+
+
+@registry.add("p3_links")
+def p3_links(spark: SparkSession, folder: str) -> DataFrame:
+    return _links(spark, folder)

@@ -35,6 +35,7 @@ PRIOR = -9.0
 THRESHOLD = 0.0
 #: Smallest and largest log ratio of one agreeing word, by its frequency.
 WORD_LOW, WORD_HIGH = 1.0, 7.5
+_VOWELS = str.maketrans("", "", "aeiouyw")
 #: A word this rare is a family name, not a first name.
 FAMILY = 5.5
 TYPO, INITIAL, LEFT_OUT, CLASH = 1.6, 3.5, 0.4, 7.0
@@ -52,6 +53,12 @@ def typos(a: str, b: str) -> int:
     return d if d <= allowed else 9
 
 
+def _skeleton(word: str) -> str:
+    """Consonants of a word, which spellings of a first name in several
+    languages mostly share."""
+    return word.translate(_VOWELS)
+
+
 def channel(variant: list[str], canon: list[str], rarity: dict[str, float]) -> float:
     """Log likelihood ratio of one spelling given another.
 
@@ -94,7 +101,7 @@ def channel(variant: list[str], canon: list[str], rarity: dict[str, float]) -> f
     for w in list(rest_v) if surest >= FAMILY else ():
         # beside a family name, a shortened or respelled first name still shares
         # its beginning or its end
-        partner = next((c for c in rest_c if (c[:3] == w[:3] or c[-4:] == w[-4:]) and min(len(c), len(w)) >= 3), None)
+        partner = next((c for c in rest_c if (c[:3] == w[:3] or c[-4:] == w[-4:] or _skeleton(c) == _skeleton(w)) and min(len(c), len(w)) >= 3), None)
         if partner is not None:
             rest_v.remove(w)
             rest_c.remove(partner)
