@@ -10,8 +10,9 @@ from touchline.plans.registry import Registry
 @lru_cache(maxsize=1)
 def load_registry() -> Registry:
     """All queries of the core, in one registry."""
-    from touchline.plans import training
+    from touchline.plans import training, warehouse
 
     registry = Registry()
     training.register(registry)
+    warehouse.register(registry)
     return registry
