@@ -285,11 +285,24 @@ def match_values(
     )
 
 
-def team_matches(values: DataFrame, typed: str, teams: DataFrame, aliases: DataFrame, near: bool = True) -> DataFrame:
-    """:func:`match_values` against teams with their names, aliases and codes."""
+def _team_lists(teams: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFrame]:
     names = teams.select("team_name", "team_code").union(aliases.select("alias", "team_code"))
     codes = teams.select("team_code", F.col("team_code").alias("code")).union(teams.select("iso2_code", "team_code")).where("team_code is not null")
-    return match_values(values, typed, names.dropna(), codes.dropna(), near=near)
+    return names.dropna(), codes.dropna()
+
+
+def team_matcher(teams: DataFrame, aliases: DataFrame, most: int = MAX_BROADCAST) -> Matcher:
+    """One matcher of a bounded reference list, for a Python stage of its own."""
+    names, codes = _team_lists(teams, aliases)
+    if names.count() + codes.count() > most:
+        raise ValueError("the reference list is too long to be held by each worker; use match_values")
+    return Matcher.of(_rows(names), _rows(codes))
+
+
+def team_matches(values: DataFrame, typed: str, teams: DataFrame, aliases: DataFrame, near: bool = True) -> DataFrame:
+    """:func:`match_values` against teams with their names, aliases and codes."""
+    names, codes = _team_lists(teams, aliases)
+    return match_values(values, typed, names, codes, near=near)
 
 
 #: Fixed value: how an id is written where a name is meant.
