@@ -48,6 +48,8 @@ def named_teams(nodes: DataFrame) -> DataFrame:
     flat = markets(nodes)
     parents = flat.select(*KEYS, "doc", "pre", "post", F.lit(None).alias("text"))
     linked = inside(teams, parents, KEYS, "inner").select(*KEYS, "doc", F.col("parent_pre").alias("pre"), "soccer_team")
-    return flat.join(linked, [*KEYS, "doc", "pre"], "left").select(
-        "event_ticker", "ticker", "yes_sub_title", F.coalesce("soccer_team", F.lit("")).alias("soccer_team")
-    )
+    m, t = flat.alias("m"), linked.alias("t")
+    same = F.lit(True)
+    for c in (*KEYS, "doc", "pre"):
+        same = same & F.col(f"m.{c}").eqNullSafe(F.col(f"t.{c}"))
+    return m.join(t, same, "left").select("event_ticker", "ticker", "yes_sub_title", F.coalesce("soccer_team", F.lit("")).alias("soccer_team"))

@@ -18,21 +18,21 @@ _ID = re.compile(r"/player/_/id/(\d+)")
 def split_players(text: str, ids: dict[str, str] | None = None, bucket: str | None = None) -> list[dict[str, str | None]]:
     """Players of ``Name (Club), Name (Club)``; a comma inside parentheses parts
     nothing, and a missing parenthesis at the end is closed."""
-    out, depth, part = [], 0, ""
-    for ch in text + ",":
+    parts, depth, part = [], 0, ""
+    for ch in text:
         if ch == "," and depth <= 0:
-            entry = part.strip().strip(".").strip()
+            parts.append(part)
             part, depth = "", 0
-            if not entry:
-                continue
-            m = re.match(r"^(.*?)\s*(?:\((.*?)\)?)?\s*$", entry)
-            name = (m.group(1) if m else entry).strip()
-            club = m.group(2).strip() if m and m.group(2) else None
-            if name:
-                out.append({"espn_player_id": (ids or {}).get(name), "name": name, "position_bucket": bucket, "club": club})
-            continue
-        depth += (ch == "(") - (ch == ")")
-        part += ch
+        else:
+            depth += (ch == "(") - (ch == ")")
+            part += ch
+    out = []
+    for entry in (p.strip().strip(".").strip() for p in [*parts, part]):
+        m = re.match(r"^(.*?)\s*(?:\((.*?)\)?)?\s*$", entry)
+        name = (m.group(1) if m else entry).strip()
+        club = m.group(2).strip() if m and m.group(2) else None
+        if name:
+            out.append({"espn_player_id": (ids or {}).get(name), "name": name, "position_bucket": bucket, "club": club})
     return out
 
 
