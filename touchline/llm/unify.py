@@ -114,11 +114,16 @@ def _spell(token: str, own: str) -> str:
     return unicodedata.normalize("NFC", "".join(out))
 
 
+#: Printable ASCII and composed accented Latin letters that have no plainer form:
+#: such a text can only be spaced wrongly.
+_PLAIN_LATIN = re.compile("[ -~À-ÖØ-öø-ıĴ-ľŁ-ňŊ-ž]*")
+
+
 def unify(text: str | None) -> str | None:
     """The consistent form of a name; null stays null, blank becomes empty."""
     if text is None:
         return None
-    if text.isascii() and text.isprintable():
+    if _PLAIN_LATIN.fullmatch(text):
         return " ".join(text.split()) if "  " in text or text[:1] == " " or text[-1:] == " " else text
     text = "".join(c for c in text if not invisible(c))
     text = unicodedata.normalize("NFKC", text)
@@ -127,6 +132,7 @@ def unify(text: str | None) -> str | None:
     return " ".join(_spell(t, own) for t in text.split())
 
 
+_ASCII_WORD = re.compile(r"[a-z0-9]+")
 _RUN = re.compile(r"[^\x00-\x7f]+")
 
 
@@ -152,6 +158,8 @@ def fold_text(text: str) -> str:
 @lru_cache(maxsize=1 << 16)
 def fold_name(text: str) -> str:
     """A key for comparing names: unified, spelled in Latin, words of [a-z0-9]."""
+    if _PLAIN_LATIN.fullmatch(text):
+        return " ".join(_ASCII_WORD.findall(fold_text(text).replace("'", "")))
     text = unify(text) or ""
     if own_script(text) in ("Greek", "Cyrillic"):
         text = "".join(SPELLED.get(c, c) for c in text.casefold())
