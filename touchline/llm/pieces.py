@@ -76,14 +76,15 @@ def _spans(text: str, limit: int, overlap: int, encode) -> list[tuple[int, int,
             best = None
             for marked, reach in zip(marks, _REACH):
                 lo, hi = char_at(target - step * reach), char_at(target + step * reach)
-                i, j = bisect_left(marked, max(lo, cuts[-1] + 1)), bisect_right(marked, min(hi, len(text) - 1))
+                i, j = bisect_left(marked, max(lo, cuts[-1] + 1)), bisect_right(marked, min(hi, len(text) - (count - k)))
                 if j > i:
                     near = marked[i:j]
                     best = int(near[np.argmin(np.abs(near - char_at(target)))])
                     break
             if best is None:
                 best = max(char_at(target), cuts[-1] + 1)
-            cuts.append(min(best, len(text)))
+            # every piece keeps at least one character of its own
+            cuts.append(min(best, len(text) - (count - k)))
         cuts.append(len(text))
         spans = []
         for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
@@ -94,6 +95,9 @@ def _spans(text: str, limit: int, overlap: int, encode) -> list[tuple[int, int,
                 i = bisect_left(starts, wanted)
                 begin = int(min(a, starts[i])) if i < len(starts) and starts[i] <= a else max(wanted, 0)
             n = len(encode(text[begin:b]))
+            if n > limit and begin < a and b - a == 1:
+                # one character alone may need most of the limit: then no overlap
+                begin, n = a, len(encode(text[a:b]))
             if n > limit:
                 ok = False
                 break
@@ -101,7 +105,7 @@ def _spans(text: str, limit: int, overlap: int, encode) -> list[tuple[int, int,
         if ok:
             return spans
         if count >= len(text):
-            raise ValueError("the limit is below the tokens of one character and its overlap")
+            raise ValueError("the limit is below the tokens of one character")
         count = min(len(text), count + max(1, count // 16))
 
 
