@@ -17,8 +17,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from touchline.session import cut
-
 FAN_IN = 16
 
 
@@ -45,6 +43,16 @@ def last_of_day(df: DataFrame, entity: str, day: str, attributes: Sequence[str],
     return rows.groupBy("_e", "_d").agg(F.max("_s").alias("_s")).select("_e", "_d", *[F.col(f"_s.{n}") for n in names])
 
 
+def most_units(df: DataFrame, entity: str, day: str) -> int:
+    """A bound of the units of one entity: the days between the first and the
+    last of all, or the largest count where ``day`` is no date."""
+    if dict(df.dtypes)[day] == "date":
+        first, last = df.agg(F.min(day), F.max(day)).first()
+        return 0 if first is None else (last - first).days + 1
+    counts = df.where(F.col(entity).isNotNull() & F.col(day).isNotNull()).select(entity, day).distinct().groupBy(entity).count()
+    return counts.agg(F.max("count")).first()[0] or 0
+
+
 def _merge(left: Column, right: Column) -> Column:
     """Two neighbouring lists of runs; the runs that touch become one if equal."""
     a, b = F.element_at(left, -1), F.element_at(right, 1)
@@ -76,6 +84,7 @@ def attribute_history(
     """
     kinds = dict(df.dtypes)
     names = [f"_raw{i}" for i in range(len(attributes))]
+    most = most_units(df, entity, day)
     order = Window.partitionBy("_e").orderBy("_d")
     before, after = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing)
     days = last_of_day(df, entity, day, attributes, loaded)
@@ -85,19 +94,16 @@ def attribute_history(
         shown.append(F.coalesce(F.last(value, ignorenulls=True).over(before), F.first(value, ignorenulls=True).over(after)).alias(name))
     units = days.select("_e", "_d", (F.row_number().over(order) - 1).alias("_block"), *shown)
     key = F.struct(*[known(F.col(n), kinds[a]).alias(n) for n, a in zip(names, attributes)])
-    runs = cut(
-        units.select(
-            "_e", "_block", F.array(F.struct(F.col("_d").alias("start"), F.col("_d").alias("last"), key.alias("key"), F.struct(*names).alias("shown"))).alias("runs")
-        )
+    runs = units.select(
+        "_e", "_block", F.array(F.struct(F.col("_d").alias("start"), F.col("_d").alias("last"), key.alias("key"), F.struct(*names).alias("shown"))).alias("runs")
     )
-    most = runs.agg(F.max("_block")).first()[0] or 0
     empty = F.array().cast(runs.schema["runs"].dataType)
     blocks = 1
-    while blocks <= most:
+    while blocks < most:
         blocks *= fan_in
         ordered = F.transform(F.array_sort(F.collect_list(F.struct("_block", "runs"))), lambda x: x["runs"])
         runs = (
-            runs.groupBy("_e", F.floor(F.col("_block") / fan_in).cast("int").alias("_up"))
+            runs.groupBy("_e", F.expr(f"cast(_block div {fan_in} as int)").alias("_up"))
             .agg(F.aggregate(ordered, empty, _merge).alias("runs"))
             .withColumnRenamed("_up", "_block")
         )
