@@ -149,3 +149,8 @@ def test_one_value_of_a_pair_from_both_sides(spark):
     k = spark.createDataFrame([("a", "b", 1, 2, 1), ("b", "a", 5, 6, 2)], "x string, y string, gx int, gy int, no int")
     got = {(r.x, r.y): (r.gx, r.gy) for r in R.mirrored(k, "x", "y", {"gx": "gy", "gy": "gx"}, [F.desc("no")]).collect()}
     assert got == {("b", "a"): (5, 6), ("a", "b"): (6, 5)}
+
+
+def test_scripts_are_parted_outside_quotes():
+    assert files.statements("a; -- b;\n c ';--' ;; \"x;y\"") == ["a", "c ';--'", '"x;y"']
+    assert files.statements("") == []

@@ -17,6 +17,10 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from touchline.session import ship
 
 
+#: Payloads whose nodes are held at once.
+SLICE = 256
+
+
 def _reject(name: str) -> None:
     raise ValueError(f"{name} is no JSON")
 
@@ -116,21 +120,24 @@ def label_nodes(df: DataFrame, keys: Sequence[str], payload: str, kinds: Mapping
     types = [pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            take: list[int] = []
-            columns: list[list] = [[] for _ in types]
-            for row, text in enumerate(batch.column(n).to_pylist()):
-                root = parse(text)
-                if root is None:
-                    continue
-                for node in label(root, wanted):
-                    take.append(row)
-                    for column, value in zip(columns, node):
-                        column.append(list(value.items()) if isinstance(value, dict) else value)
-            at = pa.array(take, pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(i).take(at) for i in range(n)] + [pa.array(c, t) for c, t in zip(columns, types)], [f.name for f in schema]
-            )
+        for whole in batches:
+            # small slices: the nodes of a payload take more room than its text
+            for start in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(start, SLICE)
+                take: list[int] = []
+                columns: list[list] = [[] for _ in types]
+                for row, text in enumerate(batch.column(n).to_pylist()):
+                    root = parse(text)
+                    if root is None:
+                        continue
+                    for node in label(root, wanted):
+                        take.append(row)
+                        for column, value in zip(columns, node):
+                            column.append(list(value.items()) if isinstance(value, dict) else value)
+                at = pa.array(take, pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(i).take(at) for i in range(n)] + [pa.array(c, t) for c, t in zip(columns, types)], [f.name for f in schema]
+                )
 
     return base.mapInArrow(run, schema)
 

@@ -24,6 +24,14 @@ MASTER_SQL = """SELECT player_id, normalized_name AS nn, country_code AS cc, low
 FROM (SELECT *, row_number() OVER (PARTITION BY player_id ORDER BY loaded_at DESC, row_id DESC) AS rn FROM players) WHERE rn = 1"""
 
 
+#: Players whose fields can stand in a page as they are.
+USABLE = "regexp_full_match(display_name, '[A-Za-z ]+') AND regexp_full_match(nation_name, '[A-Za-z]+') AND regexp_full_match(current_club, '[A-Za-z]+ [A-Za-z]+') AND position IN ('GK', 'DF', 'MF', 'FW')"
+
+
+def _usable(p: DataFrame) -> DataFrame:
+    return p.where(F.col("display_name").rlike("^[A-Za-z ]+$") & F.col("nation_name").rlike("^[A-Za-z]+$") & F.col("current_club").rlike("^[A-Za-z]+ [A-Za-z]+$") & F.col("position").isin("GK", "DF", "MF", "FW"))
+
+
 def master(spark: SparkSession, d: str) -> DataFrame:
     from touchline.operators.relational import keep_best
 
@@ -170,6 +178,13 @@ def _entities(add) -> None:
     def e20(spark, d):
         return table(spark, d, "documents", ["source"]).where("source is not null").groupBy("source", E.model_type(F.col("source")).alias("kind")).agg(F.count("*").alias("n"))
 
+    @add("e21_player_lists", f"SELECT nation_name AS nation, display_name AS name, current_club AS club FROM players WHERE {USABLE}")
+    def e21(spark, d):
+        p = _usable(table(spark, d, "players", ["row_id", "display_name", "nation_name", "current_club", "position"]))
+        line = F.concat("display_name", F.lit(" ("), "current_club", F.lit(")"))
+        lists = p.groupBy("nation_name").agg(F.array_join(F.collect_list(line), ", ").alias("text"))
+        return html.list_scan(lists, "nation_name", "text").select(F.col("nation_name").alias("nation"), "name", "club")
+
     @add("e22_dedupe_in_team", """
         SELECT country_code, key, row_id FROM (SELECT country_code, coalesce(espn_player_id, lower(display_name)) AS key, row_id, row_number() OVER (PARTITION BY country_code, coalesce(espn_player_id, lower(display_name)) ORDER BY row_id) AS rn FROM players) WHERE rn = 1""")
     def e22(spark, d):
@@ -255,17 +270,15 @@ def _sources(add) -> None:
         return files.first_non_empty([lambda: None, lambda: s.where("s_suppkey < 0"), lambda: s])
 
     pages_sql = "SELECT nation_name AS nation, position AS position_bucket, display_name AS name, current_club AS club FROM (SELECT *, row_number() OVER (PARTITION BY nation_name, lower(display_name) ORDER BY row_id) AS rn FROM players WHERE {0}) WHERE rn = 1"
-    usable = "regexp_full_match(display_name, '[A-Za-z ]+') AND regexp_full_match(nation_name, '[A-Za-z]+') AND regexp_full_match(current_club, '[A-Za-z]+ [A-Za-z]+') AND position IN ('GK', 'DF', 'MF', 'FW')"
-
-    @add("s11_roster_pages", pages_sql.format(usable))
+    @add("s11_roster_pages", pages_sql.format(USABLE))
     def s11(spark, d):
         return html.roster_scan(_pages(spark, d, "roster")).select("nation", "position_bucket", "name", "club")
 
-    @add("s12_wiki_tables", f"SELECT display_name AS player_name, current_club AS club_team FROM players WHERE {usable}")
+    @add("s12_wiki_tables", f"SELECT display_name AS player_name, current_club AS club_team FROM players WHERE {USABLE}")
     def s12(spark, d):
         return html.table_scan(_pages(spark, d, "wiki"), ["player_name", "club_team"])
 
-    @add("s13_rows_by_pattern", f"SELECT position, display_name AS name, current_club AS club FROM players WHERE {usable}")
+    @add("s13_rows_by_pattern", f"SELECT position, display_name AS name, current_club AS club FROM players WHERE {USABLE}")
     def s13(spark, d):
         return html.row_scan(_pages(spark, d, "rows"))
 
@@ -302,8 +315,7 @@ def _sources(add) -> None:
 
 def _pages(spark: SparkSession, d: str, kind: str) -> DataFrame:
     """Roster pages of the nations, written from the player table."""
-    p = table(spark, d, "players", ["row_id", "display_name", "nation_name", "current_club", "position"])
-    p = p.where(F.col("display_name").rlike("^[A-Za-z ]+$") & F.col("nation_name").rlike("^[A-Za-z]+$") & F.col("current_club").rlike("^[A-Za-z]+ [A-Za-z]+$") & F.col("position").isin("GK", "DF", "MF", "FW"))
+    p = _usable(table(spark, d, "players", ["row_id", "display_name", "nation_name", "current_club", "position"]))
     if kind == "roster":
         names = {"GK": "Goalkeepers", "DF": "Defenders", "MF": "Midfielders", "FW": "Forwards"}
         label = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[F.col("position")]

@@ -181,6 +181,14 @@ def _scalars(add) -> None:
         c = table(spark, d, "customer", ["c_custkey"])
         return c.select("c_custkey", X.plain_number(F.format_number(F.col("c_custkey") * 1234, 0)).alias("n"))
 
+    @add("x22_sql_script", "SELECT r_regionkey, 'a;b--c' AS tag FROM region")
+    def x22(spark, d):
+        from touchline.sources.files import run_script
+
+        table(spark, d, "region").createOrReplaceTempView("region")
+        script = "-- a view first\nCREATE OR REPLACE TEMP VIEW script_region AS SELECT * FROM region; -- then\nSELECT r_regionkey, 'a;b--c' AS tag FROM script_region;"
+        return run_script(spark, script)
+
     @add("x23_canonical_name", "SELECT s.snap_id, coalesce(t.team_code, s.outcome) AS canon FROM polymarket_snapshot s LEFT JOIN team_aliases t ON t.alias = s.outcome")
     def x23(spark, d):
         s = table(spark, d, "polymarket_snapshot", ["snap_id", "outcome"])

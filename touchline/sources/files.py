@@ -149,3 +149,35 @@ def discover(spark: SparkSession, root: str, pattern: str = "*/*/predictions.csv
         *_, model, day, _ = path.split("/")
         out.append((model, day, path))
     return out
+
+
+def statements(text: str) -> list[str]:
+    """Statements of a SQL script without its line comments; a semicolon or two
+    dashes inside a quoted text part nothing."""
+    out, part, quote, i = [], "", "", 0
+    while i < len(text):
+        ch = text[i]
+        if quote:
+            part += ch
+            quote = "" if ch == quote else quote
+        elif ch in "'\"":
+            quote, part = ch, part + ch
+        elif text.startswith("--", i):
+            end = text.find("\n", i)
+            i = len(text) if end < 0 else end
+            continue
+        elif ch == ";":
+            out.append(part.strip())
+            part = ""
+        else:
+            part += ch
+        i += 1
+    return [s for s in [*out, part.strip()] if s]
+
+
+def run_script(spark: SparkSession, text: str) -> DataFrame | None:
+    """Run every statement; the last one's result comes back."""
+    result = None
+    for statement in statements(text):
+        result = spark.sql(statement)
+    return result

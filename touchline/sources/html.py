@@ -197,3 +197,16 @@ def row_scan(pages: DataFrame, html: str = "html") -> DataFrame:
     cells = F.transform(F.regexp_extract_all("row", F.lit(r"(?is)<td[^>]*>(.*?)</td>"), F.lit(1)), lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, r"<[^>]+>", ""), r"\s+", " ")))
     out = rows.select(cells.alias("c")).where(F.size("c") >= 3)
     return out.select(F.upper(F.element_at("c", 1)).alias("position"), F.element_at("c", 2).alias("name"), F.element_at("c", 3).alias("club")).where(F.col("position").isin("GK", "DF", "MF", "FW"))
+
+
+def list_scan(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``key, name, club`` of ``Name (Club), ...`` lists, one row a player."""
+    ship(df.sparkSession)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(k, p["name"], p["club"]) for k, t in zip(batch["k"], batch["t"]) for p in split_players(t or "")]
+            yield pd.DataFrame(rows, columns=[key, "name", "club"])
+
+    kind = df.schema[key].dataType.simpleString()
+    return df.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(run, f"`{key}` {kind}, name string, club string")
