@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from touchline.llm.unify import fold_name, unify
-from touchline.session import ship
+from touchline.session import scale_partitions, ship
 
 UNMATCHED = "UNMATCHED"
 #: Reference entries that are broadcast as one tree.
@@ -52,7 +52,17 @@ def distance(a: str, b: str, limit: int = 1 << 30) -> int:
         return 0
     if abs(len(a) - len(b)) > limit:
         return limit + 1
+    # what both begin and end with costs nothing
+    start, least = 0, min(len(a), len(b))
+    while start < least and a[start] == b[start]:
+        start += 1
+    stop = 0
+    while stop < least - start and a[-1 - stop] == b[-1 - stop]:
+        stop += 1
+    a, b = a[start : len(a) - stop], b[start : len(b) - stop]
     n, m = len(a), len(b)
+    if not n or not m:
+        return n + m
     top = n + m
     last: dict[str, int] = {}
     rows = [[top] * (m + 2), [top, *range(m + 1)]]
@@ -232,7 +242,8 @@ def match_values(
     """
     spark = values.sparkSession
     ship(spark)
-    distinct = values.where(F.length(F.trim(typed)) > 0).select(F.col(typed).alias("typed")).distinct()
+    # few values, much work on each: spread them evenly, whatever their bytes
+    distinct = values.where(F.length(F.trim(typed)) > 0).select(F.col(typed).alias("typed")).distinct().repartition(scale_partitions(spark))
     count = names.count() + codes.count()
     schema = "typed string, code string, distance int, how string"
     if count <= max_broadcast:
