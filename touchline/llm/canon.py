@@ -26,6 +26,8 @@ from touchline.session import scale_partitions, ship
 UNMATCHED = "UNMATCHED"
 #: Reference entries that are broadcast as one tree.
 MAX_BROADCAST = 50_000
+#: Values that meet one shard in one task.
+GROUP_VALUES = 20_000
 #: Largest distance of a match, by the length of the typed value.
 THRESHOLDS = ((4, 0), (6, 1), (1 << 30, 2))
 
@@ -270,8 +272,10 @@ def match_values(
     shards = -(-count // max_broadcast)
     label = lambda df, kind: df.toDF("text", "code").select(F.lit(kind).alias("kind"), "text", "code")
     entries = label(names, "name").unionByName(label(codes, "code")).withColumn("shard", F.pmod(F.xxhash64("text"), F.lit(shards)).cast("int"))
-    visits = distinct.select("typed", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod(F.xxhash64("typed"), F.lit(4 * shards)).cast("int").alias("part"))
-    spread = entries.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(4 * shards - 1))))
+    # a group holds one shard and a bounded part of the values
+    parts = distinct.count() // GROUP_VALUES + 1
+    visits = distinct.select("typed", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod(F.xxhash64("typed"), F.lit(parts)).cast("int").alias("part"))
+    spread = entries.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1).cast("int"))))
 
     def one(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         pairs = lambda kind: [(t, c) for k, t, c in zip(right["kind"], right["text"], right["code"]) if k == kind]

@@ -188,9 +188,12 @@ def candidate_pairs(people: DataFrame) -> DataFrame:
     """
     rank = F.struct((-F.col("rows")).alias("r"), F.col("id").alias("i"))
     keyed = people.select("id", rank.alias("rank"), F.explode(_keys()).alias("k")).select("id", "rank", "k.key", "k.weak")
-    x = keyed.select(F.col("key"), F.col("id").alias("a"), F.col("rank").alias("ra"), F.col("weak").alias("wa"))
-    y = keyed.select(F.col("key"), F.col("id").alias("b"), F.col("rank").alias("rb"), F.col("weak").alias("wb"))
-    return x.join(y, "key").where("rb < ra and not (wa and wb)").select("a", "b").distinct()
+    side = lambda rows, c: rows.select("key", F.col("id").alias(c), F.col("rank").alias(f"r{c}"))
+    strong, weak = keyed.where("not weak"), keyed.where("weak")
+    # two joins, so that a name which very many fully described people bear never
+    # meets itself
+    met = side(strong, "a").join(side(keyed, "b"), "key").unionByName(side(weak, "a").join(side(strong, "b"), "key"))
+    return met.where("rb < ra").select("a", "b").distinct()
 
 
 def _evidence(x: dict, y: dict) -> float:
