@@ -24,6 +24,8 @@ MASTER_SQL = """SELECT player_id, normalized_name AS nn, country_code AS cc, low
 FROM (SELECT *, row_number() OVER (PARTITION BY player_id ORDER BY loaded_at DESC, row_id DESC) AS rn FROM players) WHERE rn = 1"""
 
 
+#: Rows of one page or roster, so that no page grows with the data.
+ROSTER = 200
 #: Players whose fields can stand in a page as they are.
 USABLE = "regexp_full_match(display_name, '[A-Za-z ]+') AND regexp_full_match(nation_name, '[A-Za-z]+') AND regexp_full_match(current_club, '[A-Za-z]+ [A-Za-z]+') AND position IN ('GK', 'DF', 'MF', 'FW')"
 
@@ -52,6 +54,17 @@ def register(registry: Registry) -> None:
     _streams(registry.add)
 
 
+TIERS_SQL = f"""
+        WITH m AS ({MASTER_SQL}), r AS (SELECT roster_id, max(lower(player_name)) AS nn, max(nation) AS cc, max(lower(trim(team_title))) AS club FROM player_matches WHERE roster_id IS NOT NULL GROUP BY 1),
+        k1 AS (SELECT nn, cc, count(DISTINCT player_id) AS n, min(player_id) AS id FROM m WHERE nn IS NOT NULL AND cc IS NOT NULL GROUP BY 1, 2),
+        k2 AS (SELECT nn, club, count(DISTINCT player_id) AS n, min(player_id) AS id FROM m WHERE nn IS NOT NULL AND club IS NOT NULL GROUP BY 1, 2),
+        k3 AS (SELECT nn, count(DISTINCT player_id) AS n, min(player_id) AS id FROM m WHERE nn IS NOT NULL GROUP BY 1)
+        SELECT r.roster_id, CASE WHEN k1.n = 1 THEN k1.id WHEN k1.n > 1 THEN NULL WHEN k2.n = 1 THEN k2.id WHEN k2.n > 1 THEN NULL WHEN k3.n = 1 THEN k3.id END AS match_id,
+          CASE WHEN k1.n = 1 THEN 'name_country' WHEN k1.n > 1 THEN NULL WHEN k2.n = 1 THEN 'name_club' WHEN k2.n > 1 THEN NULL WHEN k3.n = 1 THEN 'name' END AS match_tier,
+          CASE WHEN k1.n = 1 THEN 'unique' WHEN k1.n > 1 THEN 'ambiguous_name_country_' || k1.n WHEN k2.n = 1 THEN 'unique' WHEN k2.n > 1 THEN 'ambiguous_name_club_' || k2.n WHEN k3.n = 1 THEN 'unique' WHEN k3.n > 1 THEN 'ambiguous_name_' || k3.n ELSE 'unmatched' END AS match_reason
+        FROM r LEFT JOIN k1 ON r.nn = k1.nn AND r.cc = k1.cc LEFT JOIN k2 ON r.nn = k2.nn AND r.club = k2.club LEFT JOIN k3 ON r.nn = k3.nn"""
+
+
 def _entities(add) -> None:
     @add("e01_normalized_name", f"SELECT row_id, {NORMAL.format('display_name')} AS nn FROM players WHERE regexp_full_match(display_name, '{PLAIN}')")
     def e01(spark, d):
@@ -71,21 +84,11 @@ def _entities(add) -> None:
 
         return table(spark, d, "players", ["row_id", "birth_date"]).select("row_id", birth_year(F.col("birth_date").cast("string")).alias("y"))
 
-    tiers_sql = f"""
-        WITH m AS ({MASTER_SQL}), r AS (SELECT roster_id, max(lower(player_name)) AS nn, max(nation) AS cc, max(lower(trim(team_title))) AS club FROM player_matches WHERE roster_id IS NOT NULL GROUP BY 1),
-        k1 AS (SELECT nn, cc, count(DISTINCT player_id) AS n, min(player_id) AS id FROM m WHERE nn IS NOT NULL AND cc IS NOT NULL GROUP BY 1, 2),
-        k2 AS (SELECT nn, club, count(DISTINCT player_id) AS n, min(player_id) AS id FROM m WHERE nn IS NOT NULL AND club IS NOT NULL GROUP BY 1, 2),
-        k3 AS (SELECT nn, count(DISTINCT player_id) AS n, min(player_id) AS id FROM m WHERE nn IS NOT NULL GROUP BY 1)
-        SELECT r.roster_id, CASE WHEN k1.n = 1 THEN k1.id WHEN k1.n > 1 THEN NULL WHEN k2.n = 1 THEN k2.id WHEN k2.n > 1 THEN NULL WHEN k3.n = 1 THEN k3.id END AS match_id,
-          CASE WHEN k1.n = 1 THEN 'name_country' WHEN k1.n > 1 THEN NULL WHEN k2.n = 1 THEN 'name_club' WHEN k2.n > 1 THEN NULL WHEN k3.n = 1 THEN 'name' END AS match_tier,
-          CASE WHEN k1.n = 1 THEN 'unique' WHEN k1.n > 1 THEN 'ambiguous_name_country_' || k1.n WHEN k2.n = 1 THEN 'unique' WHEN k2.n > 1 THEN 'ambiguous_name_club_' || k2.n WHEN k3.n = 1 THEN 'unique' WHEN k3.n > 1 THEN 'ambiguous_name_' || k3.n ELSE 'unmatched' END AS match_reason
-        FROM r LEFT JOIN k1 ON r.nn = k1.nn AND r.cc = k1.cc LEFT JOIN k2 ON r.nn = k2.nn AND r.club = k2.club LEFT JOIN k3 ON r.nn = k3.nn"""
-
-    @add("e04_tier_cascade", tiers_sql)
+    @add("e04_tier_cascade", TIERS_SQL)
     def e04(spark, d):
         return _tiers(spark, d).select("roster_id", "match_id", "match_tier", "match_reason")
 
-    @add("e05_ambiguity_report", f"SELECT match_reason, count(*) AS n FROM ({tiers_sql}) GROUP BY 1")
+    @add("e05_ambiguity_report", f"SELECT match_reason, count(*) AS n FROM ({TIERS_SQL}) GROUP BY 1")
     def e05(spark, d):
         return _tiers(spark, d).groupBy("match_reason").agg(F.count("*").alias("n"))
 
@@ -159,8 +162,9 @@ def _entities(add) -> None:
 
     @add("e17_nested_roster_rows", "SELECT country_code AS nation, player_id, display_name AS name FROM players WHERE country_code IS NOT NULL")
     def e17(spark, d):
-        p = table(spark, d, "players", ["country_code", "player_id", "display_name"]).where("country_code is not null")
-        nested = p.groupBy("country_code").agg(F.to_json(F.collect_list(F.struct("player_id", F.col("display_name").alias("name")))).alias("players"))
+        p = table(spark, d, "players", ["row_id", "country_code", "player_id", "display_name"]).where("country_code is not null")
+        # rosters of a bounded size, however large a nation is
+        nested = p.groupBy("country_code", F.floor(F.col("row_id") / ROSTER)).agg(F.to_json(F.collect_list(F.struct("player_id", F.col("display_name").alias("name")))).alias("players"))
         rows = nested.select(F.col("country_code").alias("nation"), F.explode(F.from_json("players", "array<struct<player_id:string,name:string>>")).alias("p"))
         return rows.select("nation", "p.*")
 
@@ -182,7 +186,7 @@ def _entities(add) -> None:
     def e21(spark, d):
         p = _usable(table(spark, d, "players", ["row_id", "display_name", "nation_name", "current_club", "position"]))
         line = F.concat("display_name", F.lit(" ("), "current_club", F.lit(")"))
-        lists = p.groupBy("nation_name").agg(F.array_join(F.collect_list(line), ", ").alias("text"))
+        lists = p.groupBy("nation_name", F.floor(F.col("row_id") / ROSTER)).agg(F.array_join(F.collect_list(line), ", ").alias("text"))
         return html.list_scan(lists, "nation_name", "text").select(F.col("nation_name").alias("nation"), "name", "club")
 
     @add("e22_dedupe_in_team", """
@@ -269,7 +273,7 @@ def _sources(add) -> None:
         s = table(spark, d, "supplier", ["s_suppkey", "s_name"])
         return files.first_non_empty([lambda: None, lambda: s.where("s_suppkey < 0"), lambda: s])
 
-    pages_sql = "SELECT nation_name AS nation, position AS position_bucket, display_name AS name, current_club AS club FROM (SELECT *, row_number() OVER (PARTITION BY nation_name, lower(display_name) ORDER BY row_id) AS rn FROM players WHERE {0}) WHERE rn = 1"
+    pages_sql = "SELECT nation_name AS nation, position AS position_bucket, display_name AS name, current_club AS club FROM (SELECT *, row_number() OVER (PARTITION BY nation_name, row_id // 200, lower(display_name) ORDER BY row_id) AS rn FROM players WHERE {0}) WHERE rn = 1"
     @add("s11_roster_pages", pages_sql.format(USABLE))
     def s11(spark, d):
         return html.roster_scan(_pages(spark, d, "roster")).select("nation", "position_bucket", "name", "club")
@@ -314,19 +318,20 @@ def _sources(add) -> None:
 
 
 def _pages(spark: SparkSession, d: str, kind: str) -> DataFrame:
-    """Roster pages of the nations, written from the player table."""
+    """Roster pages of the nations, of a bounded size, written from the players."""
     p = _usable(table(spark, d, "players", ["row_id", "display_name", "nation_name", "current_club", "position"]))
+    page = F.floor(F.col("row_id") / ROSTER)
     if kind == "roster":
         names = {"GK": "Goalkeepers", "DF": "Defenders", "MF": "Midfielders", "FW": "Forwards"}
         label = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[F.col("position")]
         line = F.concat(F.lit("<p><strong>"), label, F.lit(":</strong> "), "display_name", F.lit(" ("), "current_club", F.lit(")</p>"))
         body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_id", line.alias("h")))), lambda x: x["h"]), "\n")
-        return p.groupBy("nation_name").agg(body.alias("b")).select(F.concat(F.lit("<h2>Group A</h2><h3>"), "nation_name", F.lit("</h3>"), "b").alias("html"))
+        return p.groupBy("nation_name", page).agg(body.alias("b")).select(F.concat(F.lit("<h2>Group A</h2><h3>"), "nation_name", F.lit("</h3>"), "b").alias("html"))
     if kind == "wiki":
         line = F.concat(F.lit("<tr><td>"), "display_name", F.lit("</td><td>"), "current_club", F.lit("</td></tr>"))
-        return p.groupBy("nation_name").agg(F.array_join(F.collect_list(line), "").alias("b")).select(F.concat(F.lit('<table class="wikitable sortable"><tr><th>Player name</th><th>Club/Team</th></tr>'), "b", F.lit("</table>")).alias("html"))
+        return p.groupBy("nation_name", page).agg(F.array_join(F.collect_list(line), "").alias("b")).select(F.concat(F.lit('<table class="wikitable sortable"><tr><th>Player name</th><th>Club/Team</th></tr>'), "b", F.lit("</table>")).alias("html"))
     line = F.concat(F.lit("<tr class=x><td>"), "position", F.lit("</td><td><a href='#'>"), "display_name", F.lit("</a></td>\n<td>"), "current_club", F.lit("</td></tr>"))
-    return p.groupBy("nation_name").agg(F.array_join(F.collect_list(line), "\n").alias("html"))
+    return p.groupBy("nation_name", page).agg(F.array_join(F.collect_list(line), "\n").alias("html"))
 
 
 def _sinks(add) -> None:
@@ -334,7 +339,7 @@ def _sinks(add) -> None:
     def k01(spark, d):
         return cut(table(spark, d, "supplier", ["s_nationkey"]).groupBy("s_nationkey").agg(F.count("*").alias("n")))
 
-    @add("k02_staging_and_quarantine")
+    @add("k02_staging_and_quarantine", f"SELECT 'staging' AS part, count(match_id) AS n FROM ({TIERS_SQL}) UNION ALL SELECT 'quarantine', count(*) - count(match_id) FROM ({TIERS_SQL})")
     def k02(spark, d):
         out = _folder(spark)
         resolved = cut(_tiers(spark, d))
@@ -361,7 +366,10 @@ def _sinks(add) -> None:
         sinks.write_report(table(spark, d, "nation", ["n_nationkey", "n_name"]), out, "nations", [F.asc("n_nationkey")])
         return spark.read.schema("n_nationkey int, n_name string").json(f"{out}/nations.json")
 
-    @add("k06_write_back")
+    @add("k06_write_back", f"""
+        WITH u AS (SELECT match_id AS player_id, min(roster_id) AS uid FROM ({TIERS_SQL}) WHERE match_id IS NOT NULL GROUP BY 1)
+        SELECT mm.player_id, mm.nn, coalesce(u.uid, mm.uid) AS uid, CASE WHEN coalesce(u.uid, mm.uid) IS DISTINCT FROM mm.uid THEN DATE '2026-06-11' ELSE DATE '2026-01-01' END AS last_updated_at
+        FROM ({MASTER_SQL}) mm LEFT JOIN u USING (player_id)""")
     def k06(spark, d):
         m = master(spark, d).select("player_id", "nn", "uid", F.lit("2026-01-01").cast("date").alias("last_updated_at"))
         found = _tiers(spark, d).where("match_id is not null").select(F.col("match_id").alias("player_id"), "roster_id")
@@ -428,7 +436,10 @@ def _streams(add) -> None:
 
         return drain(spark, deduplicated(spark, d), "append")
 
-    @add("t03_sessions")
+    @add("t03_sessions", """
+        WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events),
+        s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+        SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k""")
     def t03(spark, d):
         from touchline.streaming.live import drain, sessions
 

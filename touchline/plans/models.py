@@ -478,7 +478,11 @@ def _markets(add) -> None:
         p = B.blend_if_complete([F.col("elo"), F.col("cycle"), F.col("flat")])
         return w.select("match_no", "outcome", F.round(p, 6).alias("p"), F.round(p - F.col("flat"), 6).alias("edge"))
 
-    @add("b05_opportunities")
+    @add("b05_opportunities", f"""
+        WITH l AS (SELECT match_no, model, 'home' AS k, h AS p, 0 AS o FROM ({PROBS_SQL}) UNION ALL SELECT match_no, model, 'draw', d, 1 FROM ({PROBS_SQL}) UNION ALL SELECT match_no, model, 'away', a, 2 FROM ({PROBS_SQL})),
+        t AS (SELECT match_no, k, row_number() OVER (PARTITION BY match_no, model ORDER BY p DESC, o) AS rn FROM l WHERE p IS NOT NULL), z AS (SELECT match_no, count(*) = 3 AND count(DISTINCT k) = 1 AS gz FROM t WHERE rn = 1 GROUP BY 1),
+        w AS (SELECT match_no, k AS outcome, max(CASE WHEN model = 'elo' THEN p END) AS e, max(CASE WHEN model = 'cycle' THEN p END) AS c, max(CASE WHEN model = 'flat' THEN p END) AS f FROM l GROUP BY 1, 2)
+        SELECT w.match_no, w.outcome, CASE WHEN z.gz AND (e + c + f) / 3 - f > 0.03 THEN 'yes' ELSE 'no' END AS opportunity FROM w JOIN z USING (match_no)""")
     def b05(spark, d):
         w = _wide(spark, d)
         zone = B.golden_zone(w, ["match_no"], "outcome", ["elo", "cycle", "flat"], ["home", "draw", "away"])
