@@ -10,7 +10,7 @@ from touchline.llm.leaks import find_leaks
 from touchline.llm.linkage import link_appearances
 from touchline.llm.pieces import oversized, split_oversized
 from touchline.llm.ranking import rank_teams
-from touchline.llm.unify import find_inconsistent
+from touchline.llm.unify import find_inconsistent, unify_column
 from touchline.llm.variants import same_people
 from touchline.operators.markets import market_nodes, named_teams
 from touchline.plans.registry import Registry
@@ -31,6 +31,13 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return players.unionByName(teams)
 
 
+@registry.add("p6_names")
+def p6_names(spark: SparkSession, folder: str) -> DataFrame:
+    players = table(spark, folder, "players", ["row_id", "display_name"]).select(F.lit("players").alias("table_name"), F.col("row_id").cast("string").alias("row_key"), F.col("display_name").alias("name"))
+    teams = table(spark, folder, "teams", ["team_code", "team_name"]).select(F.lit("teams").alias("table_name"), F.col("team_code").alias("row_key"), F.col("team_name").alias("name"))
+    return unify_column(players.unionByName(teams), "name", "form")
+
+
 @registry.add("p9_found")
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents", ["doc_id", "text"])
@@ -38,6 +45,15 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return find_leaks(docs, items).select("doc_id", "item_id")
 
 
+@registry.add("p9_leaks")
+def p9_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    """Each affected document with the items that it holds and their words."""
+    docs = table(spark, folder, "documents", ["doc_id", "text"])
+    items = table(spark, folder, "eval_items", ["item_id", "passage"])
+    found = find_leaks(docs, items).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("item_id", "words"))).alias("items"))
+    return found.select("doc_id", F.size("items").alias("n_items"), F.transform("items", lambda i: i["item_id"]).alias("item_ids"), F.transform("items", lambda i: i["words"]).alias("words"))
+
+
 @registry.add("p10_found")
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return oversized(split_oversized(table(spark, folder, "documents", ["doc_id", "text"])))
