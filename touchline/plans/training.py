@@ -30,7 +30,7 @@ def register(registry: Registry) -> None:
     def p2_history(spark: SparkSession, folder: str) -> DataFrame:
         return _history(spark, folder)
 
-    @registry.add("p4_found")
+    @registry.add("p4_found", P4_SQL)
     def p4_found(spark: SparkSession, folder: str) -> DataFrame:
         return named_teams(_nodes(spark, folder)).select("event_ticker", "ticker", "soccer_team").distinct()
 
@@ -68,3 +68,24 @@ WITH day AS (
 SELECT player_id, strftime(d, '%Y-%m-%d') AS valid_from
 FROM marked WHERE n = 1 OR c IS DISTINCT FROM pc OR a IS DISTINCT FROM pa
 """
+
+P4_SQL = """
+WITH v AS (SELECT CASE WHEN json_valid(payload) THEN CAST(payload AS JSON) END AS j FROM kxfifaadvance_markets),
+p AS (SELECT CASE WHEN json_type(j) = 'VARCHAR' THEN CASE WHEN json_valid(json_extract_string(j, '$')) THEN CAST(json_extract_string(j, '$') AS JSON) END ELSE j END AS j FROM v),
+e AS (
+  SELECT unnest(CASE json_type(x) WHEN 'ARRAY' THEN CAST(x AS JSON[]) WHEN 'OBJECT' THEN [x] ELSE [] END) AS e FROM (
+    SELECT json_extract(j, '$.event') AS x FROM p UNION ALL SELECT json_extract(j, '$.events') FROM p UNION ALL SELECT json_extract(j, '$.data.series.events') FROM p)
+), m AS (
+  SELECT t, unnest(CASE json_type(x) WHEN 'ARRAY' THEN CAST(x AS JSON[]) WHEN 'OBJECT' THEN [x] ELSE [] END) AS m FROM (
+    SELECT json_extract_string(e, '$.event_ticker') AS t, json_extract(e, '$.markets') AS x FROM e UNION ALL SELECT NULL, json_extract(j, '$.markets') FROM p)
+), c AS (
+  SELECT coalesce(json_extract_string(m, '$.event_ticker'), t) AS event_ticker, json_extract_string(m, '$.ticker') AS ticker,
+         CASE WHEN json_type(m, '$.custom_strike') = 'VARCHAR' THEN CASE WHEN json_valid(json_extract_string(m, '$.custom_strike')) THEN CAST(json_extract_string(m, '$.custom_strike') AS JSON) END
+              ELSE json_extract(m, '$.custom_strike') END AS cs
+  FROM m WHERE json_type(m) = 'OBJECT'
+), s AS (SELECT event_ticker, ticker, json_extract(cs, '$.soccer_team') AS st FROM c),
+n AS (
+  SELECT event_ticker, ticker, list_filter(list_transform(CASE json_type(st) WHEN 'ARRAY' THEN CAST(st AS JSON[]) ELSE [st] END,
+           lambda x: CASE json_type(x) WHEN 'OBJECT' THEN json_extract_string(x, '$.name') WHEN 'NULL' THEN NULL ELSE json_extract_string(x, '$') END), lambda y: y IS NOT NULL) AS names FROM s)
+SELECT DISTINCT event_ticker, ticker, unnest(CASE WHEN coalesce(len(names), 0) = 0 THEN [''] ELSE names END) AS soccer_team FROM n
+"""

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -71,8 +73,9 @@ def _remove(spark: SparkSession, folder: str) -> None:
     try:
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    except Exception:  # the JVM may be gone already; the folder is then left
-        pass
+    except Exception:  # the JVM may be gone already
+        if folder.startswith(("/", "file:")):
+            shutil.rmtree(re.sub(r"^file:/*", "/", folder), ignore_errors=True)
 
 
 def cut(df: DataFrame) -> DataFrame:
