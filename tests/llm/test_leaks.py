@@ -90,6 +90,14 @@ def test_long_text_is_searched_whole(spark):
     assert [(r.doc_id, r.item_id) for r in find_leaks(df, it).collect()] == [(1, 7)]
 
 
+def test_ids_of_other_types(spark):
+    rng = random.Random(4)
+    item = passage(rng, 60)
+    df = spark.createDataFrame([("d1", " ".join(item)), ("d2", "nothing here " * 30)], "doc_id string, text string")
+    it = spark.createDataFrame([("i1", " ".join(item))], "item_id string, passage string")
+    assert [(r.doc_id, r.item_id) for r in find_leaks(df, it).collect()] == [("d1", "i1")]
+
+
 def test_every_block_keeps_grams():
     rng = random.Random(1)
     index = build_index([(1, " ".join(passage(rng, 90))), (2, "")])

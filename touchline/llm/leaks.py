@@ -33,6 +33,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from touchline.llm.unify import fold_text
 from touchline.session import ship
@@ -322,6 +323,7 @@ def find_leaks(
         parts[-1].append(one)
         room -= len(one[1])
     schema = f"doc_id {docs.schema[doc_id].dataType.simpleString()}, item_id {items.schema[item_id].dataType.simpleString()}, words int"
+    item_type = to_arrow_type(items.schema[item_id].dataType)
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(F.length("text") >= min_words * 2)
     result = None
     for part in parts:
@@ -342,7 +344,6 @@ def find_leaks(
                         [pa.array(d, batch.schema.field(0).type), pa.array(i, item_type), pa.array(w, pa.int32())], ["doc_id", "item_id", "words"]
                     )
 
-        item_type = pa.int64() if items.schema[item_id].dataType.simpleString() == "bigint" else None
         found = source.mapInArrow(scan, schema)
         result = found if result is None else result.unionByName(found)
     return result.groupBy("doc_id", "item_id").agg(F.max("words").alias("words"))
