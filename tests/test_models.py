@@ -115,3 +115,18 @@ def test_shrinkage_and_thirds(spark):
     got = [r[0] for r in df.select(FT.shrunk(F.col("r"), F.col("m"))).collect()]
     assert got == pytest.approx([(90 * 0.5 + 75) / 590, 0.5])
     assert assign_thirds(["C", "A"], {"x": ["A", "B"], "y": ["A"], "z": ["C"]}) == {"x": "A", "y": "TBD", "z": "C"}
+
+
+def test_prediction_contract(spark):
+    from touchline.functions import constants as C
+    from touchline.operators import quality as Q
+
+    good = ("2026-04-01", "WC26-MEX-RSA-2026-06-11", "match_1x2", "home", "0.4", "High", "v1", "")
+    rows = [good, ("2026-4-1", *good[1:]), (good[0], "WC26-F", "totals", "over_2_5", "1.0", "0.3", "v", None), (good[0], "X", "match_1x2", "HOME", "nan", "sure", " ", None), (None,) * 8]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id int, " + ", ".join(f"{c} string" for c in C.PREDICTION_COLUMNS))
+    got = {}
+    for r in Q.row_issues(df, "id", Q.prediction_rules()).collect():
+        got.setdefault(r.id, set()).add(r.issue)
+    assert set(got) == {1, 3, 4}
+    assert got[1] == {"as_of_date"} and got[3] == {"match_id", "outcome", "p_model", "confidence", "model_version"}
+    assert len(got[4]) == 7 - ("outcome" not in got[4])

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from touchline.functions import constants as C
+
 
 def coverage(players: DataFrame, group: str) -> DataFrame:
     """Counts and match rate by group in one aggregate."""
@@ -35,6 +37,34 @@ def group_sum_issues(df: DataFrame, keys: Sequence[str], value: str, low: float
     return sums.where(~F.col("total").between(low, high))
 
 
+def prediction_rules() -> dict[str, Column]:
+    """Rules of the prediction contract, by the name of the issue that a broken
+    one gives; all fields are text."""
+    outcome, market = F.col("outcome"), F.col("market_type")
+    p, sure = F.col("p_model").try_cast("double"), F.lower(F.trim("confidence"))
+    fits = {
+        "match_1x2": outcome.isin("home", "draw", "away"),
+        "outright_winner": outcome.rlike(C.CODE_FORMAT) | (outcome == "OTHER"),
+        "group_winner": outcome.rlike(C.CODE_FORMAT) | (outcome == "OTHER"),
+        "team_advances": outcome.isin("yes", "no"),
+        "btts": outcome.isin("yes", "no"),
+        "totals": outcome.rlike(C.TOTALS_FORMAT),
+        "top_scorer": F.trim(outcome) != "",
+    }
+    by_market = F.lit(True)
+    for name, ok in fits.items():
+        by_market = F.when(market == name, ok).otherwise(by_market)
+    return {
+        "as_of_date": F.col("as_of_date").rlike(C.DAY_FORMAT),
+        "market_type": market.isin(*C.MARKET_TYPES),
+        "match_id": F.col("match_id").rlike("|".join(C.MATCH_ID_FORMATS)),
+        "outcome": by_market,
+        "p_model": p.between(0, 1) & ~F.isnan(p),
+        "confidence": sure.isin(*C.CONFIDENCE_WORDS) | F.coalesce(sure.try_cast("double").between(0, 1), F.lit(False)),
+        "model_version": F.trim("model_version") != "",
+    }
+
+
 @dataclass(frozen=True)
 class Assertion:
     """One number that a query gives and the bounds in which it must lie."""

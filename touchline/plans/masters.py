@@ -396,6 +396,21 @@ def _quality(add) -> None:
         s = table(spark, d, "polymarket_snapshot", ["snap_id", "yes_price", "outcome", "as_of_date"])
         return Q.row_issues(s, "snap_id", {"price": F.col("yes_price").between(0, 1), "outcome": F.length(F.trim("outcome")) > 0, "day": F.col("as_of_date").rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$")})
 
+    ids = "^(WC26-[A-Z]{3}-[A-Z]{3}-[0-9]{4}-[0-9]{2}-[0-9]{2}|WC26-(R32|R16|QF|SF)-[0-9]{2}|WC26-F|OUTRIGHT-WC2026|GROUP-[A-L]-WC2026|ADVANCE-[A-Z]{3}-WC2026|GOLDENBOOT-WC2026)$"
+
+    @add("d02_prediction_contract", f"""
+        WITH s AS (SELECT snap_id, as_of_date, match_id, market_type, outcome, yes_price AS p FROM polymarket_snapshot)
+        SELECT snap_id, 'match_id' AS issue FROM s WHERE NOT coalesce(regexp_matches(match_id, '{ids}'), false)
+        UNION ALL SELECT snap_id, 'as_of_date' FROM s WHERE NOT coalesce(regexp_matches(as_of_date, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$'), false)
+        UNION ALL SELECT snap_id, 'market_type' FROM s WHERE NOT coalesce(market_type IN ('match_1x2', 'outright_winner', 'group_winner', 'team_advances', 'top_scorer', 'totals', 'btts'), false)
+        UNION ALL SELECT snap_id, 'p_model' FROM s WHERE NOT coalesce(p BETWEEN 0 AND 1, false)
+        UNION ALL SELECT snap_id, 'outcome' FROM s WHERE NOT coalesce(CASE WHEN market_type = 'match_1x2' THEN outcome IN ('home', 'draw', 'away')
+            WHEN market_type IN ('outright_winner', 'group_winner') THEN regexp_matches(outcome, '^[A-Z]{{3}}$') OR outcome = 'OTHER' WHEN market_type IN ('team_advances', 'btts') THEN outcome IN ('yes', 'no')
+            WHEN market_type = 'totals' THEN regexp_matches(outcome, '^(over|under)_[0-9]+(_[0-9]+)?$') WHEN market_type = 'top_scorer' THEN trim(outcome) <> '' ELSE true END, false)""")
+    def d02b(spark, d):
+        s = table(spark, d, "polymarket_snapshot", ["snap_id", "as_of_date", "match_id", "market_type", "outcome", "yes_price"])
+        return Q.row_issues(s.withColumns({"p_model": F.col("yes_price").cast("string"), "confidence": F.lit("0.5"), "model_version": F.lit("v")}), "snap_id", Q.prediction_rules())
+
     @add("d03_group_sums", "SELECT match_id, market_type, as_of_date, round(sum(yes_price), 6) AS total, count(*) AS n FROM polymarket_snapshot GROUP BY 1, 2, 3 HAVING NOT (round(sum(yes_price), 6) BETWEEN 0.99 AND 1.01)")
     def d03(spark, d):
         return Q.group_sum_issues(table(spark, d, "polymarket_snapshot", ["match_id", "market_type", "as_of_date", "yes_price"]), ["match_id", "market_type", "as_of_date"], "yes_price")

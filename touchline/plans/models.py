@@ -118,6 +118,16 @@ def _scalars(add) -> None:
     def x09(spark, d):
         return table(spark, d, "documents", ["doc_id", "source"]).where("source is not null").select("doc_id", X.keyword_weight(F.col("source"), [("match", 1.0), ("market", 0.7), ("feed", 0.5)], 0.2).alias("weight"))
 
+    @add("x09_tournament_weight", """
+        SELECT match_no, CASE match_no % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 1.0 WHEN 2 THEN 0.6 ELSE 0.35 END::DOUBLE AS w, CASE match_no % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 0.7 WHEN 2 THEN 0.6 ELSE 0.35 END::DOUBLE AS w_longest FROM match_results""")
+    def x09b(spark, d):
+        from touchline.functions.constants import IMPORTANCE, IMPORTANCE_OF_OTHERS
+
+        k = F.col("match_no") % 4
+        name = F.when(k == 0, "FIFA World Cup").when(k == 1, "FIFA World Cup qualification").when(k == 2, "UEFA Nations League").otherwise("Friendly")
+        m = table(spark, d, "match_results", ["match_no"])
+        return m.select("match_no", X.keyword_weight(name, IMPORTANCE, IMPORTANCE_OF_OTHERS).alias("w"), X.keyword_weight(name, IMPORTANCE, IMPORTANCE_OF_OTHERS, longest=True).alias("w_longest"))
+
     @add("x10_time_decay", "SELECT match_no, round(exp(-0.0018 * date_diff('day', match_date, DATE '2026-06-11')), 9) AS w FROM match_results")
     def x10(spark, d):
         return table(spark, d, "match_results", ["match_no", "match_date"]).select("match_no", F.round(X.time_decay(F.datediff(F.lit("2026-06-11").cast("date"), "match_date"), 0.0018), 9).alias("w"))
