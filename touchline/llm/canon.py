@@ -13,6 +13,7 @@ Only distinct values are searched, so repeated ones cost a hash join.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -95,6 +96,7 @@ class BKTree:
 
     root: str | None = None
     children: dict[str, dict[int, str]] = field(default_factory=dict)
+    bags: dict[str, Counter] = field(default_factory=dict)
 
     @classmethod
     def of(cls, entries: Iterable[str]) -> BKTree:
@@ -120,11 +122,28 @@ class BKTree:
                 return
             at = below[d]
 
+    def _lacking(self, own: Counter, entry: str) -> int:
+        """Letters that either side has too few of, a lower bound of the distance."""
+        bag = self.bags.get(entry)
+        if bag is None:
+            bag = self.bags[entry] = Counter(entry)
+        get, other = own.get, bag.get
+        return max(sum(n - min(n, other(c, 0)) for c, n in own.items()), sum(n - min(n, get(c, 0)) for c, n in bag.items()))
+
     def within(self, value: str, threshold: int) -> list[tuple[int, str]]:
         """Every entry within ``threshold``, nearest first."""
         found, todo = [], [self.root] if self.root is not None else []
+        own = Counter(value)
         while todo:
             at = todo.pop()
+            if not self.children[at]:
+                # nothing hangs below: only entries within the threshold matter,
+                # and each missing letter costs an edit
+                if self._lacking(own, at) <= threshold:
+                    d = distance(value, at, threshold)
+                    if d <= threshold:
+                        found.append((d, at))
+                continue
             d = distance(value, at)
             if d <= threshold:
                 found.append((d, at))
