@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from touchline.session import cut
 from touchline.sources.tables import table
 
 #: Matches from line items: two of twenty teams that are never equal.
@@ -37,8 +38,8 @@ def matches(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-#: National results with played scores in the plainest writing, as team codes
-#: aren't needed: names as written.
+#: National results with played scores in the plainest writing, names as written:
+#: only a part of what :func:`results` gives.
 RESULTS_SQL = """
 SELECT match_no, match_date, lower(trim(regexp_extract(match, '^(.+?) vs (.+)$', 1))) AS home,
        lower(trim(regexp_extract(match, '^(.+?) vs (.+)$', 2))) AS away,
@@ -50,17 +51,56 @@ WHERE regexp_matches(match, '^.+? vs .+$') AND regexp_matches(score, '^[0-9]+-[0
 """
 
 
+#: How sides, goals and shoot-outs are written.
+_SIDES = r"(?i)^\s*(.+?)\s+(?:vs\.?|v\.?|-|–|—)\s+(.+?)\s*$"
+_SCORE = r"^\D*(\d+)\s*[-–—:]\s*(\d+)"
+_PENS = r"(?i)\((\d+)\s*[-–—:]\s*(\d+)\s*p"
+
+
 def results(spark: SparkSession, folder: str) -> DataFrame:
-    """``match_no, match_date, home, away, hg, ag`` and the model columns."""
-    df = table(spark, folder, "match_results")
-    side = lambda i: F.lower(F.trim(F.regexp_extract("match", r"^(.+?) vs (.+)$", i)))
-    goals = lambda i: F.regexp_extract("score", r"^([0-9]+)-([0-9]+)$", i).cast("int")
-    return df.where(F.col("match").rlike(r"^.+? vs .+$") & F.col("score").rlike(r"^[0-9]+-[0-9]+$")).select(
-        "match_no", "match_date", side(1).alias("home"), side(2).alias("away"), goals(1).alias("hg"), goals(2).alias("ag"),
-        "is_ko", "tier", "elo_h", "elo_d", "elo_a", "elo_pred", F.upper(F.trim("actual")).alias("actual"),
+    """``match_no, match_date, home, away, hg, ag``, the model columns and the
+    teams' codes, of every row.
+
+    A side is the listed name of the team it means, in the consistent form, so
+    that all writings of a team are one; what means no listed team stays as written. Goals are null
+    without a score. ``actual`` is H, D or A as told, else by score and shoot-out.
+    """
+    from touchline.llm.canon import UNMATCHED, team_matches
+    from touchline.llm.unify import unify_column
+
+    df = table(spark, folder, "match_results").withColumns({"left": F.regexp_extract("match", _SIDES, 1), "right": F.regexp_extract("match", _SIDES, 2)})
+    teams = table(spark, folder, "teams")
+    typed = df.select(F.explode(F.array("left", "right")).alias("typed")).where("typed <> ''")
+    codes = team_matches(typed, "typed", teams, table(spark, folder, "team_aliases")).where(F.col("code") != UNMATCHED)
+    listed = unify_column(teams.select("team_code", "team_name"), "team_name", "name")
+    names = cut(codes.join(listed, F.col("code") == F.col("team_code")).select("typed", "code", F.lower("name").alias("name")))
+    side = lambda c: names.select(F.col("typed").alias(c), F.col("code").alias(f"{c}_code"), F.col("name").alias(f"{c}_name"))
+    written = lambda c: F.coalesce(f"{c}_name", F.when(F.trim(c) != "", F.lower(F.trim(c))))
+    goals = [F.regexp_extract("score", _SCORE, i).try_cast("int") for i in (1, 2)]
+    pens = [F.regexp_extract("score", _PENS, i).try_cast("int") for i in (1, 2)]
+    by_goals = F.when(goals[0] > goals[1], "H").when(goals[0] < goals[1], "A").when(pens[0] > pens[1], "H").when(pens[0] < pens[1], "A").when(goals[0] == goals[1], "D")
+    told = F.upper(F.substring(F.trim("actual"), 1, 1))
+    return df.join(side("left"), "left", "left").join(side("right"), "right", "left").select(
+        "match_no", "match_date", written("left").alias("home"), written("right").alias("away"), goals[0].alias("hg"), goals[1].alias("ag"),
+        "is_ko", "tier", "elo_h", "elo_d", "elo_a", "elo_pred", F.coalesce(F.when(told.isin("H", "D", "A"), told), by_goals).alias("actual"),
+        F.col("left_code").alias("home_code"), F.col("right_code").alias("away_code"),
     )
 
 
+def scored(spark: SparkSession, folder: str) -> DataFrame:
+    """The results with two sides and their goals."""
+    return results(spark, folder).dropna(subset=["home", "away", "hg", "ag"])
+
+
+def decided(spark: SparkSession, folder: str) -> DataFrame:
+    """The results with two sides and an outcome; where no score is given, ``hg``
+    and ``ag`` only say who won."""
+    r = results(spark, folder).dropna(subset=["home", "away", "actual"])
+    won = lambda side: F.when(F.col("actual") == side, 1).otherwise(0)
+    unknown = F.col("hg").isNull() | F.col("ag").isNull()
+    return r.withColumns({"hg": F.when(unknown, won("H")).otherwise(F.col("hg")), "ag": F.when(unknown, won("A")).otherwise(F.col("ag"))})
+
+
 #: Player facts of two sources, long: orders are one source, line items of an
 #: order the other.
 FACTS_SQL = """

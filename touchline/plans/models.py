@@ -176,7 +176,7 @@ def _scalars(add) -> None:
 
     @add("x18_head_to_head_share", f"SELECT match_no, CASE WHEN hg + ag > 0 THEN round_even(CAST(hg AS DOUBLE) / (hg + ag) * 100, 1) ELSE 50.0 END AS share FROM ({A.RESULTS_SQL})")
     def x18(spark, d):
-        return A.results(spark, d).select("match_no", X.share_percent(F.col("hg").cast("double"), F.col("ag").cast("double")).alias("share"))
+        return A.scored(spark, d).select("match_no", X.share_percent(F.col("hg").cast("double"), F.col("ag").cast("double")).alias("share"))
 
     @add("x19_variation", f"SELECT match_no, round(sqrt((pow(elo_h - m, 2) + pow(elo_d - m, 2) + pow(elo_a - m, 2)) / 3) / m, 6) AS cv FROM (SELECT *, (elo_h + elo_d + elo_a) / 3 AS m FROM ({A.RESULTS_SQL}))")
     def x19(spark, d):
@@ -253,7 +253,7 @@ def _models(add) -> None:
 
     @add("m07_poisson_fit")
     def m07(spark, d):
-        m = A.results(spark, d).withColumn("w", M.match_weight(F.col("match_date"), "2026-06-11", 0.0018, F.when(F.col("is_ko"), 1.0).otherwise(0.7)))
+        m = A.scored(spark, d).withColumn("w", M.match_weight(F.col("match_date"), "2026-06-11", 0.0018, F.when(F.col("is_ko"), 1.0).otherwise(0.7)))
         fit = M.poisson_fit(m, "home", "away", "hg", "ag", "w")
         return fit.select("team", *[F.round(c, 6).alias(c) for c in ("attack", "defence", "home_edge")])
 
@@ -317,7 +317,7 @@ def _models(add) -> None:
         WITH m AS ({A.RESULTS_SQL}), t AS (SELECT home AS team, ag AS c FROM m UNION ALL SELECT away, hg FROM m), a AS (SELECT team, avg(c) AS v, count(*) AS n FROM t GROUP BY 1)
         SELECT team, round(CASE WHEN n >= 20 THEN v ELSE (SELECT median(v) FROM a WHERE n >= 20) END, 6) AS rating FROM a""")
     def m15(spark, d):
-        c = FT.opponent_credited(A.results(spark, d), "home", "away", "hg", "ag")
+        c = FT.opponent_credited(A.scored(spark, d), "home", "away", "hg", "ag")
         v = c.withColumn("v", F.when(F.col("n_matches") >= 20, F.col("conceded") / F.col("n_matches")))
         return FT.with_quantile_fallback(v.select("team", "v"), "v", 0.5).select("team", F.round("rating", 6).alias("rating"))
 

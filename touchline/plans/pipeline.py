@@ -54,15 +54,14 @@ def fact_player_xg(staging: DataFrame) -> DataFrame:
 
 
 def fact_team_rating(spark: SparkSession, d: str) -> DataFrame:
-    """Long ratings of the teams that stand in the results as in the list."""
-    m = A.results(spark, d)
+    """Long ratings of the listed teams, by the results of all their writings."""
+    m = A.scored(spark, d)
     sides = F.explode(F.array(
-        F.struct(F.col("home").alias("t"), F.col("hg").alias("f"), F.col("ag").alias("a"), "match_date"), F.struct(F.col("away").alias("t"), F.col("ag").alias("f"), F.col("hg").alias("a"), "match_date")
+        F.struct(F.col("home_code").alias("team_code"), F.col("hg").alias("f"), F.col("ag").alias("a"), "match_date"), F.struct(F.col("away_code").alias("team_code"), F.col("ag").alias("f"), F.col("hg").alias("a"), "match_date")
     )).alias("s")
     recent = F.col("match_date") >= F.lit("2022-01-01").cast("date")
-    wide = m.select(sides).select("s.*").groupBy("t").agg(F.avg("f").alias("attack"), F.avg("a").alias("defence"), F.avg(F.when(recent, F.col("f"))).alias("recent_form"))
-    teams = table(spark, d, "teams", ["team_code", "team_name"]).select("team_code", F.lower("team_name").alias("t"))
-    return unpivot(wide.join(teams, "t").drop("t"), ["team_code"], ["attack", "defence", "recent_form"], "rating_type", "rating_value")
+    wide = m.select(sides).select("s.*").where("team_code is not null").groupBy("team_code").agg(F.avg("f").alias("attack"), F.avg("a").alias("defence"), F.avg(F.when(recent, F.col("f"))).alias("recent_form"))
+    return unpivot(wide, ["team_code"], ["attack", "defence", "recent_form"], "rating_type", "rating_value")
 
 
 def build(spark: SparkSession, d: str) -> dict[str, DataFrame]:

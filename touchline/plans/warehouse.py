@@ -105,7 +105,7 @@ def register(registry: Registry) -> None:
     def a10(spark, d):
         from touchline.operators.features import opponent_credited
 
-        return opponent_credited(A.results(spark, d), "home", "away", "hg", "ag")
+        return opponent_credited(A.scored(spark, d), "home", "away", "hg", "ag")
 
     @add("a11_sum_all_numeric", """
         SELECT l_suppkey, CAST(sum(l_linenumber) AS BIGINT) AS l_linenumber, round(sum(l_quantity), 4) AS l_quantity,
@@ -325,7 +325,7 @@ def register(registry: Registry) -> None:
         att AS (SELECT team, avg(f) AS v FROM t GROUP BY 1), def AS (SELECT team, avg(a) AS v FROM t GROUP BY 1)
         SELECT att.team, round(att.v, 4) AS attack, round(def.v, 4) AS defence, round(att.v - def.v, 4) AS net FROM att JOIN def USING (team)""")
     def j05(spark, d):
-        m = A.results(spark, d)
+        m = A.scored(spark, d)
         t = m.select(F.explode(F.array(F.struct(F.col("home").alias("team"), F.col("hg").alias("f"), F.col("ag").alias("a")), F.struct(F.col("away").alias("team"), F.col("ag").alias("f"), F.col("hg").alias("a")))).alias("x")).select("x.*")
         # one conditional aggregate instead of a self-join of two filtered scans
         return t.groupBy("team").agg(F.round(F.avg("f"), 4).alias("attack"), F.round(F.avg("a"), 4).alias("defence"), F.round(F.avg("f") - F.avg("a"), 4).alias("net"))
@@ -347,7 +347,7 @@ def register(registry: Registry) -> None:
         SELECT m.match_no, l.gx AS ref_home, l.gy AS ref_away FROM m LEFT JOIN l ON m.home = l.x AND m.away = l.y""")
     def j07(spark, d):
         m = A.results(spark, d)
-        k = m.where("is_ko").select(F.col("home").alias("x"), F.col("away").alias("y"), F.col("hg").alias("ref_home"), F.col("ag").alias("ref_away"), "match_date", F.col("match_no").alias("no"))
+        k = m.where("is_ko and hg is not null and ag is not null").select(F.col("home").alias("x"), F.col("away").alias("y"), F.col("hg").alias("ref_home"), F.col("ag").alias("ref_away"), "match_date", F.col("match_no").alias("no"))
         look = R.mirrored(k, "x", "y", {"ref_home": "ref_away", "ref_away": "ref_home"}, [F.desc("match_date"), F.desc("no")])
         return m.join(look, (m["home"] == look["x"]) & (m["away"] == look["y"]), "left").select("match_no", "ref_home", "ref_away")
 
@@ -422,7 +422,7 @@ def register(registry: Registry) -> None:
     def w02(spark, d):
         from touchline.operators.models import team_points
 
-        t = team_points(A.results(spark, d))
+        t = team_points(A.decided(spark, d))
         refs = t.select("team").distinct().withColumn("ref_day", F.lit("2022-11-20").cast("date"))
         out = R.last_n_before(refs, t, "team", "match_date", "ref_day", "points", 10, ["match_no"], 0.5, "form")
         return out.select("team", "ref_day", F.round("form", 6).alias("form"), F.col("n_used").cast("bigint").alias("n_used"))
