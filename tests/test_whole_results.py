@@ -42,3 +42,40 @@ def test_queries_leave_out_only_what_they_cannot_use(spark, odd_results):
     assert {(r.team, r.n_used) for r in run("w02_form_before_date").collect()} == {("alkovia", 5), ("dradovia", 5)}
     assert {(r.team_code, r.attack, r.defence) for r in run("q03_attack_against_defence_of_teams").collect()} == {("AKA", 1.75, 1.25), ("DRD", 1.25, 1.75)}
     assert {(r.match_no, r.label) for r in run("x20_confidence_label").collect()} >= {(2, "host"), (4, "high")}
+
+
+NAMES = ["José Núñez", "Tava, Vik (jr.)", "Ｆull Width", "Zo\u200be Ana", "Козлов Иван", "A. B.", "Smith & <Sons>", "Ångström Bjo\u0308rn", "  Two   Spaces ", None]
+CLUBS = ["Real Norte", None, "St. Mary, (B) & Co", "F<C", "Ñandú", " ", "Plain Club", "O'X", "A-B", "Last"]
+
+
+@pytest.fixture()
+def odd_players(spark, tmp_path):
+    rows = [(i, n, "Iñland & Co" if i % 2 else "Two Word", c, ("GK", "DF", "MF", "FW")[i % 4]) for i, (n, c) in enumerate(zip(NAMES, CLUBS))]
+    spark.createDataFrame(rows, "row_id bigint, display_name string, nation_name string, current_club string, position string").write.parquet(f"{tmp_path}/players.parquet")
+    return str(tmp_path), rows
+
+
+def test_names_are_normalized_in_every_writing(spark, odd_players):
+    import unicodedata
+
+    from touchline.functions.text import normalize, simplify
+
+    folder, rows = odd_players
+    for query, column, brute in (("e01_normalized_name", "nn", normalize), ("e08_first_and_last_word", "short", simplify)):
+        got = {r["row_id"]: r[column] for r in QUERIES[query](spark, folder).collect()}
+        assert got == {r[0]: None if r[1] is None else brute(r[1]) for r in rows}
+    assert unicodedata.normalize("NFKD", "Ｆ")[0] == "F" and normalize("Ｆull Width") == "full width"
+
+
+def test_pages_carry_every_player(spark, odd_players):
+    folder, rows = odd_players
+    read = lambda s: " ".join((s or "").split())
+    named = [r for r in rows if r[1]]
+    got = {(r.nation, r.position_bucket, r.name, r.club) for r in QUERIES["s11_roster_pages"](spark, folder).collect()}
+    assert got == {(r[2], r[4], r[1].strip(), (r[3] or "").strip() or None) for r in named}
+    got = {(r.player_name, r.club_team) for r in QUERIES["s12_wiki_tables"](spark, folder).collect()}
+    assert got == {(read(r[1]), read(r[3])) for r in rows}
+    got = {(r.position, r["name"], r.club) for r in QUERIES["s13_rows_by_pattern"](spark, folder).collect()}
+    assert got == {(r[4], read(r[1]), read(r[3])) for r in rows}
+    got = {(r.nation, r["name"], r.club) for r in QUERIES["e21_player_lists"](spark, folder).collect()}
+    assert got == {(r[2], r[1].strip(), (r[3] or "").strip() or None) for r in named}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from touchline.functions import text as TX
 from touchline.operators import entity as E
@@ -17,7 +17,7 @@ from touchline.sources.tables import register as register_views
 from touchline.sources.tables import table
 
 NORMAL = "trim(regexp_replace(regexp_replace(lower(strip_accents({0})), '[^a-z0-9\\s-]', ' ', 'g'), '\\s+', ' ', 'g'))"
-#: Letters that both engines take the accents off in the same way.
+#: Letters that both engines take the accents off in the same way; only the SQL is bound to them.
 PLAIN = "[A-Za-z0-9àáâãäèéêëìíîïòóôõöùúûüçñšžÀ-ÖÙ-Ý .,''-]+"
 #: The master as an entity list: the last row of each player.
 MASTER_SQL = """SELECT player_id, normalized_name AS nn, country_code AS cc, lower(trim(current_club)) AS club, birth_year AS byr, understat_id AS uid
@@ -26,12 +26,14 @@ FROM (SELECT *, row_number() OVER (PARTITION BY player_id ORDER BY loaded_at DES
 
 #: Rows of one page or roster, so that no page grows with the data.
 ROSTER = 200
-#: Players whose fields can stand in a page as they are.
+#: Players whose fields can stand in a page as they are, a part of all; only the SQL is bound to them.
 USABLE = "regexp_full_match(display_name, '[A-Za-z ]+') AND regexp_full_match(nation_name, '[A-Za-z]+') AND regexp_full_match(current_club, '[A-Za-z]+ [A-Za-z]+') AND position IN ('GK', 'DF', 'MF', 'FW')"
 
 
-def _usable(p: DataFrame) -> DataFrame:
-    return p.where(F.col("display_name").rlike("^[A-Za-z ]+$") & F.col("nation_name").rlike("^[A-Za-z]+$") & F.col("current_club").rlike("^[A-Za-z]+ [A-Za-z]+$") & F.col("position").isin("GK", "DF", "MF", "FW"))
+def _line() -> Column:
+    """``Name (Club)`` of a player; without a name there is nothing to list."""
+    club = F.when(F.trim("current_club") != "", F.concat(F.lit(" ("), html.listed(F.col("current_club")), F.lit(")")))
+    return F.concat(html.listed(F.col("display_name")), F.coalesce(club, F.lit("")))
 
 
 def master(spark: SparkSession, d: str) -> DataFrame:
@@ -68,7 +70,7 @@ TIERS_SQL = f"""
 def _entities(add) -> None:
     @add("e01_normalized_name", f"SELECT row_id, {NORMAL.format('display_name')} AS nn FROM players WHERE regexp_full_match(display_name, '{PLAIN}')")
     def e01(spark, d):
-        p = table(spark, d, "players", ["row_id", "display_name"]).where(F.col("display_name").rlike("^" + PLAIN.replace("''", "'") + "$"))
+        p = table(spark, d, "players", ["row_id", "display_name"])
         return TX.with_normalized(p, "display_name", "nn").select("row_id", "nn")
 
     @add("e02_country_code", """
@@ -108,7 +110,7 @@ def _entities(add) -> None:
 
     @add("e08_first_and_last_word", "SELECT row_id, CASE WHEN len(w) < 2 THEN w[1] ELSE w[1] || ' ' || w[-1] END AS short FROM (SELECT row_id, string_split_regex(trim(lower(strip_accents(display_name))), '\\s+') AS w FROM players WHERE regexp_full_match(display_name, '" + PLAIN + "'))")
     def e08(spark, d):
-        p = table(spark, d, "players", ["row_id", "display_name"]).where(F.col("display_name").rlike("^" + PLAIN.replace("''", "'") + "$"))
+        p = table(spark, d, "players", ["row_id", "display_name"])
         return TX.with_simplified(p, "display_name", "short").select("row_id", "short")
 
     @add("e09_search_score", "SELECT c_custkey, CASE WHEN contains(lower(c_name), 'customer') THEN 10.0 ELSE 0.0 END + 0 + least(c_acctbal / 1e5, 5.0) AS score FROM customer")
@@ -184,9 +186,8 @@ def _entities(add) -> None:
 
     @add("e21_player_lists", f"SELECT nation_name AS nation, display_name AS name, current_club AS club FROM players WHERE {USABLE}")
     def e21(spark, d):
-        p = _usable(table(spark, d, "players", ["row_id", "display_name", "nation_name", "current_club", "position"]))
-        line = F.concat("display_name", F.lit(" ("), "current_club", F.lit(")"))
-        lists = p.groupBy("nation_name", F.floor(F.col("row_id") / ROSTER)).agg(F.array_join(F.collect_list(line), ", ").alias("text"))
+        p = table(spark, d, "players", ["row_id", "display_name", "nation_name", "current_club"])
+        lists = p.groupBy("nation_name", F.floor(F.col("row_id") / ROSTER)).agg(F.array_join(F.collect_list(_line()), ", ").alias("text"))
         return html.list_scan(lists, "nation_name", "text").select(F.col("nation_name").alias("nation"), "name", "club")
 
     @add("e22_dedupe_in_team", """
@@ -318,19 +319,24 @@ def _sources(add) -> None:
 
 
 def _pages(spark: SparkSession, d: str, kind: str) -> DataFrame:
-    """Roster pages of the nations, of a bounded size, written from the players."""
-    p = _usable(table(spark, d, "players", ["row_id", "display_name", "nation_name", "current_club", "position"]))
+    """Roster pages of the nations, of a bounded size, written from all players.
+
+    What a page has no place for its reader can't give: rosters need a nation, a
+    position and a name, rows by pattern a position.
+    """
+    p = table(spark, d, "players", ["row_id", "display_name", "nation_name", "current_club", "position"])
+    cell = lambda c: F.coalesce(html.escaped(F.col(c)), F.lit(""))
     page = F.floor(F.col("row_id") / ROSTER)
     if kind == "roster":
         names = {"GK": "Goalkeepers", "DF": "Defenders", "MF": "Midfielders", "FW": "Forwards"}
         label = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[F.col("position")]
-        line = F.concat(F.lit("<p><strong>"), label, F.lit(":</strong> "), "display_name", F.lit(" ("), "current_club", F.lit(")</p>"))
+        line = F.concat(F.lit("<p><strong>"), label, F.lit(":</strong> "), html.escaped(_line()), F.lit("</p>"))
         body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_id", line.alias("h")))), lambda x: x["h"]), "\n")
-        return p.groupBy("nation_name", page).agg(body.alias("b")).select(F.concat(F.lit("<h2>Group A</h2><h3>"), "nation_name", F.lit("</h3>"), "b").alias("html"))
+        return p.groupBy("nation_name", page).agg(body.alias("b")).select(F.concat(F.lit("<h2>Group A</h2><h3>"), html.escaped(F.col("nation_name")), F.lit("</h3>"), "b").alias("html"))
     if kind == "wiki":
-        line = F.concat(F.lit("<tr><td>"), "display_name", F.lit("</td><td>"), "current_club", F.lit("</td></tr>"))
+        line = F.concat(F.lit("<tr><td>"), cell("display_name"), F.lit("</td><td>"), cell("current_club"), F.lit("</td></tr>"))
         return p.groupBy("nation_name", page).agg(F.array_join(F.collect_list(line), "").alias("b")).select(F.concat(F.lit('<table class="wikitable sortable"><tr><th>Player name</th><th>Club/Team</th></tr>'), "b", F.lit("</table>")).alias("html"))
-    line = F.concat(F.lit("<tr class=x><td>"), "position", F.lit("</td><td><a href='#'>"), "display_name", F.lit("</a></td>\n<td>"), "current_club", F.lit("</td></tr>"))
+    line = F.concat(F.lit("<tr class=x><td>"), cell("position"), F.lit("</td><td><a href='#'>"), cell("display_name"), F.lit("</a></td>\n<td>"), cell("current_club"), F.lit("</td></tr>"))
     return p.groupBy("nation_name", page).agg(F.array_join(F.collect_list(line), "\n").alias("html"))
 
 

@@ -7,17 +7,22 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from touchline.session import ship
 
 POSITIONS = {"goalkeepers": "GK", "defenders": "DF", "midfielders": "MF", "forwards": "FW", "gk": "GK", "df": "DF", "mf": "MF", "fw": "FW"}
 _ID = re.compile(r"/player/_/id/(\d+)")
+_ESCAPED, _KEPT = re.compile(r"\\(.)", re.S), re.compile("\0(\\d+)\0")
 
 
 def split_players(text: str, ids: dict[str, str] | None = None, bucket: str | None = None) -> list[dict[str, str | None]]:
     """Players of ``Name (Club), Name (Club)``; a comma inside parentheses parts
-    nothing, and a missing parenthesis at the end is closed."""
+    nothing, and a missing parenthesis at the end is closed. A character after a
+    backslash stands for itself."""
+    kept: list[str] = []
+    text = _ESCAPED.sub(lambda m: kept.append(m.group(1)) or f"\0{len(kept) - 1}\0", text)
+    whole = lambda s: _KEPT.sub(lambda m: kept[int(m.group(1))], s)
     parts, depth, part = [], 0, ""
     for ch in text:
         if ch == "," and depth <= 0:
@@ -29,8 +34,8 @@ def split_players(text: str, ids: dict[str, str] | None = None, bucket: str | No
     out = []
     for entry in (p.strip().strip(".").strip() for p in [*parts, part]):
         m = re.match(r"^(.*?)\s*(?:\((.*?)\)?)?\s*$", entry)
-        name = (m.group(1) if m else entry).strip()
-        club = m.group(2).strip() if m and m.group(2) else None
+        name = whole(m.group(1) if m else entry).strip()
+        club = whole(m.group(2)).strip() or None if m and m.group(2) else None
         if name:
             out.append({"espn_player_id": (ids or {}).get(name), "name": name, "position_bucket": bucket, "club": club})
     return out
@@ -191,10 +196,26 @@ def table_scan(pages: DataFrame, columns: list[str], html: str = "html", css: st
     return pages.select(F.col(html).alias("page")).mapInPandas(run, ", ".join(f"`{c}` string" for c in columns))
 
 
+def escaped(text: Column) -> Column:
+    """``text`` as it can stand in a page."""
+    return F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
+def listed(text: Column) -> Column:
+    """``text`` as it can stand in a list of players."""
+    return F.regexp_replace(text, r"([\\,().])", r"\\$1")
+
+
+def _plain(text: Column) -> Column:
+    for written, meant in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+        text = F.replace(text, F.lit(written), F.lit(meant))
+    return text
+
+
 def row_scan(pages: DataFrame, html: str = "html") -> DataFrame:
     """``position, name, club`` of ``<tr>`` rows, by pattern alone and in the JVM."""
     rows = pages.select(F.explode(F.regexp_extract_all(html, F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), F.lit(1))).alias("row"))
-    cells = F.transform(F.regexp_extract_all("row", F.lit(r"(?is)<td[^>]*>(.*?)</td>"), F.lit(1)), lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, r"<[^>]+>", ""), r"\s+", " ")))
+    cells = F.transform(F.regexp_extract_all("row", F.lit(r"(?is)<td[^>]*>(.*?)</td>"), F.lit(1)), lambda c: _plain(F.trim(F.regexp_replace(F.regexp_replace(c, r"<[^>]+>", ""), r"\s+", " "))))
     out = rows.select(cells.alias("c")).where(F.size("c") >= 3)
     return out.select(F.upper(F.element_at("c", 1)).alias("position"), F.element_at("c", 2).alias("name"), F.element_at("c", 3).alias("club")).where(F.col("position").isin("GK", "DF", "MF", "FW"))
 
