@@ -79,3 +79,41 @@ def test_pages_carry_every_player(spark, odd_players):
     assert got == {(r[4], read(r[1]), read(r[3])) for r in rows}
     got = {(r.nation, r["name"], r.club) for r in QUERIES["e21_player_lists"](spark, folder).collect()}
     assert got == {(r[2], r[1].strip(), (r[3] or "").strip() or None) for r in named}
+
+
+def appearance(roster_id, name, nation, team="Norte", **more):
+    row = dict(roster_id=roster_id, player_name=name, nation=nation, team_title=team, season="2024", minutes="90", goals="1", xg="0.5", shots="2", loaded_at=dt.datetime(2024, 5, 2))
+    return {**row, **more}
+
+
+@pytest.fixture()
+def warehouse(spark, tmp_path):
+    def write(players, seen):
+        full = [(i, pid, nn, nn, code, club, "FW", dt.date(1999, 1, 1), 1999, None, True, dt.datetime(2024, 1, 1)) for i, (pid, nn, code, club) in enumerate(players)]
+        kinds = "row_id bigint, player_id string, display_name string, normalized_name string, country_code string, current_club string, position string, birth_date date, birth_year int, understat_id string, is_active boolean, loaded_at timestamp"
+        spark.createDataFrame(full, kinds).write.parquet(f"{tmp_path}/players.parquet")
+        spark.createDataFrame(seen, "roster_id string, player_name string, nation string, team_title string, season string, minutes string, goals string, xg string, shots string, loaded_at timestamp").write.parquet(f"{tmp_path}/player_matches.parquet")
+        spark.createDataFrame([("AKA", "Alkovia", "AK", True), ("DRD", "Dradovia", "DR", True)], "team_code string, team_name string, iso2_code string, is_wc2026_qualifier boolean").write.parquet(f"{tmp_path}/teams.parquet")
+        spark.createDataFrame([("Old Alkovia", "AKA")], "alias string, team_code string").write.parquet(f"{tmp_path}/team_aliases.parquet")
+        return str(tmp_path)
+
+    return write
+
+
+PLAYERS = [("P000001", "jose nunez", "AKA", "Norte"), ("P000002", "jose nunez", "DRD", "Sur"), ("P000003", "bjorn astrom", "DRD", "Sur")]
+SEEN = [appearance("a", "José Núñez", "Old Alkovia"), appearance("b", "JOSÉ NUÑEZ", " alkvia"), appearance("c", "Jose  Nunez", "DR"), appearance("d", "Björn Åström", None), appearance("e", "José Núñez", None, "Este")]
+
+
+def test_accents_and_typed_nations_resolve(spark, warehouse):
+    from touchline.plans import pipeline as P
+
+    folder = warehouse(PLAYERS, SEEN)
+    want = {"a": ("P000001", "name_country"), "b": ("P000001", "name_country"), "c": ("P000002", "name_country"), "d": ("P000003", "name"), "e": (None, None)}
+    assert {r.roster_id: (r.match_id, r.match_tier) for r in P.appearances(spark, folder).collect()} == want
+    assert {r.roster_id: (r.match_id, r.match_tier) for r in QUERIES["e04_tier_cascade"](spark, folder).collect()} == want
+    assert {r.match_reason for r in P.appearances(spark, folder).where("match_id is null").collect()} == {"ambiguous_name_2"}
+
+
+def test_refresh_updates_people_in_every_writing(spark, warehouse):
+    got = QUERIES["e12_master_refresh"](spark, warehouse(PLAYERS, SEEN[:3])).collect()
+    assert {(r.player_id, r.club) for r in got} == {("P000001", "norte"), ("P000002", "norte"), ("P000003", "sur")}

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from touchline.functions.text import with_normalized
 from touchline.session import cut
 from touchline.sources.tables import table
 
@@ -101,6 +102,18 @@ def decided(spark: SparkSession, folder: str) -> DataFrame:
     return r.withColumns({"hg": F.when(unknown, won("H")).otherwise(F.col("hg")), "ag": F.when(unknown, won("A")).otherwise(F.col("ag"))})
 
 
+def with_person_keys(rows: DataFrame, folder: str, name: str = "player_name", nation: str = "nation") -> DataFrame:
+    """Add ``nn``, the normalized name, and ``cc``, the code of the nation as typed;
+    what means no listed nation has none."""
+    from touchline.llm.canon import UNMATCHED, team_matches
+
+    spark = rows.sparkSession
+    codes = team_matches(rows.select(nation), nation, table(spark, folder, "teams"), table(spark, folder, "team_aliases")).where(F.col("code") != UNMATCHED)
+    known = cut(codes.select(F.col("typed").alias("_typed"), F.col("code").alias("cc")))
+    named = with_normalized(rows, name, "nn").withColumn("nn", F.when(F.col("nn") != "", F.col("nn")))
+    return named.join(known, F.col(nation) == F.col("_typed"), "left").drop("_typed")
+
+
 #: Player facts of two sources, long: orders are one source, line items of an
 #: order the other.
 FACTS_SQL = """

@@ -129,8 +129,8 @@ def _entities(add) -> None:
 
     @add("e12_master_refresh")
     def e12(spark, d):
-        m = master(spark, d).select("player_id", "nn", "cc", "club")
-        rows = table(spark, d, "player_matches", ["player_name", "nation", "team_title"]).select(F.lower("player_name").alias("nn"), F.col("nation").alias("cc"), F.lower(F.trim("team_title")).alias("club"))
+        m = TX.with_normalized(master(spark, d).select("player_id", "nn", "cc", "club"), "nn", "nn")
+        rows = A.with_person_keys(table(spark, d, "player_matches", ["player_name", "nation", "team_title"]), d).withColumn("club", F.lower(F.trim("team_title")))
         one = rows.where("nn is not null").groupBy("nn", "cc").agg(F.max("club").alias("club"))
         return E.refresh_master(m, one, "player_id", [("name_country", ["nn", "cc"])], ["club"], [F.asc("nn"), F.asc_nulls_last("cc")])
 
@@ -205,8 +205,8 @@ def _entities(add) -> None:
 
 def _tiers(spark: SparkSession, d: str) -> DataFrame:
     r = table(spark, d, "player_matches", ["roster_id", "player_name", "nation", "team_title"]).where("roster_id is not null")
-    rows = r.groupBy("roster_id").agg(F.max(F.lower("player_name")).alias("nn"), F.max("nation").alias("cc"), F.max(F.lower(F.trim("team_title"))).alias("club"))
-    return E.resolve_in_tiers(rows, master(spark, d), "player_id", [("name_country", ["nn", "cc"]), ("name_club", ["nn", "club"]), ("name", ["nn"])])
+    rows = A.with_person_keys(r, d).groupBy("roster_id").agg(F.max("nn").alias("nn"), F.max("cc").alias("cc"), F.max(F.lower(F.trim("team_title"))).alias("club"))
+    return E.resolve_in_tiers(rows, TX.with_normalized(master(spark, d), "nn", "nn"), "player_id", [("name_country", ["nn", "cc"]), ("name_club", ["nn", "club"]), ("name", ["nn"])])
 
 
 def _sources(add) -> None:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from touchline.functions.text import with_normalized
 from touchline.operators import entity as E
 from touchline.operators import quality as Q
 from touchline.operators.relational import keep_best, unpivot
@@ -38,8 +39,8 @@ def appearances(spark: SparkSession, d: str) -> DataFrame:
     cols = ["roster_id", "player_name", "nation", "team_title", "season", "minutes", "goals", "xg", "shots", "loaded_at"]
     p = table(spark, d, "player_matches", cols).where("roster_id is not null")
     one = keep_best(p, ["roster_id"], [F.desc("loaded_at"), F.asc_nulls_last("player_name"), F.asc_nulls_last("team_title"), F.asc_nulls_last("xg")])
-    rows = one.withColumns({"nn": F.lower("player_name"), "cc": F.col("nation")})
-    players = dim_player(spark, d).select("player_id", F.col("normalized_name").alias("nn"), F.col("country_code").alias("cc"))
+    rows = A.with_person_keys(one, d)
+    players = with_normalized(dim_player(spark, d), "normalized_name", "nn").select("player_id", "nn", F.col("country_code").alias("cc"))
     return E.resolve_in_tiers(rows, players, "player_id", TIERS)
 
 
