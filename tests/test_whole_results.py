@@ -117,3 +117,13 @@ def test_accents_and_typed_nations_resolve(spark, warehouse):
 def test_refresh_updates_people_in_every_writing(spark, warehouse):
     got = QUERIES["e12_master_refresh"](spark, warehouse(PLAYERS, SEEN[:3])).collect()
     assert {(r.player_id, r.club) for r in got} == {("P000001", "norte"), ("P000002", "norte"), ("P000003", "sur")}
+
+
+def test_sorts_keep_every_row(spark, tmp_path):
+    rows = [(i, None if i % 9 == 0 else 1980 + i % 20, ("GK", "DF", "MF", "FW", None)[i % 5], f"n{i}", "xyz"[i % 3]) for i in range(500)]
+    spark.createDataFrame(rows, "row_id bigint, birth_year int, position string, display_name string, nation_name string").write.parquet(f"{tmp_path}/players.parquet")
+    got = [r.row_id for r in QUERIES["w06_nulls_last"](spark, str(tmp_path)).collect()]
+    assert got == [r[0] for r in sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))]
+    place = {"GK": 0, "DF": 1, "MF": 2, "FW": 3}
+    got = [r.row_id for r in QUERIES["w07_bucket_order"](spark, str(tmp_path)).collect()]
+    assert got == [r[0] for r in sorted(rows, key=lambda r: (place.get(r[2], 9), r[4], r[0]))]

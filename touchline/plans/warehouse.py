@@ -444,14 +444,14 @@ def register(registry: Registry) -> None:
 
     @add("w06_nulls_last", "SELECT row_id, birth_year FROM players ORDER BY birth_year DESC NULLS LAST, row_id LIMIT 100")
     def w06(spark, d):
-        return table(spark, d, "players", ["row_id", "birth_year"]).orderBy(F.desc_nulls_last("birth_year"), "row_id").limit(100)
+        return table(spark, d, "players", ["row_id", "birth_year"]).orderBy(F.desc_nulls_last("birth_year"), "row_id")
 
     @add("w07_bucket_order", """
         SELECT row_id, position, display_name FROM players ORDER BY CASE position WHEN 'GK' THEN 0 WHEN 'DF' THEN 1 WHEN 'MF' THEN 2 WHEN 'FW' THEN 3 ELSE 9 END, nation_name NULLS LAST, row_id LIMIT 200""")
     def w07(spark, d):
         bucket = F.when(F.col("position") == "GK", 0).when(F.col("position") == "DF", 1).when(F.col("position") == "MF", 2).when(F.col("position") == "FW", 3).otherwise(9)
         p = table(spark, d, "players", ["row_id", "position", "display_name", "nation_name"])
-        return p.orderBy(bucket, F.asc_nulls_last("nation_name"), "row_id").limit(200).select("row_id", "position", "display_name")
+        return p.orderBy(bucket, F.asc_nulls_last("nation_name"), "row_id").select("row_id", "position", "display_name")
 
     @add("w08_rank_from_one", "SELECT n_nationkey, CAST(row_number() OVER (ORDER BY n DESC, n_nationkey) AS INTEGER) AS place FROM (SELECT c_nationkey AS n_nationkey, count(*) AS n FROM customer GROUP BY 1)")
     def w08(spark, d):
