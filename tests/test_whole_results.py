@@ -3,6 +3,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from touchline.plans import load_registry
 from touchline.plans import adapters as A
@@ -127,3 +128,26 @@ def test_sorts_keep_every_row(spark, tmp_path):
     place = {"GK": 0, "DF": 1, "MF": 2, "FW": 3}
     got = [r.row_id for r in QUERIES["w07_bucket_order"](spark, str(tmp_path)).collect()]
     assert got == [r[0] for r in sorted(rows, key=lambda r: (place.get(r[2], 9), r[4], r[0]))]
+
+
+@pytest.mark.parametrize("kind, least", [("set", 90.0), ("sort", 70.0)])
+def test_fuzzy_names_lose_no_pair(spark, kind, least):
+    import random
+
+    from touchline.functions.text import token_set_ratio, token_sort_ratio
+    from touchline.operators import entity as E
+
+    draw = random.Random(7)
+    names = ["eduardo tuwomuel", "ibrahim galaesi", "turvagua", "north fritabania", "ana lo", "jean-luc mora"]
+
+    def miswritten(name: str) -> str:
+        at = draw.randrange(len(name) - 1)
+        name = name[:at] + name[at + 1] + name[at] + name[at + 2:] if draw.random() < 0.5 else name[:at] + draw.choice("aeiou") + name[at + 1:]
+        return " ".join(sorted(name.split(), reverse=draw.random() < 0.3))
+
+    left = sorted({("B", miswritten(n)) for n in names for _ in range(40)} | {("B", "edaurdo twomuel"), ("B", "iurahim gaalaesi"), ("C", "turvagua"), ("B", "")})
+    x = spark.createDataFrame(left, "b string, a string").withColumn("l", F.col("a"))
+    y = spark.createDataFrame([("B", n, n) for n in names], "b string, c string, r string")
+    ratio = {"set": token_set_ratio, "sort": token_sort_ratio}[kind]
+    want = {(n, m) for b, n in left for m in names if b == "B" and ratio(n, m) >= least}
+    assert {(r.l, r.r) for r in E.fuzzy_within(x, y, "b", "a", "c", "l", "r", least, 10, kind).collect()} == want

@@ -51,12 +51,26 @@ def split_matches(resolved: DataFrame) -> tuple[DataFrame, DataFrame]:
 def fuzzy_within(left: DataFrame, right: DataFrame, block: str, a: str, b: str, left_key: str, right_key: str, least: float = FUZZY, keep: int = TOP_SCAN, kind: str = "set") -> DataFrame:
     """``left_key, right_key, score``: best similar names inside a block.
 
-    The block is an equality join; pairs that share no beginning of a word are
-    dropped by the JVM before any name is compared.
+    The block is an equality join, and every pair in it counts. The JVM drops
+    only what can't reach ``least``: a ratio of r percent leaves no more edits
+    than the rest of both lengths, and a set ratio of names that share no word
+    is that of their sorted words. Each kind of letter that only one name has is
+    an edit, and words in common have bits in common, which spares most pairs the
+    longer tests.
     """
-    x = left.where(F.col(a).isNotNull()).select(F.col(block).alias("_b"), F.col(left_key).alias("_l"), F.col(a).alias("_x"), F.explode(F.array_distinct(F.transform(F.split(a, r"[\s-]+"), lambda w: F.substring(w, 1, 3)))).alias("_h"))
-    y = right.where(F.col(b).isNotNull()).select(F.col(block).alias("_b"), F.col(right_key).alias("_r"), F.col(b).alias("_y"), F.explode(F.array_distinct(F.transform(F.split(b, r"[\s-]+"), lambda w: F.substring(w, 1, 3)))).alias("_h"))
-    pairs = x.join(y, ["_b", "_h"]).select("_l", "_r", "_x", "_y").distinct()
+    def side(df: DataFrame, key: str, name: str, k: str, n: str, w: str) -> DataFrame:
+        words = F.filter(F.split(F.col(name), r"\s+"), lambda x: x != "")
+        words = F.array_sort(F.array_distinct(words) if kind == "set" else words)
+        return df.where(F.col(name).isNotNull()).select(F.col(block).alias("_b"), F.col(key).alias(k), F.col(name).alias(n), words.alias(w)).distinct()
+
+    x, y = side(left, left_key, a, "_l", "_x", "_v"), side(right, right_key, b, "_r", "_y", "_w")
+    bits = lambda items, value: F.expr(f"aggregate({items}, 0L, (m, i) -> m | shiftleft(1L, pmod({value}, 64)))")
+    x = x.withColumn("_s", F.array_join("_v", " ")).withColumns({"_cx": bits("split(_s, '')", "ascii(i)"), "_hx": bits("_v", "hash(i)")})
+    y = y.withColumn("_t", F.array_join("_w", " ")).withColumns({"_cy": bits("split(_t, '')", "ascii(i)"), "_hy": bits("_w", "hash(i)")})
+    room = f"cast(floor((length(_s) + length(_t)) * {(100 - least) / 100!r} + 1e-6) as int)"
+    close = F.expr(f"bit_count(_cx ^ _cy) <= {room} and abs(length(_s) - length(_t)) <= {room} and levenshtein(_s, _t) <= {room}")
+    able = (F.expr("(_hx & _hy) <> 0") & F.arrays_overlap("_v", "_w")) | close if kind == "set" else close
+    pairs = x.join(y, "_b").where(able).select("_l", "_r", "_x", "_y").distinct()
     scored = with_ratio(pairs, "_x", "_y", "score", kind).where(F.col("score") >= least)
     best = scored.groupBy("_l", "_r").agg(F.max("score").alias("score"))
     return top_n(best, ["_l"], [F.desc("score"), F.asc("_r")], keep).select(F.col("_l").alias(left_key), F.col("_r").alias(right_key), F.round("score", 4).alias("score"))
