@@ -22,6 +22,31 @@ def normalize(name: str) -> str:
     return " ".join(_OTHER.sub(" ", plain.lower()).split())
 
 
+# Ligatures and the letters that their compatibility form has.
+LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl"}
+#: What an accent stripper of SQL drops although it is no accent, and spaces beyond ASCII.
+_UNSEEN = "\u00ad\u034f\u061c" + "".join(map(chr, [*range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2065), *range(0xFE00, 0xFE10)])) + "\ufeff"
+_SPACES = "\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
+def normal_sql(text: str) -> str:
+    """SQL of :func:`normalize`."""
+    full, plain = "".join(map(chr, range(0xFF01, 0xFF5F))), "".join(map(chr, range(0x21, 0x7F))).replace("'", "''")
+    seen = f"translate({text}, '{_UNSEEN}{_SPACES}{full}', '{' ' * len(_UNSEEN + _SPACES)}{plain}')"
+    for one, two in LIGATURES.items():
+        seen = f"replace({seen}, '{one}', '{two}')"
+    return f"trim(regexp_replace(regexp_replace(lower(strip_accents({seen})), '[^a-z0-9\\s-]', ' ', 'g'), '\\s+', ' ', 'g'))"
+
+
+def simple_sql(text: str) -> str:
+    """SQL of :func:`simplify`; characters that SQL would drop with the accents
+    stand aside in the private area meanwhile."""
+    aside = "".join(chr(0xE000 + i) for i in range(len(_UNSEEN)))
+    bare = f"translate(strip_accents(translate({text}, '{_UNSEEN}{_SPACES}', '{aside}{' ' * len(_SPACES)}')), '{aside}', '{_UNSEEN}')"
+    words = f"string_split_regex(trim(lower({bare})), '\\s+')"
+    return f"CASE WHEN len({words}) < 2 THEN {words}[1] ELSE {words}[1] || ' ' || {words}[-1] END"
+
+
 @lru_cache(maxsize=1 << 16)
 def simplify(name: str) -> str:
     """First and last word, in lower case without accents."""

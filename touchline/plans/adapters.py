@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from touchline.functions.text import with_normalized
-from touchline.session import cut
+from touchline.operators.teams import codes_sql, key_sql, own_name, team_list, with_team_codes
 from touchline.sources.tables import table
 
 #: Matches from line items: two of twenty teams that are never equal.
@@ -39,52 +39,50 @@ def matches(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-#: National results with played scores in the plainest writing, names as written:
-#: only a part of what :func:`results` gives.
-RESULTS_SQL = """
-SELECT match_no, match_date, lower(trim(regexp_extract(match, '^(.+?) vs (.+)$', 1))) AS home,
-       lower(trim(regexp_extract(match, '^(.+?) vs (.+)$', 2))) AS away,
-       CAST(regexp_extract(score, '^([0-9]+)-([0-9]+)$', 1) AS INTEGER) AS hg,
-       CAST(regexp_extract(score, '^([0-9]+)-([0-9]+)$', 2) AS INTEGER) AS ag,
-       is_ko, tier, elo_h, elo_d, elo_a, elo_pred, upper(trim(actual)) AS actual
-FROM match_results
-WHERE regexp_matches(match, '^.+? vs .+$') AND regexp_matches(score, '^[0-9]+-[0-9]+$')
-"""
-
-
 #: How sides, goals and shoot-outs are written.
 _SIDES = r"(?i)^\s*(.+?)\s+(?:vs\.?|v\.?|-|–|—)\s+(.+?)\s*$"
 _SCORE = r"^\D*(\d+)\s*[-–—:]\s*(\d+)"
 _PENS = r"(?i)\((\d+)\s*[-–—:]\s*(\d+)\s*p"
 
+_GOAL_SQL = {k: f"TRY_CAST(nullif(regexp_extract(score, '{p}', {i}), '') AS INTEGER)" for k, p, i in (("hg", _SCORE, 1), ("ag", _SCORE, 2), ("hp", _PENS, 1), ("ap", _PENS, 2))}
+_SIDE_SQL = f"""SELECT *, regexp_extract(match, '{_SIDES}', 1) AS lt, regexp_extract(match, '{_SIDES}', 2) AS rt, upper(substr(trim(actual), 1, 1)) AS told,
+  {", ".join(f"{v} AS {k}" for k, v in _GOAL_SQL.items())} FROM match_results"""
+#: What :func:`results` gives.
+RESULTS_SQL = f"""
+SELECT match_no, match_date, coalesce({key_sql("th.team_name")}, nullif(lower(trim(lt)), '')) AS home, coalesce({key_sql("ta.team_name")}, nullif(lower(trim(rt)), '')) AS away, hg, ag,
+       is_ko, tier, elo_h, elo_d, elo_a, elo_pred,
+       CASE WHEN told IN ('H', 'D', 'A') THEN told WHEN hg > ag THEN 'H' WHEN hg < ag THEN 'A' WHEN hp > ap THEN 'H' WHEN hp < ap THEN 'A' WHEN hg = ag THEN 'D' END AS actual,
+       ch.code AS home_code, ca.code AS away_code
+FROM ({_SIDE_SQL}) sd
+LEFT JOIN {codes_sql(f"SELECT lt AS typed FROM ({_SIDE_SQL}) UNION ALL SELECT rt FROM ({_SIDE_SQL})")} ch ON ch.typed = lt
+LEFT JOIN {codes_sql(f"SELECT lt AS typed FROM ({_SIDE_SQL}) UNION ALL SELECT rt FROM ({_SIDE_SQL})")} ca ON ca.typed = rt
+LEFT JOIN teams th ON th.team_code = ch.code LEFT JOIN teams ta ON ta.team_code = ca.code
+"""
+#: What :func:`scored` and :func:`decided` give.
+SCORED_SQL = f"SELECT * FROM ({RESULTS_SQL}) WHERE home IS NOT NULL AND away IS NOT NULL AND hg IS NOT NULL AND ag IS NOT NULL"
+DECIDED_SQL = f"""SELECT * EXCLUDE (hg, ag), CASE WHEN hg IS NULL OR ag IS NULL THEN CASE WHEN actual = 'H' THEN 1 ELSE 0 END ELSE hg END AS hg,
+  CASE WHEN hg IS NULL OR ag IS NULL THEN CASE WHEN actual = 'A' THEN 1 ELSE 0 END ELSE ag END AS ag FROM ({RESULTS_SQL}) WHERE home IS NOT NULL AND away IS NOT NULL AND actual IS NOT NULL"""
+
 
 def results(spark: SparkSession, folder: str) -> DataFrame:
     """``match_no, match_date, home, away, hg, ag``, the model columns and the
     teams' codes, of every row.
 
-    A side is the listed name of the team it means, in the consistent form, so
-    that all writings of a team are one; what means no listed team stays as written. Goals are null
+    A side is the key of the listed name of the team it means, so that all
+    writings of a team are one; what means no listed team stays as written. Goals are null
     without a score. ``actual`` is H, D or A as told, else by score and shoot-out.
     """
-    from touchline.llm.canon import UNMATCHED, team_matches
-    from touchline.llm.unify import unify_column
-
     df = table(spark, folder, "match_results").withColumns({"left": F.regexp_extract("match", _SIDES, 1), "right": F.regexp_extract("match", _SIDES, 2)})
-    teams = table(spark, folder, "teams")
-    typed = df.select(F.explode(F.array("left", "right")).alias("typed")).where("typed <> ''")
-    codes = team_matches(typed, "typed", teams, table(spark, folder, "team_aliases")).where(F.col("code") != UNMATCHED)
-    listed = unify_column(teams.select("team_code", "team_name"), "team_name", "name")
-    names = cut(codes.join(listed, F.col("code") == F.col("team_code")).select("typed", "code", F.lower("name").alias("name")))
-    side = lambda c: names.select(F.col("typed").alias(c), F.col("code").alias(f"{c}_code"), F.col("name").alias(f"{c}_name"))
-    written = lambda c: F.coalesce(f"{c}_name", F.when(F.trim(c) != "", F.lower(F.trim(c))))
+    listed = team_list(table(spark, folder, "teams"), table(spark, folder, "team_aliases"))
+    coded = with_team_codes(df, {"left": "home_code", "right": "away_code"}, listed)
+    written = lambda c, code: F.coalesce(own_name(F.col(code), listed), F.when(F.trim(c) != "", F.lower(F.trim(c))))
     goals = [F.regexp_extract("score", _SCORE, i).try_cast("int") for i in (1, 2)]
     pens = [F.regexp_extract("score", _PENS, i).try_cast("int") for i in (1, 2)]
     by_goals = F.when(goals[0] > goals[1], "H").when(goals[0] < goals[1], "A").when(pens[0] > pens[1], "H").when(pens[0] < pens[1], "A").when(goals[0] == goals[1], "D")
     told = F.upper(F.substring(F.trim("actual"), 1, 1))
-    return df.join(side("left"), "left", "left").join(side("right"), "right", "left").select(
-        "match_no", "match_date", written("left").alias("home"), written("right").alias("away"), goals[0].alias("hg"), goals[1].alias("ag"),
-        "is_ko", "tier", "elo_h", "elo_d", "elo_a", "elo_pred", F.coalesce(F.when(told.isin("H", "D", "A"), told), by_goals).alias("actual"),
-        F.col("left_code").alias("home_code"), F.col("right_code").alias("away_code"),
+    return coded.select(
+        "match_no", "match_date", written("left", "home_code").alias("home"), written("right", "away_code").alias("away"), goals[0].alias("hg"), goals[1].alias("ag"),
+        "is_ko", "tier", "elo_h", "elo_d", "elo_a", "elo_pred", F.coalesce(F.when(told.isin("H", "D", "A"), told), by_goals).alias("actual"), "home_code", "away_code",
     )
 
 
@@ -105,13 +103,9 @@ def decided(spark: SparkSession, folder: str) -> DataFrame:
 def with_person_keys(rows: DataFrame, folder: str, name: str = "player_name", nation: str = "nation") -> DataFrame:
     """Add ``nn``, the normalized name, and ``cc``, the code of the nation as typed;
     what means no listed nation has none."""
-    from touchline.llm.canon import UNMATCHED, team_matches
-
     spark = rows.sparkSession
-    codes = team_matches(rows.select(nation), nation, table(spark, folder, "teams"), table(spark, folder, "team_aliases")).where(F.col("code") != UNMATCHED)
-    known = cut(codes.select(F.col("typed").alias("_typed"), F.col("code").alias("cc")))
-    named = with_normalized(rows, name, "nn").withColumn("nn", F.when(F.col("nn") != "", F.col("nn")))
-    return named.join(known, F.col(nation) == F.col("_typed"), "left").drop("_typed")
+    coded = with_team_codes(rows, {nation: "cc"}, team_list(table(spark, folder, "teams"), table(spark, folder, "team_aliases")))
+    return with_normalized(coded, name, "nn").withColumn("nn", F.when(F.col("nn") != "", F.col("nn")))
 
 
 #: Player facts of two sources, long: orders are one source, line items of an

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from touchline.functions import text as TX
 from touchline.operators import entity as E
 from touchline.operators import quality as Q
+from touchline.operators.teams import codes_sql
 from touchline.plans import adapters as A
 from touchline.plans.registry import Registry
 from touchline.session import cut, scratch_dir
@@ -16,9 +17,6 @@ from touchline.sources import files, html, sinks
 from touchline.sources.tables import register as register_views
 from touchline.sources.tables import table
 
-NORMAL = "trim(regexp_replace(regexp_replace(lower(strip_accents({0})), '[^a-z0-9\\s-]', ' ', 'g'), '\\s+', ' ', 'g'))"
-#: Letters that both engines take the accents off in the same way; only the SQL is bound to them.
-PLAIN = "[A-Za-z0-9àáâãäèéêëìíîïòóôõöùúûüçñšžÀ-ÖÙ-Ý .,''-]+"
 #: The master as an entity list: the last row of each player.
 MASTER_SQL = """SELECT player_id, normalized_name AS nn, country_code AS cc, lower(trim(current_club)) AS club, birth_year AS byr, understat_id AS uid
 FROM (SELECT *, row_number() OVER (PARTITION BY player_id ORDER BY loaded_at DESC, row_id DESC) AS rn FROM players) WHERE rn = 1"""
@@ -26,8 +24,14 @@ FROM (SELECT *, row_number() OVER (PARTITION BY player_id ORDER BY loaded_at DES
 
 #: Rows of one page or roster, so that no page grows with the data.
 ROSTER = 200
-#: Players whose fields can stand in a page as they are, a part of all; only the SQL is bound to them.
-USABLE = "regexp_full_match(display_name, '[A-Za-z ]+') AND regexp_full_match(nation_name, '[A-Za-z]+') AND regexp_full_match(current_club, '[A-Za-z]+ [A-Za-z]+') AND position IN ('GK', 'DF', 'MF', 'FW')"
+
+
+# what a page's reader gives of a field: white space of any kind trimmed, or also joined
+_SPACE_SQL = r"[\s\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+NAME_SQL = f"regexp_replace(regexp_replace(display_name, '^{_SPACE_SQL}+', ''), '{_SPACE_SQL}+$', '')"
+CLUB_SQL = NAME_SQL.replace("display_name", "nullif(trim(current_club), '')")
+CELL_SQL = "coalesce(trim(regexp_replace({0}, '" + _SPACE_SQL.replace("{", "{{").replace("}", "}}") + "+', ' ', 'g')), '')"
+ROW_SQL = "coalesce(trim(regexp_replace({0}, '\\s+', ' ', 'g')), '')"
 
 
 def _line() -> Column:
@@ -57,7 +61,8 @@ def register(registry: Registry) -> None:
 
 
 TIERS_SQL = f"""
-        WITH m AS ({MASTER_SQL}), r AS (SELECT roster_id, max(lower(player_name)) AS nn, max(nation) AS cc, max(lower(trim(team_title))) AS club FROM player_matches WHERE roster_id IS NOT NULL GROUP BY 1),
+        WITH m AS (SELECT * REPLACE ({TX.normal_sql('nn')} AS nn) FROM ({MASTER_SQL})), pc AS (SELECT p.*, nullif({TX.normal_sql('player_name')}, '') AS nn, c.code AS cc FROM player_matches p LEFT JOIN {codes_sql('SELECT nation AS typed FROM player_matches')} c ON c.typed = p.nation WHERE roster_id IS NOT NULL),
+        r AS (SELECT roster_id, max(nn) AS nn, max(cc) AS cc, max(lower(trim(team_title))) AS club FROM pc GROUP BY 1),
         k1 AS (SELECT nn, cc, count(DISTINCT player_id) AS n, min(player_id) AS id FROM m WHERE nn IS NOT NULL AND cc IS NOT NULL GROUP BY 1, 2),
         k2 AS (SELECT nn, club, count(DISTINCT player_id) AS n, min(player_id) AS id FROM m WHERE nn IS NOT NULL AND club IS NOT NULL GROUP BY 1, 2),
         k3 AS (SELECT nn, count(DISTINCT player_id) AS n, min(player_id) AS id FROM m WHERE nn IS NOT NULL GROUP BY 1)
@@ -68,7 +73,7 @@ TIERS_SQL = f"""
 
 
 def _entities(add) -> None:
-    @add("e01_normalized_name", f"SELECT row_id, {NORMAL.format('display_name')} AS nn FROM players WHERE regexp_full_match(display_name, '{PLAIN}')")
+    @add("e01_normalized_name", f"SELECT row_id, {TX.normal_sql('display_name')} AS nn FROM players")
     def e01(spark, d):
         p = table(spark, d, "players", ["row_id", "display_name"])
         return TX.with_normalized(p, "display_name", "nn").select("row_id", "nn")
@@ -108,7 +113,7 @@ def _entities(add) -> None:
         left = TX.with_normalized(names, "nation_name", "a").withColumn("all", F.lit(1))
         return E.fuzzy_within(left, teams, "all", "a", "b", "nation_name", "team_code", 70.0, 1, "sort")
 
-    @add("e08_first_and_last_word", "SELECT row_id, CASE WHEN len(w) < 2 THEN w[1] ELSE w[1] || ' ' || w[-1] END AS short FROM (SELECT row_id, string_split_regex(trim(lower(strip_accents(display_name))), '\\s+') AS w FROM players WHERE regexp_full_match(display_name, '" + PLAIN + "'))")
+    @add("e08_first_and_last_word", f"SELECT row_id, {TX.simple_sql('display_name')} AS short FROM players")
     def e08(spark, d):
         p = table(spark, d, "players", ["row_id", "display_name"])
         return TX.with_simplified(p, "display_name", "short").select("row_id", "short")
@@ -184,7 +189,7 @@ def _entities(add) -> None:
     def e20(spark, d):
         return table(spark, d, "documents", ["source"]).where("source is not null").groupBy("source", E.model_type(F.col("source")).alias("kind")).agg(F.count("*").alias("n"))
 
-    @add("e21_player_lists", f"SELECT nation_name AS nation, display_name AS name, current_club AS club FROM players WHERE {USABLE}")
+    @add("e21_player_lists", f"SELECT nation_name AS nation, {NAME_SQL} AS name, {CLUB_SQL} AS club FROM players WHERE {NAME_SQL} <> ''")
     def e21(spark, d):
         p = table(spark, d, "players", ["row_id", "display_name", "nation_name", "current_club"])
         lists = p.groupBy("nation_name", F.floor(F.col("row_id") / ROSTER)).agg(F.array_join(F.collect_list(_line()), ", ").alias("text"))
@@ -222,7 +227,7 @@ def _sources(add) -> None:
         table(spark, d, "teams", ["team_code", "team_name", "iso2_code", "is_wc2026_qualifier"]).write.option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(out)
         return files.typed_csv(spark, out, "team_code string, team_name string, iso2_code string, is_wc2026_qualifier boolean")
 
-    @add("s03_results_csv", f"SELECT match_date AS date, home AS home_team, away AS away_team, hg AS home_score, ag AS away_score, CAST('x' AS VARCHAR) AS tournament, false AS neutral FROM ({A.RESULTS_SQL}) WHERE match_no % 5 <> 0")
+    @add("s03_results_csv", f"SELECT match_date AS date, home AS home_team, away AS away_team, hg AS home_score, ag AS away_score, CAST('x' AS VARCHAR) AS tournament, false AS neutral FROM ({A.RESULTS_SQL}) WHERE hg IS NOT NULL AND ag IS NOT NULL AND match_no % 5 <> 0")
     def s03(spark, d):
         out = _folder(spark)
         r = A.results(spark, d)
@@ -274,16 +279,15 @@ def _sources(add) -> None:
         s = table(spark, d, "supplier", ["s_suppkey", "s_name"])
         return files.first_non_empty([lambda: None, lambda: s.where("s_suppkey < 0"), lambda: s])
 
-    pages_sql = "SELECT nation_name AS nation, position AS position_bucket, display_name AS name, current_club AS club FROM (SELECT *, row_number() OVER (PARTITION BY nation_name, row_id // 200, lower(display_name) ORDER BY row_id) AS rn FROM players WHERE {0}) WHERE rn = 1"
-    @add("s11_roster_pages", pages_sql.format(USABLE))
+    @add("s11_roster_pages")
     def s11(spark, d):
         return html.roster_scan(_pages(spark, d, "roster")).select("nation", "position_bucket", "name", "club")
 
-    @add("s12_wiki_tables", f"SELECT display_name AS player_name, current_club AS club_team FROM players WHERE {USABLE}")
+    @add("s12_wiki_tables", f"SELECT {CELL_SQL.format('display_name')} AS player_name, {CELL_SQL.format('current_club')} AS club_team FROM players")
     def s12(spark, d):
         return html.table_scan(_pages(spark, d, "wiki"), ["player_name", "club_team"])
 
-    @add("s13_rows_by_pattern", f"SELECT position, display_name AS name, current_club AS club FROM players WHERE {USABLE}")
+    @add("s13_rows_by_pattern", f"SELECT position, {ROW_SQL.format('display_name')} AS name, {ROW_SQL.format('current_club')} AS club FROM players WHERE position IN ('GK', 'DF', 'MF', 'FW')")
     def s13(spark, d):
         return html.row_scan(_pages(spark, d, "rows"))
 

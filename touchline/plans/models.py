@@ -174,7 +174,7 @@ def _scalars(add) -> None:
         xg = F.col("xg").try_cast("double")
         return p.select("roster_id", F.round(F.coalesce(xg, F.col("shots").try_cast("double") * 0.1, F.lit(0.0)), 6).alias("xg"), F.when(xg.isNotNull(), "xg").otherwise("shots").alias("src"))
 
-    @add("x18_head_to_head_share", f"SELECT match_no, CASE WHEN hg + ag > 0 THEN round_even(CAST(hg AS DOUBLE) / (hg + ag) * 100, 1) ELSE 50.0 END AS share FROM ({A.RESULTS_SQL})")
+    @add("x18_head_to_head_share", f"SELECT match_no, CASE WHEN hg + ag > 0 THEN round_even(CAST(hg AS DOUBLE) / (hg + ag) * 100, 1) ELSE 50.0 END AS share FROM ({A.SCORED_SQL})")
     def x18(spark, d):
         return A.scored(spark, d).select("match_no", X.share_percent(F.col("hg").cast("double"), F.col("ag").cast("double")).alias("share"))
 
@@ -314,7 +314,7 @@ def _models(add) -> None:
         return FT.squad_ratings(li, "team", "l_orderkey", "l_extendedprice", 5, 3).withColumn("rating", F.round("rating", 4))
 
     @add("m15_defence_rating_with_median", f"""
-        WITH m AS ({A.RESULTS_SQL}), t AS (SELECT home AS team, ag AS c FROM m UNION ALL SELECT away, hg FROM m), a AS (SELECT team, avg(c) AS v, count(*) AS n FROM t GROUP BY 1)
+        WITH m AS ({A.SCORED_SQL}), t AS (SELECT home AS team, ag AS c FROM m UNION ALL SELECT away, hg FROM m), a AS (SELECT team, avg(c) AS v, count(*) AS n FROM t GROUP BY 1)
         SELECT team, round(CASE WHEN n >= 20 THEN v ELSE (SELECT median(v) FROM a WHERE n >= 20) END, 6) AS rating FROM a""")
     def m15(spark, d):
         c = FT.opponent_credited(A.scored(spark, d), "home", "away", "hg", "ag")

@@ -8,10 +8,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from touchline.functions import text as TX
 from touchline.functions.text import with_normalized
 from touchline.operators import entity as E
 from touchline.operators import quality as Q
 from touchline.operators.relational import keep_best, unpivot
+from touchline.operators.teams import codes_sql
 from touchline.plans import adapters as A
 from touchline.plans.registry import Registry
 from touchline.session import cut
@@ -101,18 +103,19 @@ DIM_SQL = """SELECT player_id, display_name, normalized_name, country_code, curr
   (SELECT *, row_number() OVER (PARTITION BY player_id ORDER BY loaded_at DESC, row_id DESC) AS rn FROM players) WHERE rn = 1"""
 STAGE_SQL = f"""
 dp AS ({DIM_SQL}),
-r AS (SELECT *, lower(player_name) AS nn FROM (SELECT *, row_number() OVER (PARTITION BY roster_id ORDER BY loaded_at DESC, player_name NULLS LAST, team_title NULLS LAST, xg NULLS LAST) AS rn FROM player_matches WHERE roster_id IS NOT NULL) WHERE rn = 1),
-k1 AS (SELECT normalized_name AS nn, country_code AS cc, count(DISTINCT player_id) AS n, min(player_id) AS id FROM dp WHERE normalized_name IS NOT NULL AND country_code IS NOT NULL GROUP BY 1, 2),
-k2 AS (SELECT normalized_name AS nn, count(DISTINCT player_id) AS n, min(player_id) AS id FROM dp WHERE normalized_name IS NOT NULL GROUP BY 1),
+r0 AS (SELECT *, nullif({TX.normal_sql('player_name')}, '') AS nn FROM (SELECT *, row_number() OVER (PARTITION BY roster_id ORDER BY loaded_at DESC, player_name NULLS LAST, team_title NULLS LAST, xg NULLS LAST) AS rn FROM player_matches WHERE roster_id IS NOT NULL) WHERE rn = 1),
+r AS (SELECT r0.*, c.code AS cc FROM r0 LEFT JOIN {codes_sql('SELECT nation AS typed FROM player_matches')} c ON c.typed = r0.nation),
+k1 AS (SELECT {TX.normal_sql('normalized_name')} AS nn, country_code AS cc, count(DISTINCT player_id) AS n, min(player_id) AS id FROM dp WHERE normalized_name IS NOT NULL AND country_code IS NOT NULL GROUP BY 1, 2),
+k2 AS (SELECT {TX.normal_sql('normalized_name')} AS nn, count(DISTINCT player_id) AS n, min(player_id) AS id FROM dp WHERE normalized_name IS NOT NULL GROUP BY 1),
 st AS (SELECT r.*, CASE WHEN k1.n = 1 THEN k1.id WHEN k1.n > 1 THEN NULL WHEN k2.n = 1 THEN k2.id END AS match_id,
    CASE WHEN k1.n = 1 THEN 'unique' WHEN k1.n > 1 THEN 'ambiguous_name_country_' || k1.n WHEN k2.n = 1 THEN 'unique' WHEN k2.n > 1 THEN 'ambiguous_name_' || k2.n ELSE 'unmatched' END AS match_reason
-   FROM r LEFT JOIN k1 ON r.nn = k1.nn AND r.nation = k1.cc LEFT JOIN k2 ON r.nn = k2.nn),
+   FROM r LEFT JOIN k1 ON r.nn = k1.nn AND r.cc = k1.cc LEFT JOIN k2 ON r.nn = k2.nn),
 s1 AS (SELECT match_id AS player_id, coalesce(season, 'unknown') AS period_id, sum(TRY_CAST(minutes AS BIGINT)) AS minutes, sum(TRY_CAST(xg AS DOUBLE)) AS xg_total FROM st WHERE match_id IS NOT NULL GROUP BY 1, 2),
 fx AS (SELECT player_id, 'club' AS source, period_id, minutes, xg_total FROM s1 UNION ALL SELECT player_id, 'career', 'career', sum(minutes), sum(xg_total) FROM s1 GROUP BY 1)"""
 RATING_SQL = f"""
-m AS ({A.RESULTS_SQL}), sd AS (SELECT home AS t, hg AS f, ag AS a, match_date FROM m UNION ALL SELECT away, ag, hg, match_date FROM m),
-w AS (SELECT t, avg(f) AS attack, avg(a) AS defence, avg(CASE WHEN match_date >= DATE '2022-01-01' THEN f END) AS recent_form FROM sd GROUP BY 1),
-fr AS (SELECT tm.team_code, w.* FROM w JOIN teams tm ON lower(tm.team_name) = w.t)"""
+m AS ({A.SCORED_SQL}), sd AS (SELECT home_code AS t, hg AS f, ag AS a, match_date FROM m UNION ALL SELECT away_code, ag, hg, match_date FROM m),
+w AS (SELECT t AS team_code, avg(f) AS attack, avg(a) AS defence, avg(CASE WHEN match_date >= DATE '2022-01-01' THEN f END) AS recent_form FROM sd WHERE t IS NOT NULL GROUP BY 1),
+fr AS (SELECT * FROM w)"""
 
 
 def register(registry: Registry) -> None:

@@ -99,7 +99,7 @@ def register(registry: Registry) -> None:
         return table(spark, d, "events", ["user_id", "ts"]).groupBy("user_id").agg(F.greatest(F.lit(1), F.countDistinct(F.hour("ts") * 60 + F.minute("ts"))).cast("bigint").alias("minutes"))
 
     @add("a10_opponent_credited", f"""
-        WITH m AS ({A.RESULTS_SQL}), t AS (
+        WITH m AS ({A.SCORED_SQL}), t AS (
           SELECT home AS team, ag AS conceded FROM m UNION ALL SELECT away, hg FROM m)
         SELECT team, CAST(sum(conceded) AS BIGINT) AS conceded, count(*) AS n_matches FROM t GROUP BY team""")
     def a10(spark, d):
@@ -321,7 +321,7 @@ def register(registry: Registry) -> None:
         return c.join(o, c["c_custkey"] == o["o_custkey"], "left_anti")
 
     @add("j05_attack_against_defence", f"""
-        WITH m AS ({A.RESULTS_SQL}), t AS (SELECT home AS team, hg AS f, ag AS a FROM m UNION ALL SELECT away, ag, hg FROM m),
+        WITH m AS ({A.SCORED_SQL}), t AS (SELECT home AS team, hg AS f, ag AS a FROM m UNION ALL SELECT away, ag, hg FROM m),
         att AS (SELECT team, avg(f) AS v FROM t GROUP BY 1), def AS (SELECT team, avg(a) AS v FROM t GROUP BY 1)
         SELECT att.team, round(att.v, 4) AS attack, round(def.v, 4) AS defence, round(att.v - def.v, 4) AS net FROM att JOIN def USING (team)""")
     def j05(spark, d):
@@ -341,7 +341,7 @@ def register(registry: Registry) -> None:
             "x.match_ref", F.col("x.team_title").alias("home"), F.col("y.team_title").alias("away"), F.col("x.xg").alias("xg_home"), F.col("y.xg").alias("xg_away"))
 
     @add("j07_unordered_pair_lookup", f"""
-        WITH m AS ({A.RESULTS_SQL}), k AS (SELECT match_no, match_date, home, away, hg, ag FROM m WHERE is_ko),
+        WITH m AS ({A.RESULTS_SQL}), k AS (SELECT match_no, match_date, home, away, hg, ag FROM m WHERE is_ko AND hg IS NOT NULL AND ag IS NOT NULL),
         b AS (SELECT home AS x, away AS y, hg AS gx, ag AS gy, match_date, match_no, 0 AS side FROM k UNION ALL SELECT away, home, ag, hg, match_date, match_no, 1 FROM k),
         l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY x, y ORDER BY match_date DESC, match_no DESC, side DESC) AS rn FROM b) WHERE rn = 1)
         SELECT m.match_no, l.gx AS ref_home, l.gy AS ref_away FROM m LEFT JOIN l ON m.home = l.x AND m.away = l.y""")
@@ -413,7 +413,7 @@ def register(registry: Registry) -> None:
         return R.keep_best(li, ["l_suppkey"], [F.desc("l_extendedprice"), F.asc("l_orderkey"), F.asc("l_linenumber"), F.asc("l_partkey")]).select("l_suppkey", "l_orderkey", "l_extendedprice")
 
     @add("w02_form_before_date", f"""
-        WITH m AS ({A.RESULTS_SQL}), t AS (SELECT home AS team, match_date, match_no, CASE WHEN hg > ag THEN 1.0 WHEN hg = ag THEN 1.0 / 3 ELSE 0 END AS p FROM m
+        WITH m AS ({A.DECIDED_SQL}), t AS (SELECT home AS team, match_date, match_no, CASE WHEN hg > ag THEN 1.0 WHEN hg = ag THEN 1.0 / 3 ELSE 0 END AS p FROM m
           UNION ALL SELECT away, match_date, match_no, CASE WHEN ag > hg THEN 1.0 WHEN hg = ag THEN 1.0 / 3 ELSE 0 END FROM m),
         refs AS (SELECT DISTINCT team, DATE '2022-11-20' AS ref FROM t),
         r AS (SELECT refs.team, refs.ref, t.p, row_number() OVER (PARTITION BY refs.team, refs.ref ORDER BY t.match_date DESC, t.match_no DESC) AS rn
@@ -442,12 +442,12 @@ def register(registry: Registry) -> None:
     def w05(spark, d):
         return table(spark, d, "orders", ["o_orderkey", "o_totalprice"]).orderBy(F.desc("o_totalprice"), "o_orderkey").limit(50)
 
-    @add("w06_nulls_last", "SELECT row_id, birth_year FROM players ORDER BY birth_year DESC NULLS LAST, row_id LIMIT 100")
+    @add("w06_nulls_last", "SELECT row_id, birth_year FROM players ORDER BY birth_year DESC NULLS LAST, row_id")
     def w06(spark, d):
         return table(spark, d, "players", ["row_id", "birth_year"]).orderBy(F.desc_nulls_last("birth_year"), "row_id")
 
     @add("w07_bucket_order", """
-        SELECT row_id, position, display_name FROM players ORDER BY CASE position WHEN 'GK' THEN 0 WHEN 'DF' THEN 1 WHEN 'MF' THEN 2 WHEN 'FW' THEN 3 ELSE 9 END, nation_name NULLS LAST, row_id LIMIT 200""")
+        SELECT row_id, position, display_name FROM players ORDER BY CASE position WHEN 'GK' THEN 0 WHEN 'DF' THEN 1 WHEN 'MF' THEN 2 WHEN 'FW' THEN 3 ELSE 9 END, nation_name NULLS LAST, row_id""")
     def w07(spark, d):
         bucket = F.when(F.col("position") == "GK", 0).when(F.col("position") == "DF", 1).when(F.col("position") == "MF", 2).when(F.col("position") == "FW", 3).otherwise(9)
         p = table(spark, d, "players", ["row_id", "position", "display_name", "nation_name"])
