@@ -88,7 +88,17 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._cut_path = path
+    return table
+
+
+def release(df: DataFrame) -> None:
+    """Delete a table that :func:`cut` wrote, once nothing reads it any more; the
+    rounds of an iteration would else lie there until the application ends."""
+    path = getattr(df, "_cut_path", None)
+    if path is not None:
+        _remove(df.sparkSession, path)
 
 
 def scale_partitions(spark: SparkSession, floor: int = 1) -> int:
@@ -107,6 +117,7 @@ def ship(spark: SparkSession) -> None:
         return
     root = Path(__file__).resolve().parent
     target = Path(tempfile.mkdtemp(prefix="touchline-")) / "touchline.zip"
+    atexit.register(shutil.rmtree, target.parent, True)
     with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as out:
         for path in sorted(root.rglob("*.py")):
             out.write(path, f"{root.name}/{path.relative_to(root)}")
