@@ -42,12 +42,26 @@ def test_spectral_solution_is_the_maximum_likelihood(spark):
     assert [got[t] for t in names] == pytest.approx(list(want), rel=1e-5)
 
 
-def test_distributed_solution_agrees(spark):
-    rows = games(5, 120, 9)
-    df = spark.createDataFrame(rows, "winner string, loser string, w double")
-    near = {r.item: r.rank for r in rank_items(df).collect()}
-    far = {r.item: r.rank for r in rank_items(df, max_local_pairs=0).collect()}
-    assert far == near
+RESULTS = {
+    "connected": games(5, 120, 9),
+    "never lost": [("a", "b", 2.0), ("b", "c", 1.0), ("c", "b", 1.0)],
+    "two groups": [("a", "b", 2.0), ("b", "a", 1.0), ("x", "y", 0.5), ("y", "x", 1.5)],
+}
+
+
+@pytest.mark.parametrize("kind", sorted(RESULTS))
+def test_distributed_solution_agrees(spark, kind):
+    df = spark.createDataFrame(RESULTS[kind], "winner string, loser string, w double")
+    near = {r.item: (r.strength, r.rank) for r in rank_items(df).collect()}
+    far = {r.item: (r.strength, r.rank) for r in rank_items(df, max_local_pairs=0).collect()}
+    assert {i: r for i, (_, r) in far.items()} == {i: r for i, (_, r) in near.items()}
+    assert {i: s for i, (s, _) in far.items()} == pytest.approx({i: s for i, (s, _) in near.items()}, rel=1e-6)
+
+
+def test_no_answer_without_convergence():
+    win, lose = np.array([0, 1, 2, 0]), np.array([1, 2, 0, 2])
+    with pytest.raises(RuntimeError):
+        solve_local(3, win, lose, np.ones(4), rounds=1)
 
 
 def test_unbeaten_items_stay_finite(spark):

@@ -10,8 +10,9 @@ Results shrink to one weight for each ordered pair of items before anything
 else, combined on the map side first, so neither the number of matches nor an
 item that plays in a third of them matters afterwards. If the pairs fit a bound
 (``MAX_LOCAL_PAIRS``, checked by a count) the chain is solved in one process;
-otherwise every round is a join and an aggregation over the pairs, with the
-lineage cut, and the balance equation of the same chain is applied item by item.
+otherwise the connectivity test, the rates and each step of the stationary
+distribution are joins over the pairs with the lineage cut. Both ways end at the
+same maximum; one that doesn't converge raises instead of returning less.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
 from touchline.llm.canon import UNMATCHED, team_matches
-from touchline.session import cut, scale_partitions
+from touchline.session import cut, release, scale_partitions
 
 #: Ordered pairs solved in one process, at most about 50 MB.
 MAX_LOCAL_PAIRS = 1_000_000
@@ -55,7 +56,13 @@ def strongly_connected(n: int, tail: np.ndarray, head: np.ndarray) -> bool:
     return n < 2 or (reached(tail, head) and reached(head, tail))
 
 
-def stationary(n: int, frm: np.ndarray, to: np.ndarray, rate: np.ndarray, start: np.ndarray) -> np.ndarray:
+def _left(change: float, before: float) -> float:
+    """What is left of an error that shrinks by the ratio of its last two changes."""
+    ratio = min(change / before, 0.999999) if before > 0 else 0.5
+    return change * max(1.0, ratio / (1 - ratio))
+
+
+def stationary(n: int, frm: np.ndarray, to: np.ndarray, rate: np.ndarray, start: np.ndarray, tol: float = 1e-12, steps: int = 1_000_000) -> np.ndarray:
     """Stationary distribution of a chain with the given rates."""
     if n <= MAX_DENSE:
         q = np.zeros((n, n))
@@ -67,17 +74,19 @@ def stationary(n: int, frm: np.ndarray, to: np.ndarray, rate: np.ndarray, start:
         b[-1] = 1.0
         return np.maximum(np.linalg.solve(a, b), 1e-300)
     out = np.bincount(frm, rate, n)
-    top = out.max() * 1.05
-    p = start
-    for _ in range(200):
-        new = p * (1 - out / top) + np.bincount(to, p[frm] * rate / top, n)
-        if np.abs(new - p).max() <= 1e-13 * new.max():
-            break
-        p = new
-    return new / new.sum()
-
-
-def solve_local(n: int, winner: np.ndarray, loser: np.ndarray, w: np.ndarray, tol: float = 1e-10, rounds: int = 500) -> np.ndarray:
+    jump, y, before = rate / out[frm], start * out, 0.0
+    for _ in range(steps):
+        new = (y + np.bincount(to, y[frm] * jump, n)) / 2
+        change = float(np.abs(new / y - 1).max())
+        y = new
+        if _left(change, before) <= tol:
+            p = y / out
+            return p / p.sum()
+        before = change
+    raise RuntimeError(f"the stationary distribution was not reached in {steps} steps")
+
+
+def solve_local(n: int, winner: np.ndarray, loser: np.ndarray, w: np.ndarray, tol: float = 1e-10, rounds: int = 10_000) -> np.ndarray:
     """Strengths of items ``0..n-1``, with mean log 0."""
     p = np.full(n, 1.0 / n)
     for _ in range(rounds):
@@ -85,36 +94,80 @@ def solve_local(n: int, winner: np.ndarray, loser: np.ndarray, w: np.ndarray, to
         done = np.abs(np.log(new) - np.log(p)).max() < tol
         p = new
         if done:
-            break
-    return np.exp(np.log(p) - np.log(p).mean())
+            return np.exp(np.log(p) - np.log(p).mean())
+    raise RuntimeError(f"the strengths did not converge in {rounds} rounds")
 
 
-def solve_distributed(pairs: DataFrame, items: DataFrame, tol: float = 1e-8, rounds: int = 300) -> DataFrame:
-    """``item, strength`` by the balance equation of the chain, as joins.
+def strongly_connected_distributed(pairs: DataFrame, items: DataFrame) -> bool:
+    """Whether one item reaches all others along wins, and is reached by them.
 
-    One round: both strengths come to each pair, in-flow and out-flow are summed
-    by item. Strengths are one row an item; nothing is collected but the largest
-    change of a round.
+    One join a step from the items of the last step, as many steps as the graph
+    is wide; only counts come to the driver.
+    """
+    total, first = items.agg(F.count("*"), F.min("item")).first()
+    for a, b in (("loser", "winner"), ("winner", "loser")):
+        seen = front = cut(items.where(F.col("item") == F.lit(first)))
+        held = 1
+        while held < total:
+            ahead = pairs.join(front.select(F.col("item").alias(a)), a).select(F.col(b).alias("item")).distinct()
+            new = cut(ahead.join(seen, "item", "left_anti"))
+            more = new.count()
+            if not more:
+                return False
+            old, seen, front = seen, cut(seen.union(new)), new
+            release(old)
+            held += more
+    return True
+
+
+def solve_distributed(pairs: DataFrame, items: DataFrame, tol: float = 1e-8, rounds: int = 10_000, unrolled: int = 4) -> DataFrame:
+    """``item, strength`` with mean log 0, each step as joins.
+
+    A round fixes the rates by the last strengths. Its stationary distribution is
+    found by steps of the lazy jump chain: every item keeps half of its weight and
+    passes on the other half, so the chain has no period. The distribution of a
+    round is found to a tenth of what the last round changed, at the end to
+    ``tol``. Strengths are one row an item; what comes to the driver is the
+    largest change.
     """
-    state = cut(items.select("item", F.lit(1.0).alias("p")))
     pairs = cut(pairs)
+    state, moved = cut(items.select("item", F.lit(1.0).alias("p"))), 1.0
     for _ in range(rounds):
-        both = pairs.join(state.select(F.col("item").alias("winner"), F.col("p").alias("pw")), "winner").join(
+        rated = pairs.join(state.select(F.col("item").alias("winner"), F.col("p").alias("pw")), "winner").join(
             state.select(F.col("item").alias("loser"), F.col("p").alias("pl")), "loser"
-        )
-        rate = F.col("w") / (F.col("pw") + F.col("pl"))
-        flows = both.select(F.col("winner").alias("item"), (rate * F.col("pl")).alias("i"), F.lit(0.0).alias("o")).unionByName(
-            both.select(F.col("loser").alias("item"), F.lit(0.0).alias("i"), rate.alias("o"))
-        )
-        new = state.join(flows.groupBy("item").agg(F.sum("i").alias("i"), F.sum("o").alias("o")), "item").select(
-            "item", "p", F.sqrt(F.col("p") * F.col("i") / F.col("o")).alias("n")
-        )
-        new = cut(new)
-        mean, change = new.agg(F.avg(F.log("n")), F.max(F.abs(F.log("n") - F.log("p")))).first()
-        state = new.select("item", (F.col("n") / F.exp(F.lit(mean))).alias("p"))
-        if change is None or change < tol:
-            break
-    return state.select("item", F.col("p").alias("strength"))
+        ).select(F.col("loser").alias("frm"), F.col("winner").alias("to"), (F.col("w") / (F.col("pw") + F.col("pl"))).alias("rate"))
+        rated = cut(rated)
+        out = rated.groupBy(F.col("frm").alias("item")).agg(F.sum("rate").alias("out"))
+        y = cut(state.join(out, "item").select("item", "p", "out", (F.col("p") * F.col("out")).alias("y"), F.lit(0.0).alias("last")))
+        before, near = 0.0, max(tol, moved / 10)
+        for _ in range(rounds):
+            new = y
+            for _ in range(unrolled):
+                flow = rated.join(new.select(F.col("item").alias("frm"), (F.col("y") / F.col("out")).alias("share")), "frm").groupBy(F.col("to").alias("item")).agg(
+                    F.sum(F.col("rate") * F.col("share")).alias("inflow")
+                )
+                new = new.join(flow, "item").select("item", "p", "out", ((F.col("y") + F.col("inflow")) / 2).alias("n"), F.col("y").alias("last")).withColumnRenamed("n", "y")
+            new = cut(new)
+            change = new.agg(F.max(F.abs(F.col("y") / F.col("last") - 1))).first()[0] or 0.0
+            release(y)
+            y = new
+            # the change of one step, and its ratio to that of ``unrolled`` steps ago
+            ratio = min((change / before) ** (1 / unrolled), 0.999999) if before > 0 else 0.9
+            if change * max(1.0, ratio / (1 - ratio)) <= near:
+                break
+            before = change
+        else:
+            raise RuntimeError(f"the stationary distribution was not reached in {rounds * unrolled} steps")
+        strength = F.col("y") / F.col("out")
+        mean, base = y.agg(F.avg(F.log(strength)), F.avg(F.log("p"))).first()
+        new_state = cut(y.select("item", (strength / F.exp(F.lit(mean))).alias("p"), (F.col("p") / F.exp(F.lit(base))).alias("q")))
+        moved = new_state.agg(F.max(F.abs(F.log("p") - F.log("q")))).first()[0] or 0.0
+        for done in (rated, y, state):
+            release(done)
+        state = new_state
+        if moved < tol * 10 and near <= tol:
+            return state.select("item", F.col("p").alias("strength"))
+    raise RuntimeError(f"the strengths did not converge in {rounds} rounds")
 
 
 def rank_items(
@@ -150,15 +203,18 @@ def rank_items(
         rows = [(x.item() if hasattr(x, "item") else x, float(s)) for x, s in zip(names, strengths)]
         scored = spark.createDataFrame(rows, f"item {kind}, strength double")
     else:
-        items = pairs.select(F.col("winner").alias("item")).union(pairs.select("loser")).distinct()
-        phantom = items.agg(F.concat(F.max(F.col("item").cast("string")), F.lit("\U0010ffff")).alias("phantom"))
-        named = items.crossJoin(phantom)  # one row
-        text = pairs.select(F.col("winner").cast("string").alias("winner"), F.col("loser").cast("string").alias("loser"), "w")
-        anchored = text.unionByName(named.select(F.col("item").cast("string").alias("winner"), F.col("phantom").alias("loser"), F.lit(prior).alias("w"))).unionByName(
-            named.select(F.col("phantom").alias("winner"), F.col("item").cast("string").alias("loser"), F.lit(prior).alias("w"))
-        )
-        everyone = anchored.select(F.col("winner").alias("item")).distinct()
-        scored = solve_distributed(anchored, everyone).join(phantom, F.col("item") == F.col("phantom"), "left_anti")
+        text = cut(pairs.select(F.col("winner").cast("string").alias("winner"), F.col("loser").cast("string").alias("loser"), "w"))
+        items = cut(text.select(F.col("winner").alias("item")).union(text.select("loser")).distinct())
+        if strongly_connected_distributed(text, items):
+            scored = solve_distributed(text, items)
+        else:
+            # greater than every item, so it is none of them
+            phantom = F.lit((items.agg(F.max("item")).first()[0] or "") + "\U0010ffff")
+            anchored = text.unionByName(items.select(F.col("item").alias("winner"), phantom.alias("loser"), F.lit(prior).alias("w"))).unionByName(
+                items.select(phantom.alias("winner"), F.col("item").alias("loser"), F.lit(prior).alias("w"))
+            )
+            everyone = items.union(items.limit(1).select(phantom))
+            scored = solve_distributed(anchored, everyone).where(F.col("item") != phantom)
         scored = scored.select(F.col("item").cast(kind).alias("item"), "strength")
     return add_rank(scored)
 
