@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, functions as F
 
 from touchline.operators.nested import inside, label_nodes, nodes_of
@@ -9,16 +11,19 @@ from touchline.session import cut
 
 #: The keys of the payload and the kind of node under each.
 KINDS = {"event": "event", "events": "event", "markets": "market", "price_ranges": "range", "soccer_team": "team"}
+#: The kinds that :func:`named_teams` needs.
+TEAM_KINDS = {k: v for k, v in KINDS.items() if v != "range"}
 KEYS = ["pull_id"]
 
 
-def market_nodes(df: DataFrame) -> DataFrame:
+def market_nodes(df: DataFrame, kinds: Mapping[str, str] = KINDS) -> DataFrame:
     """Labelled nodes of ``pull_id, payload`` rows, written once.
 
-    Four tables are taken from them, so they are kept in the shared folder
-    instead of parsing every payload four times.
+    Several tables are taken from them, so they are kept in the shared folder
+    instead of parsing every payload for each. Kinds that nothing is taken from
+    need not be kept.
     """
-    return cut(label_nodes(df, KEYS, "payload", KINDS))
+    return cut(label_nodes(df, KEYS, "payload", kinds))
 
 
 def events(nodes: DataFrame) -> DataFrame:

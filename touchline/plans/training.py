@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from touchline.operators.history import attribute_history
-from touchline.operators.markets import market_nodes, markets, named_teams, ranges
+from touchline.operators.markets import KINDS, TEAM_KINDS, market_nodes, markets, named_teams, ranges
 from touchline.plans.registry import Registry
 from touchline.sources.tables import table
 
@@ -15,8 +15,8 @@ def _history(spark: SparkSession, folder: str) -> DataFrame:
     return attribute_history(table(spark, folder, "players", columns), "player_id", "last_updated_at", ["current_club", "is_active"], ["loaded_at", "row_id"])
 
 
-def _nodes(spark: SparkSession, folder: str) -> DataFrame:
-    return market_nodes(table(spark, folder, "kxfifaadvance_markets", ["pull_id", "payload"]))
+def _nodes(spark: SparkSession, folder: str, kinds: dict[str, str] = KINDS) -> DataFrame:
+    return market_nodes(table(spark, folder, "kxfifaadvance_markets", ["pull_id", "payload"]), kinds)
 
 
 def register(registry: Registry) -> None:
@@ -32,7 +32,7 @@ def register(registry: Registry) -> None:
 
     @registry.add("p4_found", P4_SQL)
     def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-        return named_teams(_nodes(spark, folder)).select("event_ticker", "ticker", "soccer_team").distinct()
+        return named_teams(_nodes(spark, folder, TEAM_KINDS)).select("event_ticker", "ticker", "soccer_team").distinct()
 
     @registry.add("p4_markets")
     def p4_markets(spark: SparkSession, folder: str) -> DataFrame:
