@@ -100,21 +100,41 @@ def test_readings():
     assert m.match(None)[2] == m.match(" ​")[2] == "blank"
 
 
-@pytest.mark.parametrize("most", [50_000, 5])
+#: Values whose answer depends on more than one entry: a shortening that two names
+#: share, one key written twice, a code beside a near name, an order of readings.
+MORE_NAMES = [("Republic of Congo", "COG"), ("Congo", "COD"), ("Cóngo", "COG"), ("Mali", "MLI"), ("Malawi", "MWI"), ("Maldora", "MDR"), ("North Korea", "PRK"), ("New Korea", "NKO"), ("Korea", "KOR")]
+MORE_TYPED = ["N Korea", "n. korea", "Congo", "Mali.", "Mal.", "Mald.", "Korea.", "Krea", "Mala", "MLI", "Repub. of Congo", "Nw Korea", "n " * 40, "x" * 5000]
+
+
+@pytest.mark.parametrize("most", [1, 2, 3, 5])
 def test_broadcast_and_shards_agree(spark, most):
-    values = spark.createDataFrame([(t, "x") for t in TYPED] + [(None, "x"), ("", "x"), ("  ", "x"), ("BR", "y")], "v string, code string")
-    names = spark.createDataFrame(NAMES, "text string, code string")
-    codes = spark.createDataFrame(CODES, "text string, code string")
-    got = {r.typed: r.code for r in match_values(values, "v", names, codes, max_broadcast=most).collect()}
-    assert set(got) == set(TYPED)
-    if most == 50_000:
-        assert got == TYPED
-    else:
-        assert sum(got[t] == c for t, c in TYPED.items()) >= len(TYPED) - 2
+    values = spark.createDataFrame([(t, "x") for t in [*TYPED, *MORE_TYPED]] + [(None, "x"), ("", "x"), ("  ", "x"), ("BR", "y")], "v string, code string")
+    every = NAMES + MORE_NAMES
+    names = spark.createDataFrame(every, "text string, code string")
+    codes = spark.createDataFrame(CODES + [("MLI", "MLI"), ("NK", "PRK"), ("nk", "NKO")], "text string, code string")
+    rows = lambda df: {tuple(r) for r in df.collect()}
+    want = rows(match_values(values, "v", names, codes))
+    assert {r[0] for r in want} == {*TYPED, *MORE_TYPED}
+    assert rows(match_values(values, "v", names, codes, max_broadcast=most)) == want
+    assert rows(match_values(values, "v", names, codes, max_broadcast=most, near=False)) == rows(match_values(values, "v", names, codes, near=False))
+
+
+def test_values_and_lists_may_be_empty(spark):
+    values = spark.createDataFrame([("BR", "y"), (None, "x"), (" ", "x")], "v string, code string")
+    names, codes = spark.createDataFrame(NAMES, "text string, code string"), spark.createDataFrame(CODES, "text string, code string")
+    assert {r.typed: r.code for r in match_values(values, "v", names, codes).collect()} == {"BR": "BRA"}
     assert match_values(values.limit(0), "v", names, codes).count() == 0
     assert {r.code for r in match_values(values, "v", names.limit(0), codes.limit(0)).collect()} == {UNMATCHED}
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text("abcd ", min_size=1, max_size=7), min_size=1, max_size=30), st.lists(st.text("abcde ", max_size=8), min_size=1, max_size=6))
+def test_batch_search_is_the_search_one_by_one(entries, values):
+    tree = BKTree.of(entries)
+    got = tree.within_many(values, [2] * len(values))
+    assert got == [sorted((distance(v, e), e) for e in set(entries) if distance(v, e) <= 2) for v in values]
+
+
 def test_ids_mean_their_subtitle(spark):
     teams = spark.createDataFrame([("BRA", "Branemont", "BR")], "team_code string, team_name string, iso2_code string")
     aliases = spark.createDataFrame([("Oldland", "BRA")], "alias string, team_code string")

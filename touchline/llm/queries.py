@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from touchline.llm.canon import market_teams, team_matches
+from touchline.llm.canon import asked_names, market_teams, team_matches
 from touchline.llm.encode import encode_corpus
 from touchline.llm.leaks import find_leaks
 from touchline.llm.linkage import link_appearances
@@ -12,8 +12,9 @@ from touchline.llm.pieces import oversized, split_oversized
 from touchline.llm.ranking import rank_teams
 from touchline.llm.unify import find_inconsistent, unify_column
 from touchline.llm.variants import same_people
-from touchline.operators.markets import market_nodes, named_teams
+from touchline.operators.markets import TEAM_KINDS, market_nodes, named_teams
 from touchline.plans.registry import Registry
+from touchline.session import cut
 from touchline.sources.tables import table
 
 registry = Registry()
@@ -83,16 +84,19 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     teams, aliases = _team_lists(spark, folder)
     snaps = table(spark, folder, "polymarket_snapshot", ["snap_id", "outcome"]).where(F.length(F.trim("outcome")) > 0)
-    codes = team_matches(snaps, "outcome", teams, aliases)
+    nodes = market_nodes(table(spark, folder, "kxfifaadvance_markets", ["pull_id", "payload"]), TEAM_KINDS)
+    named = cut(named_teams(nodes).select("ticker", "yes_sub_title", "soccer_team").distinct())
+    # one matching pass over the distinct texts of both sources
+    texts = snaps.select(F.col("outcome").alias("text")).unionByName(asked_names(named).select(F.col("asked").alias("text")))
+    codes = cut(team_matches(texts, "text", teams, aliases).select("typed", "code"))
     typed = snaps.join(codes, snaps["outcome"] == codes["typed"]).select(
         F.lit("polymarket_snapshot").alias("origin"), F.col("snap_id").cast("string").alias("rec_key"), "typed", F.col("code").alias("team_code")
     )
-    nodes = market_nodes(table(spark, folder, "kxfifaadvance_markets", ["pull_id", "payload"]))
-    named = named_teams(nodes).select("ticker", "yes_sub_title", "soccer_team").distinct()
-    markets = market_teams(named, teams, aliases).select(
+    markets = market_teams(named, teams, aliases, codes).select(
         F.lit("kxfifaadvance_markets").alias("origin"), "rec_key", "typed", F.col("code").alias("team_code")
     )
-    return typed.unionByName(markets).distinct()
+    # each source's rows are distinct, and no row is of both
+    return typed.distinct().unionByName(markets)
 
 
 @registry.add("p7_found")
