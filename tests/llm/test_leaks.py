@@ -1,8 +1,9 @@
 import random
 
 import numpy as np
+import pytest
 
-from touchline.llm.leaks import align, build_index, find_leaks, plain
+from touchline.llm.leaks import align, bound, find_leaks, gram_length, plain
 
 WORDS = [f"{a}{b}{c}" for a in ("ba", "re", "to", "mi", "ku", "so") for b in ("lan", "dor", "vis", "ter") for c in ("", "ing", "s", "ov", "ia")]
 
@@ -20,18 +21,22 @@ def brute(doc, item, jump=40):
     """The same scores by plain dynamic programming, over all cells."""
     n, m = len(item), len(doc)
     low = (-10**9, 0)
-    a = [[(0.0, 0)] * (m + 1) for _ in range(n + 1)]
+    a = [[(0, 0)] * (m + 1) for _ in range(n + 1)]
     b = [[low] * (m + 1) for _ in range(n + 1)]
-    best = (0.0, 0)
+    same = lambda i, j: i > 0 and j > 0 and doc[j - 1] == item[i - 1]
+    add = lambda c, g: (c[0] + g[0], c[1] + g[1])
+    best = (0, 0)
     for i in range(1, n + 1):
         for j in range(1, m + 1):
-            hit = doc[j - 1] == item[i - 1]
-            g = (1.0, 1) if hit else (-1.5, 0)
-            add = lambda c, g: (c[0] + g[0], c[1] + g[1])
-            a[i][j] = max((0.0, 0), add(a[i - 1][j - 1], g), add(a[i - 1][j], (-1.0, 0)), add(a[i][j - 1], (-1.0, 0)))
-            starts = [add(a[i - 1][k], (-2.0, 0)) for k in range(max(0, j - 1 - jump), j - 1) if a[i - 1][k][0] > 3]
-            b[i][j] = max(low, add(max([b[i - 1][j - 1], *starts]), g), add(b[i - 1][j], (-1.0, 0)), add(b[i][j - 1], (-1.0, 0)))
+            g = (10, 1) if same(i, j) else (-15, 0)
+            begun = (0, 1) if same(i, j - 1) or (same(i - 1, j - 1) and not same(i, j)) else (0, 0)
+            a[i][j] = max(begun, add(a[i - 1][j - 1], g), add(a[i - 1][j], (-10, 0)), add(a[i][j - 1], (-10, 0)))
+            starts = [add(a[i - 1][k], (-20, 0)) for k in range(max(0, j - 1 - jump), j - 1) if a[i - 1][k][0] > 30]
+            b[i][j] = max(low, add(max([b[i - 1][j - 1], *starts]), g), add(b[i - 1][j], (-10, 0)), add(b[i][j - 1], (-10, 0)))
             best = max(best, a[i][j], b[i][j])
+            for k, l in ((i - 2, j - 2), (i - 1, j - 2)):
+                if same(i, j) and k >= 0 and l >= 0:
+                    best = max(best, add(max(a[k][l], b[k][l]), (0, 1)))
     return best
 
 
@@ -98,8 +103,93 @@ def test_ids_of_other_types(spark):
     assert [(r.doc_id, r.item_id) for r in find_leaks(df, it).collect()] == [("d1", "i1")]
 
 
-def test_every_block_keeps_grams():
+def short_words(rng, n, least=1, most=3):
+    return ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(least, most))) for _ in range(n)]
+
+
+def found(spark, docs, items, **more):
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    it = spark.createDataFrame(items, "item_id bigint, passage string")
+    return {(r.doc_id, r.item_id) for r in find_leaks(df, it, **more).collect()}
+
+
+@pytest.mark.parametrize("least, most", [(1, 3), (2, 8), (5, 9)])
+@pytest.mark.parametrize("edits", [0, 2, 5])
+def test_exchanged_words_never_hide_a_stretch(spark, least, most, edits):
+    rng = random.Random(100 * least + edits)
+    items = [(i, short_words(rng, 80, least, most)) for i in range(10)]
+    docs = []
+    for d in range(60):
+        part = list(items[d % 10][1][(k := rng.randrange(80 - 28 - edits)) : k + 28 + edits])
+        # single words with two of the passage between them at least, up to the ends
+        for k, at in enumerate(sorted(rng.sample(range(1, len(part) - 1 - 2 * edits), edits))):
+            part[at + 2 * k] = "zzzz"
+        docs.append((d, " ".join(short_words(rng, 60, least, most) + part + short_words(rng, 60, least, most))))
+    got = found(spark, docs, [(i, " ".join(w)) for i, w in items])
+    assert got >= {(d, d % 10) for d in range(60)}
+
+
+@pytest.mark.parametrize("foreign", [12, 60, 95, 400])
+def test_a_foreign_sentence_may_be_long(spark, foreign):
+    rng = random.Random(foreign)
+    item = passage(rng, 70)
+    halves = item[20:35] + [f"foreign{i}" for i in range(foreign)] + item[35:50]
+    twice = item[20:30] + ["one"] * foreign + item[30:40] + ["two"] * foreign + item[40:50]
+    docs = [(1, " ".join(passage(rng, 50) + halves + passage(rng, 50))), (2, " ".join(twice))]
+    got = found(spark, docs, [(0, " ".join(item))])
+    assert got == ({(1, 0)} if foreign < 100 else set()) or foreign == 12 and got >= {(1, 0)}
+    assert (1, 0) in found(spark, docs, [(0, " ".join(item))], max_sentence=1_000)
+
+
+def test_long_matches_are_counted_whole(spark):
+    rng = random.Random(2)
+    item = passage(rng, 1_150)
+    code = np.arange(1_150)
+    for n in (1_023, 1_024, 1_030, 1_150):
+        assert align([code[:n]], [code], [(0, 0)]).tolist() == [n]
+    assert found(spark, [(1, " ".join(item)), (2, " ".join(item[:1_024]))], [(5, " ".join(item))]) == {(1, 5), (2, 5)}
+
+
+def test_text_without_spaces_is_found(spark):
+    rng = random.Random(6)
+    item = "".join(chr(rng.randrange(0x4E00, 0x4E00 + 400)) for _ in range(90))
+    docs = [(1, item), (2, item[30:60]), (3, "x" + item[10:25] + "。" + item[25:45] + "y"), (4, item[::-1]), (5, item[30:50])]
+    assert found(spark, docs, [(9, item)]) == {(1, 9), (2, 9), (3, 9)}
+
+
+def test_large_item_sets_find_the_same(spark):
+    rng = random.Random(8)
+    items = [(i, " ".join(passage(rng, 60) if i % 3 else short_words(rng, 60))) for i in range(30)] + [(31, None), (32, "few words")]
+    docs = []
+    for d in range(90):
+        words = items[d % 30][1].split()
+        part = words[10 : 10 + rng.randrange(22, 45)]
+        if d % 2:
+            part = part[:16] + ["foreign"] * rng.choice([10, 80]) + part[16:]
+        docs.append((d, " ".join(passage(rng, 30) + part + passage(rng, 30))))
+    docs += [docs[3], (None, docs[4][1]), (200, None)]
+    near = found(spark, docs, items)
+    assert len(near) > 20 and found(spark, docs, items, max_index=10) == near
+
+
+def test_tags_of_any_length_are_markup():
+    assert plain(f"one <a href='{'x' * 900}'>two</a> a < b") == "one two a b"
+
+
+def test_the_bound_of_a_passage():
     rng = random.Random(1)
-    index = build_index([(1, " ".join(passage(rng, 90))), (2, "")])
-    at = np.sort(index.at)
-    assert len(at) and np.diff(at).max() < 120
+    assert gram_length(" ".join(passage(rng, 90))) == 12 and gram_length(" ".join(short_words(rng, 90))) < 8
+    assert gram_length(" ".join(["word"] * 27)) is None and gram_length("") is None
+    text = " ".join(passage(rng, 50))
+    for _ in range(200):
+        # every stretch with its worst places edited leaves what the bound says
+        exchanged = rng.randrange(0, 6)
+        k = rng.randrange(50 - 28 - exchanged + 1)
+        words = text.split()[k : k + 28 + exchanged]
+        for at in rng.sample(range(len(words)), exchanged):
+            words[at] = "zz"
+        for at in rng.sample(range(1, len(words)), 5 - exchanged):
+            words[at] = "xx " + words[at]
+        held = " ".join(words)
+        left = sum(text[p : p + 12] in held for p in range(len(text) - 11))
+        assert left >= bound(text, 12, np.ones(len(text) - 11, bool))
