@@ -54,7 +54,7 @@ def test_every_word_once(spark):
 def test_pieces_lose_nothing(parts, limit, overlap):
     text = "".join(parts)
     encode = encoding().encode_ordinary
-    spans = _spans(text, limit, overlap, encode)
+    spans = _spans(text, limit, overlap, encoding())
     assert spans[0][0] == 0 and spans[-1][1] == len(text)
     for (a, b, n), (c, d, _) in zip(spans, spans[1:]):
         assert c <= b < d and a < b
@@ -63,6 +63,24 @@ def test_pieces_lose_nothing(parts, limit, overlap):
         assert len(spans) == 1
 
 
+ALIKE = {"words": "alpha beta gamma ", "letters": "qzxvkjwp", "runs": "x" * 40, "long words": "qzxvkjwpbnmdfgh" * 30 + " ", "characters": "世界文字", "lines": "one two. three, four\n", "mixed": "word " * 9 + "zqxjkvbpyg" * 50 + " "}
+
+
+@pytest.mark.parametrize("kind", sorted(ALIKE))
+@pytest.mark.parametrize("limit, overlap", [(200, 30), (500, 100)])
+def test_every_join_overlaps_and_pieces_are_few(kind, limit, overlap):
+    encode = encoding().encode_ordinary
+    unit = ALIKE[kind]
+    text = unit * (6 * limit // len(encode(unit)) + 1)
+    spans = _spans(text, limit, overlap, encoding())
+    for (a, b, n), (c, _, m) in zip(spans, spans[1:]):
+        assert max(n, m) <= limit
+        # one token of slack inside a word, one character where it has several tokens
+        assert overlap - 3 <= len(encode(text[c:b])) <= overlap + 6
+    least = -(-(len(encode(text)) - overlap) // (limit - overlap))
+    assert len(spans) <= least + 1
+
+
 def test_split_of_a_table(spark):
     rows = [(1, None, 0), (2, "", 0), (3, "short", 0), (4, "A sentence here. " * 900, 0), (5, "x" * 9000, 0), (5, "x" * 9000, 0), (6, "世" * 2500, 0)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, piece int")

@@ -2,9 +2,9 @@
 
 Balanced targets: the least piece count that the limit and the overlap allow
 sets equal-length targets; each target moves to the strongest boundary nearby
-(paragraph, line, sentence, clause, word, then any character); if a piece still
-breaks the limit, one more piece is tried, so the number of pieces only grows
-as far as it must.
+(paragraph, line, sentence, clause, word, then any character) that leaves this
+piece and the rest within the limit; if a piece still breaks it, one more piece is
+tried, so the number of pieces only grows as far as it must.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ _BOUNDARIES = [
     re.compile(r"[,;:–—、，；]\s*"),
     re.compile(r"\s+"),
 ]
+#: Tokens that an overlap may have more to begin with a word.
+MORE = 4
 #: How far a cut may move from its target, as a share of the piece length.
 _REACH = (0.25, 0.2, 0.15, 0.08, 0.05)
 
@@ -57,8 +59,28 @@ def _offsets(text: str, encode) -> tuple[np.ndarray, np.ndarray]:
     return np.array([*starts, len(text)], np.int64), np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
 
 
-def _spans(text: str, limit: int, overlap: int, encode) -> list[tuple[int, int, int]]:
+def _overlap_begin(text: str, starts: np.ndarray, before: np.ndarray, cut: int, overlap: int, encoder) -> int:
+    """Where the piece behind ``cut`` begins: ``overlap`` tokens before it, at the
+    beginning of a word if that is at most ``MORE`` tokens further, else inside
+    the word."""
+    i = bisect_right(starts, cut) - 1
+    inside = encoder.encode_ordinary(text[starts[i] : cut]) if cut > starts[i] else []
+    upto = int(before[i]) + len(inside)
+    j = max(bisect_right(before, upto - overlap) - 1, 0)
+    if upto - overlap - before[j] <= MORE:
+        return int(starts[j])
+    end = cut if j >= i else int(starts[j + 1])
+    behind = 0 if j >= i else upto - int(before[j + 1])
+    word = text[starts[j] : end]
+    pieces = encoder.decode_tokens_bytes(encoder.encode_ordinary(word))
+    # the last tokens of the word, from the next whole character on
+    tail = b"".join(pieces[len(pieces) - (overlap - behind) :])
+    return end - len(tail.decode("utf-8", "ignore"))
+
+
+def _spans(text: str, limit: int, overlap: int, encoder) -> list[tuple[int, int, int]]:
     """``(begin, end, tokens)`` of each piece, in order."""
+    encode = encoder.encode_ordinary
     whole = len(encode(text))
     if whole <= limit:
         return [(0, len(text), whole)]
@@ -69,44 +91,40 @@ def _spans(text: str, limit: int, overlap: int, encode) -> list[tuple[int, int,
     room = limit - overlap
     count = max(2, -(-(whole - overlap) // room))
     while True:
-        cuts, ok = [0], True
         step = whole / count
-        for k in range(1, count):
-            target = step * k
-            best = None
-            for marked, reach in zip(marks, _REACH):
-                lo, hi = char_at(target - step * reach), char_at(target + step * reach)
-                i, j = bisect_left(marked, max(lo, cuts[-1] + 1)), bisect_right(marked, min(hi, len(text) - (count - k)))
-                if j > i:
-                    near = marked[i:j]
-                    best = int(near[np.argmin(np.abs(near - char_at(target)))])
-                    break
-            if best is None:
-                best = max(char_at(target), cuts[-1] + 1)
-            # every piece keeps at least one character of its own
-            cuts.append(min(best, len(text) - (count - k)))
-        cuts.append(len(text))
-        spans = []
-        for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
-            begin = a
-            if k and overlap:
-                # the overlap begins at the first word boundary inside it
-                wanted = char_at(max(0.0, tokens_at(a) - overlap))
-                i = bisect_left(starts, wanted)
-                begin = int(min(a, starts[i])) if i < len(starts) and starts[i] <= a else max(wanted, 0)
-            n = len(encode(text[begin:b]))
-            if n > limit and begin < a and b - a == 1:
+        spans: list[tuple[int, int, int]] = []
+        begin = last = 0
+        for k in range(1, count + 1):
+            if k == count:
+                cut = len(text)
+            else:
+                target = step * k
+                # this piece must hold it, the rest must hold what is behind, and every
+                # piece keeps at least one character of its own
+                most = min(char_at(tokens_at(begin) + limit), len(text) - (count - k))
+                least = max(last + 1, char_at(whole - (count - k) * room))
+                cut = min(max(char_at(target), least), max(most, last + 1))
+                for marked, reach in zip(marks, _REACH):
+                    lo, hi = max(char_at(target - step * reach), least), min(char_at(target + step * reach), most)
+                    i, j = bisect_left(marked, lo), bisect_right(marked, hi)
+                    if j > i:
+                        near = marked[i:j]
+                        cut = int(near[np.argmin(np.abs(near - char_at(target)))])
+                        break
+            n = len(encode(text[begin:cut]))
+            if n > limit and begin < last and cut - last == 1:
                 # one character alone may need most of the limit: then no overlap
-                begin, n = a, len(encode(text[a:b]))
+                begin, n = last, len(encode(text[last:cut]))
             if n > limit:
-                ok = False
                 break
-            spans.append((begin, b, n))
-        if ok:
+            spans.append((begin, cut, n))
+            last = cut
+            begin = _overlap_begin(text, starts, before, cut, overlap, encoder) if overlap and k < count else cut
+        else:
             return spans
         if count >= len(text):
             raise ValueError("the limit is below the tokens of one character")
-        count = min(len(text), count + max(1, count // 16))
+        count += 1
 
 
 def split_oversized(
@@ -120,9 +138,9 @@ def split_oversized(
 ) -> DataFrame:
     """``id_col, piece, pieces, begin, end, tokens, text`` of every document.
 
-    ``begin`` and ``end`` are character offsets; a piece starts up to
-    ``overlap`` tokens before the end of the one before, and dropping that part
-    gives the text back. A text within the limit is one piece. A token has at
+    ``begin`` and ``end`` are character offsets; a piece starts ``overlap``
+    tokens before the end of the one before, or up to ``MORE`` more at the
+    beginning of a word, and dropping that part gives the text back. A text within the limit is one piece. A token has at
     least one byte, so texts of no more than ``limit`` bytes are passed on by
     the JVM without being tokenized by Python; their ``tokens`` is null. Null
     and empty texts give one piece with an empty text. Repeated rows give
@@ -139,11 +157,11 @@ def split_oversized(
     ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoding(folder, name).encode_ordinary
+        encoder = encoding(folder, name)
         for batch in batches:
             rows: list[list] = [[] for _ in range(7)]
             for key, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                spans = _spans(body, limit, overlap, encode)
+                spans = _spans(body, limit, overlap, encoder)
                 for k, (a, b, n) in enumerate(spans):
                     for column, value in zip(rows, (key, k, len(spans), a, b, n, body[a:b])):
                         column.append(value)
