@@ -29,8 +29,6 @@ from touchline.llm.canon import distance
 from touchline.llm.unify import fold_name
 from touchline.session import cut, ship
 
-#: Log odds that two entities of one block are the same before any evidence.
-PRIOR = -9.0
 #: Attribution needs this log posterior odds.
 THRESHOLD = 0.0
 #: Smallest and largest log ratio of one agreeing word, by its frequency.
@@ -196,24 +194,16 @@ def candidate_pairs(people: DataFrame) -> DataFrame:
     return met.where("rb < ra").select("a", "b").distinct()
 
 
-def _evidence(x: dict, y: dict) -> float:
-    score = 0.0
-    bx, by = x["birth_date"], y["birth_date"]
-    if bx and by:
-        swapped = (bx.year, bx.day, bx.month) == (by.year, by.month, by.day)
-        score += 8.5 if bx == by else 7.0 if swapped else -9.0
-    elif x["birth_year"] and y["birth_year"]:
-        score += 2.8 if x["birth_year"] == y["birth_year"] else -8.0
-    if x["country"] and y["country"]:
-        score += 2.5 if x["country"] == y["country"] else -6.0
-    if x["position"] and y["position"]:
-        score += 0.8 if x["position"] == y["position"] else -2.5
-    if set(x["clubs"] or ()) & set(y["clubs"] or ()):
-        score += 2.0
-    ix, iy = set(x["ids"] or ()), set(y["ids"] or ())
-    if ix & iy:
-        score += 6.0
-    return score
+def _evidence(x: str, y: str) -> Column:
+    """Log likelihood ratio of the facts of two entities; unknown ones say nothing."""
+    of = lambda f: (F.col(f"{x}.{f}"), F.col(f"{y}.{f}"))
+    (born, also), (year, other) = of("birth_date"), of("birth_year")
+    swapped = (F.year(born) == F.year(also)) & (F.month(born) == F.dayofmonth(also)) & (F.dayofmonth(born) == F.month(also))
+    by_date = F.when(born.isNotNull() & also.isNotNull(), F.when(born == also, 8.5).when(swapped, 7.0).otherwise(-9.0))
+    by_year = F.when(year == other, 2.8).when(year != other, -8.0)
+    same = lambda f, yes, no: F.coalesce(F.when(of(f)[0] == of(f)[1], yes).when(of(f)[0] != of(f)[1], no), F.lit(0.0))
+    shared = lambda f, yes: F.when(F.coalesce(F.arrays_overlap(*of(f)), F.lit(False)), yes).otherwise(0.0)
+    return F.coalesce(by_date, by_year, F.lit(0.0)) + same("country", 2.5, -6.0) + same("position", 0.8, -2.5) + shared("clubs", 2.0) + shared("ids", 6.0)
 
 
 def word_rarity(people: DataFrame) -> DataFrame:
@@ -224,17 +214,29 @@ def word_rarity(people: DataFrame) -> DataFrame:
     return counts.select("word", F.least(F.lit(WORD_HIGH), F.greatest(F.lit(WORD_LOW), F.log(total / F.col("n")))).alias("worth"), "n")
 
 
-def attribute(people: DataFrame, prior: float = PRIOR, threshold: float = THRESHOLD) -> DataFrame:
+def attribute(people: DataFrame, prior: float | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """``a, b, odds``: each variant with its most probable canonical entity.
 
+    Without a ``prior`` each of the entities is as likely to be meant as any other:
+    its log odds are those of one among all.
+    What the facts leave of the odds is settled by columns; only spellings of
+    pairs that a spelling could still link go to Python.
+
     Words held by more than one in a thousand entities have a worth below the
     ceiling; there are at most a few thousand of these, so they are broadcast.
     """
     spark = people.sparkSession
     common = word_rarity(people).where(F.col("worth") < WORD_HIGH - 1e-9)
     shared = spark.sparkContext.broadcast({r["word"]: r["worth"] for r in common.toLocalIterator()})
+    if prior is None:
+        prior = -math.log(max(people.count(), 2))
     side = lambda p: people.select(F.col("id").alias(p), F.struct("birth_date", "birth_year", "country", "position", "clubs", "ids", "spellings", "rows").alias(f"{p}_facts"))
-    pairs = candidate_pairs(people).join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_facts", "b_facts")
+    met = candidate_pairs(people).join(side("a"), "a").join(side("b"), "b")
+    before = F.lit(prior) + _evidence("a_facts", "b_facts") + 0.2 * F.log("b_facts.rows")
+    # a spelling can't be worth more than its words
+    words = lambda p: F.array_max(F.transform(f"{p}_facts.spellings", lambda s: F.size(F.split(s, " "))))
+    room = F.coalesce(F.least(words("a"), words("b")), F.lit(0)) * WORD_HIGH
+    pairs = met.select("a", "b", before.alias("before"), F.col("a_facts.spellings").alias("x"), F.col("b_facts.spellings").alias("y"), room.alias("room")).where(F.col("before") + F.col("room") > threshold).drop("room")
     kind = people.schema["id"].dataType
     schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind), T.StructField("odds", T.DoubleType())])
 
@@ -242,11 +244,8 @@ def attribute(people: DataFrame, prior: float = PRIOR, threshold: float = THRESH
         rarity = shared.value
         for batch in batches:
             keep, odds = [], []
-            for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
-                score = prior + _evidence(x, y)
-                if score < -16:
-                    continue
-                score += best_channel(x["spellings"], y["spellings"], rarity) + 0.2 * math.log(y["rows"])
+            for i, (score, x, y) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("before", "x", "y")))):
+                score += best_channel(x, y, rarity)
                 if score > threshold:
                     keep.append(i)
                     odds.append(score)
