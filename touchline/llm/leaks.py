@@ -61,6 +61,8 @@ JUMP = 40
 MATCH, MISMATCH, EXTRA, SENTENCE, BEFORE = 10, -15, -10, -20, 30
 #: Words of one foreign sentence. What lies further apart are two shorter quotations.
 MAX_SENTENCE = 100
+#: Words that a band reaches beyond its jump.
+SLACK = 12
 #: Characters of items in the broadcast index, about 24 bytes each.
 MAX_INDEX = 2_000_000
 
@@ -167,6 +169,8 @@ class Grams:
     first: np.ndarray
     item: np.ndarray
     at: np.ndarray
+    #: Hits that a stretch of any of these items leaves at least.
+    least: int
     bits: int = 22
 
     def bitmap(self) -> np.ndarray:
@@ -213,7 +217,7 @@ def build_index(items: list[tuple[int, str]], min_words: int = MIN_WORDS, max_ed
             flat = np.concatenate(keys)
             order = np.argsort(flat, kind="stable")
             keys, starts = np.unique(flat[order], return_index=True)
-            index.grams.append(Grams(q, keys, np.append(starts, len(flat)), np.concatenate(item)[order], np.concatenate(at)[order]))
+            index.grams.append(Grams(q, keys, np.append(starts, len(flat)), np.concatenate(item)[order], np.concatenate(at)[order], int(min(index.left[k] for k in every if lengths[k] == q))))
     return index
 
 
@@ -223,16 +227,17 @@ def _hits(index: Index, bitmaps: list[np.ndarray], codes: np.ndarray) -> tuple[n
     for grams, bitmap in zip(index.grams, bitmaps):
         h = _hashes(codes, grams.q)
         spots = np.flatnonzero(bitmap[(h >> np.uint64(64 - grams.bits)).astype(np.int64)])
-        if not len(spots):
+        # each q-gram that a stretch leaves has its own place in the document
+        if len(spots) < grams.least:
             continue
         at = np.searchsorted(grams.keys, h[spots])
         at[at == len(grams.keys)] = 0
         good = grams.keys[at] == h[spots]
         spots, at = spots[good], at[good]
+        if len(spots) < grams.least:
+            continue
         counts = grams.first[at + 1] - grams.first[at]
         ends = np.cumsum(counts)
-        if not len(ends):
-            continue
         where = np.repeat(grams.first[at] - (ends - counts), counts) + np.arange(int(ends[-1]))
         items.append(grams.item[where].astype(np.int64))
         xs.append(np.repeat(spots, counts))
@@ -240,13 +245,32 @@ def _hits(index: Index, bitmaps: list[np.ndarray], codes: np.ndarray) -> tuple[n
     return (np.concatenate(items), np.concatenate(xs), np.concatenate(ys)) if items else None
 
 
-def chains(bands: list[tuple[int, int, int, bool]], max_sentence: int = MAX_SENTENCE) -> list[tuple[int, int]]:
-    """Spans of word diagonals from the bands ``(number, lowest, highest, anchor?)`` of
-    one document and item; a band further than a sentence from every anchor is
-    left out, neighbouring bands are one chain, and a long chain is walked in steps
-    that overlap by a jump."""
-    anchors = [(lo, hi) for _, lo, hi, anchor in bands if anchor]
-    bands = [(n, lo, hi) for n, lo, hi, anchor in bands if anchor or any(lo <= high + max_sentence and hi >= low - max_sentence for low, high in anchors)]
+def chains(bands: list[tuple[int, int, int, int]], left: int, max_sentence: int = MAX_SENTENCE) -> list[tuple[int, int]]:
+    """Spans of word diagonals from the bands ``(number, lowest, highest, hits)`` of one
+    document and item, of which a stretch leaves ``left`` hits.
+
+    An anchor has half of ``left`` itself, and all of it with the bands beside it or
+    with one band within a sentence. Bands further from every anchor are left out,
+    neighbouring bands are one chain, and a long chain is walked in steps that
+    overlap by a jump.
+    """
+    hits = {number: n for number, _, _, n in bands}
+    few = min(SECOND, (left + 1) // 2) - 1
+    anchors = []
+    for number, lo, hi, n in bands:
+        if 2 * n < left:
+            continue
+        # the two halves of the band and one on either side
+        if number - 1 in hits:
+            around = hits[number - 1] + (hits[number + 1] if number + 1 in hits else hits.get(number + 2, few) + few)
+        else:
+            around = n + hits.get(number + 2, few) + few
+        if around >= left or any(n + other >= left for at, low, high, other in bands if abs(at - number) > 1 and low <= hi + max_sentence and high >= lo - max_sentence):
+            anchors.append((number, lo, hi))
+    if not anchors:
+        return []
+    taken = {number for number, _, _ in anchors}
+    bands = [(number, lo, hi) for number, lo, hi, n in bands if number in taken or any(lo <= high + max_sentence and hi >= low - max_sentence for _, low, high in anchors)]
     out: list[tuple[int, int]] = []
     run: list[int] | None = None
     for band, lo, hi in [*sorted(bands), (1 << 60, 0, 0)]:
@@ -270,6 +294,12 @@ def candidates(index: Index, bitmaps: list[np.ndarray], text: str, max_sentence:
     if hits is None:
         return []
     item, x, y = hits
+    # an item with fewer hits in the whole document than a stretch leaves is not in it
+    many = np.bincount(item, minlength=len(index.left)) >= np.maximum(index.left, 1)
+    kept = many[item]
+    if not kept.any():
+        return []
+    item, x, y = item[kept], x[kept], y[kept]
     # half bands are told by their item and number; numbers start above zero
     key = (item << 32) | ((x - y) // BAND + (1 << 30))
     order = np.argsort(key, kind="stable")
@@ -281,19 +311,18 @@ def candidates(index: Index, bitmaps: list[np.ndarray], text: str, max_sentence:
     both = size + np.where(joined, size[after], 0)
     most = np.zeros(len(index.left), np.int64)
     np.maximum.at(most, of, both)
-    able = (2 * most >= index.left) & (np.bincount(of, size, len(index.left)) >= index.left)
-    full = able[of] & (both >= np.maximum(np.minimum(SECOND, (index.left + 1) // 2), index.left - most)[of])
+    full = (2 * most >= index.left)[of] & (both >= np.minimum(SECOND, (index.left + 1) // 2)[of])
     if not full.any():
         return []
     words = np.searchsorted(np.flatnonzero(codes == 32), x) - index.word_at[index.word_first[item] + y]
     low, high = np.minimum.reduceat(words[order], starts), np.maximum.reduceat(words[order], starts)
-    anchors: dict[int, list[tuple[int, int, int, bool]]] = {}
+    anchors: dict[int, list[tuple[int, int, int, int]]] = {}
     for b in np.flatnonzero(full):
         lo, hi = int(low[b]), int(high[b])
         if joined[b]:
             lo, hi = min(lo, int(low[after[b]])), max(hi, int(high[after[b]]))
-        anchors.setdefault(int(halves[b] >> 32), []).append((int(halves[b] & 0xFFFFFFFF), lo, hi, bool(2 * both[b] >= index.left[of[b]])))
-    return [(k, lo, hi) for k, bands in anchors.items() for lo, hi in chains(bands, max_sentence)]
+        anchors.setdefault(int(halves[b] >> 32), []).append((int(halves[b] & 0xFFFFFFFF), lo, hi, int(both[b])))
+    return [(k, lo, hi) for k, bands in anchors.items() for lo, hi in chains(bands, int(index.left[k]), max_sentence)]
 
 
 def align(docs: list[np.ndarray], items: list[np.ndarray], spans: list[tuple[int, int]], jump: int = JUMP) -> np.ndarray:
@@ -307,15 +336,14 @@ def align(docs: list[np.ndarray], items: list[np.ndarray], spans: list[tuple[int
     """
     if not docs:
         return np.zeros(0, np.int64)
-    slack = 12
     rows = max(len(i) for i in items)
-    width = max(hi - lo for lo, hi in spans) + 2 * (jump + slack) + 1
+    width = max(hi - lo for lo, hi in spans) + 2 * (jump + SLACK) + 1
     n = len(docs)
     window = np.full((n, rows + width), -1, np.int32)
     passage = np.full((n, rows), -2, np.int32)
     for k, (doc, item, (lo, _)) in enumerate(zip(docs, items, spans)):
         passage[k, : len(item)] = item
-        start = lo - jump - slack
+        start = lo - jump - SLACK
         a, b = max(0, start), min(len(doc), start + rows + width)
         if b > a:
             window[k, a - start : b - start] = doc[a:b]
@@ -361,41 +389,66 @@ def align(docs: list[np.ndarray], items: list[np.ndarray], spans: list[tuple[int
     return best & (unit - 1)
 
 
-def _common(doc: np.ndarray, item: np.ndarray) -> int:
-    """Words that a document and a passage have in common, repeated ones as often
-    as both have them."""
-    words, count = np.unique(item, return_counts=True)
-    at = np.searchsorted(words, doc)
-    at[at == len(words)] = 0
-    return int(np.minimum(np.bincount(at[words[at] == doc], minlength=len(words)), count).sum())
+def _in_order(words: np.ndarray, masks: dict[int, int], size: int) -> int:
+    """Longest common subsequence of a document's words and a passage of ``size``
+    words, given by the places of each word: no alignment matches more."""
+    full = (1 << size) - 1
+    state = full
+    for mask in map(masks.get, words.tolist()):
+        if mask:
+            hit = state & mask
+            state = ((state + hit) | (state - hit)) & full
+    return size - state.bit_count()
 
 
-def verify(jobs: list[tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]], min_words: int = MIN_WORDS, max_edits: int = MAX_EDITS, max_sentence: int = MAX_SENTENCE, at_once: int = 512) -> list[int]:
+def _places(item: np.ndarray) -> dict[int, int]:
+    masks: dict[int, int] = {}
+    for i, word in enumerate(item.tolist()):
+        masks[word] = masks.get(word, 0) | (1 << i)
+    return masks
+
+
+def verify(jobs: list[tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]], min_words: int = MIN_WORDS, max_edits: int = MAX_EDITS, max_sentence: int = MAX_SENTENCE, at_once: int = 128) -> list[int]:
     """Matched words of each (document, passage, anchored spans) in coded words.
 
     The best of the spans; if that falls short, the best of two of them in order.
     """
     found = [0] * len(jobs)
-    best: dict[int, dict[tuple[int, int], int]] = {}
-    # no alignment matches more words than both sides have in common
-    able = [_common(doc, item) >= min_words for doc, item, _ in jobs]
-    flat = sorted(((len(item), hi - lo, j, lo, hi) for j, (_, item, spans) in enumerate(jobs) if able[j] for lo, hi in spans))
-    for start in range(0, len(flat), at_once):
-        part = flat[start : start + at_once]
-        got = align([jobs[j][0] for _, _, j, _, _ in part], [jobs[j][1] for _, _, j, _, _ in part], [(lo, hi) for *_, lo, hi in part])
-        for (_, _, j, lo, hi), matched in zip(part, got.tolist()):
-            found[j] = max(found[j], matched)
-            best.setdefault(j, {})[lo, hi] = matched
+    places = {id(item): _places(item) for _, item, _ in jobs}
+
+    def window(j: int, lo: int, hi: int) -> np.ndarray:
+        doc, item, _ = jobs[j]
+        return doc[max(0, lo - JUMP - SLACK) : max(0, hi + len(item) + JUMP + SLACK)]
+
+    def aligned(spans: list[tuple[int, int, int, int, int]]) -> dict[tuple[int, int, int], int]:
+        out = {}
+        spans = sorted(spans)
+        for start in range(0, len(spans), at_once):
+            part = spans[start : start + at_once]
+            got = align([jobs[j][0] for _, _, j, _, _ in part], [jobs[j][1] for _, _, j, _, _ in part], [(lo, hi) for *_, lo, hi in part])
+            for (_, _, j, lo, hi), matched in zip(part, got.tolist()):
+                found[j] = max(found[j], matched)
+                out[j, lo, hi] = matched
+        return out
+
+    every = [(len(jobs[j][1]), hi - lo, j, lo, hi) for j in range(len(jobs)) for lo, hi in jobs[j][2]]
+    # words in common, in order: a span with too few is never aligned
+    most = {(j, lo, hi): _in_order(window(j, lo, hi), places[id(jobs[j][1])], size) for size, _, j, lo, hi in every}
+    best = aligned([s for s in every if most[s[2:]] >= min_words])
     # two regions, the second one on later diagonals, put one behind the other
+    joint = []
+    for j, (_, _, spans) in enumerate(jobs):
+        if found[j] < min_words:
+            joint += [(j, a, b) for a in spans for b in spans if a[1] < b[0] <= a[1] + max_sentence and most[j, *a] + most[j, *b] >= min_words]
+    open_ = {(j, *s) for j, *both in joint for s in both} - best.keys()
+    best.update(aligned([(len(jobs[j][1]), hi - lo, j, lo, hi) for j, lo, hi in open_]))
     pairs: list[tuple[int, np.ndarray]] = []
-    for j, each in best.items():
-        doc, item, _ = jobs[j]
-        for (lo, hi), first in each.items() if found[j] < min_words else ():
-            for (low, high), second in each.items():
-                if hi < low <= hi + max_sentence and first + second >= min_words - max_edits:
-                    reach = len(item) + JUMP
-                    a, b = doc[max(0, lo - JUMP) : max(0, hi + reach)], doc[max(0, hi + reach, low - JUMP) : max(0, high + reach)]
-                    pairs.append((j, np.concatenate([a, b])))
+    for j, (lo, hi), (low, high) in joint:
+        if found[j] < min_words and best[j, lo, hi] + best[j, low, high] >= min_words - max_edits:
+            doc, item, _ = jobs[j]
+            reach = len(item) + JUMP
+            a, b = doc[max(0, lo - JUMP) : max(0, hi + reach)], doc[max(0, hi + reach, low - JUMP) : max(0, high + reach)]
+            pairs.append((j, np.concatenate([a, b])))
     pairs.sort(key=lambda p: (len(jobs[p[0]][1]), len(p[1])))
     for start in range(0, len(pairs), 64):
         part = pairs[start : start + 64]
@@ -496,7 +549,7 @@ def _find_joined(source: DataFrame, held: DataFrame, schema: str, min_words: int
     held_bands = bands.where("least = band").join(enough, ["_doc", "_item"]).where(F.col("n") >= least_hits)
     # one row a document and item, no longer than the document
     gathered = held_bands.groupBy("_doc", "_item", "left").agg(F.collect_list(F.struct("band", "lo", "hi", "n")).alias("all"), F.max("n").alias("most")).where("2 * most >= left")
-    anchored = gathered.withColumn("bands", F.filter("all", lambda b: b["n"] >= F.greatest(least_hits, F.col("left") - F.col("most"))))
+    anchored = gathered.withColumnRenamed("all", "bands")
     pairs = anchored.join(docs.withColumnRenamed("words", "text"), "_doc").join(items.select("_item", "item_id", F.col("words").alias("passage")), "_item").select("doc_id", "item_id", "text", "passage", "bands", "left")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -507,7 +560,7 @@ def _find_joined(source: DataFrame, held: DataFrame, schema: str, min_words: int
                 item = np.array([vocabulary.setdefault(w, len(vocabulary)) for w in row["passage"].split()], np.int32)
                 words = row["text"].split(" ")
                 coded = np.fromiter(map(vocabulary.get, words, repeat(-1)), np.int32, len(words))
-                jobs.append((coded, item, chains([(b["band"], b["lo"], b["hi"], 2 * b["n"] >= row["left"]) for b in row["bands"]], max_sentence)))
+                jobs.append((coded, item, chains([(b["band"], b["lo"], b["hi"], b["n"]) for b in row["bands"]], row["left"], max_sentence)))
             matched = pa.array(verify(jobs, min_words, max_edits, max_sentence), pa.int32())
             found = pa.RecordBatch.from_arrays([batch.column("doc_id").cast(doc_type), batch.column("item_id").cast(item_type), matched], ["doc_id", "item_id", "words"])
             yield found.filter(pc.greater_equal(matched, min_words))
