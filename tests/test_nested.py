@@ -1,3 +1,4 @@
+import pytest
 import json
 
 from hypothesis import given, settings, strategies as st
@@ -52,3 +53,22 @@ def test_deep_records_and_containment(spark):
     low = nodes_of(nodes, [], "child", {"child_id": "id"})
     assert top.count() == 1 and low.count() == 299
     assert inside(low, top, [], "inner").count() == 299
+
+
+def test_depth_is_no_limit():
+    import json
+
+    from touchline.operators.nested import _read_deep, label, parse
+
+    deep = '{"events": [' * 60_000 + '{"markets": [{"ticker": "T"}]}' + "]}" * 60_000
+    assert [n[3] for n in label(parse(deep), {"markets": "market"})] == ["market"]
+    assert parse(deep[:-1]) is None and parse("[" * 200_000) is None
+    wrapped = json.dumps({"a": 1})
+    for _ in range(12):
+        wrapped = json.dumps(wrapped)
+    assert parse(wrapped) == {"a": 1}
+    for text in ('{"a": [1, {"b": null}, "x", -2.5e3, true, []], "c": {}}', "[]", " [ 1 , 2 ] ", '{"a": {"b": [[]]}, "a": 2}', '"x"'):
+        assert _read_deep(text) == json.loads(text)
+    for text in ("[1,]", '{"a":1,}', "{1: 2}", '{"a" 1}', "[1 2]", "[1]]", "", "[", '{"a":', "[NaN]"):
+        with pytest.raises(ValueError):
+            _read_deep(text)

@@ -154,3 +154,42 @@ def test_one_value_of_a_pair_from_both_sides(spark):
 def test_scripts_are_parted_outside_quotes():
     assert files.statements("a; -- b;\n c ';--' ;; \"x;y\"") == ["a", "c ';--'", '"x;y"']
     assert files.statements("") == []
+
+
+def test_announcements(spark):
+    said = {
+        "Final squad was announced May 18": ("final", "May 18"), "Roster announced on May 21": ("final", "May 21"), "Roster announced May 19": ("final", "May 19"),
+        "Preliminary squad was announced May 12": ("preliminary", "May 12"), "Preliminary roster announced on May 11": ("preliminary", "May 11"),
+        "Provisional toster announced on May 21": ("preliminary", "May 21"), "Roster yet to be announced": (None, None), "": (None, None),
+    }
+    from touchline.functions.scalars import announcement
+
+    df = spark.createDataFrame([(t,) for t in said] + [(None,)], "t string").select("t", announcement(F.col("t")).alias("a"))
+    assert {r.t: (r.a.type, r.a.day) for r in df.collect()} == {**said, None: (None, None)}
+
+
+def test_an_unclosed_club_swallows_nobody():
+    read = lambda t: [(p["name"], p["club"]) for p in html.split_players(t)]
+    assert read("A B (C (D), E F (G), H I (J") == [("A B", "C"), ("E F", "G"), ("H I", "J")]
+    assert read("Ha Ca (Inter, Ka Ay (Gala), Me (B)") == [("Ha Ca", "Inter"), ("Ka Ay", "Gala"), ("Me", "B")]
+    assert read("P A (Foo, Inc.), P B (Bar).") == [("P A", "Foo, Inc."), ("P B", "Bar")]
+
+
+def test_model_types(spark):
+    from touchline.operators.entity import model_type
+
+    kinds = {"elo-baseline": "baseline", "ensemble-v2": "compound", "compound-x": "compound", "manual-tier-list": "human", "wc2026-sim": "simulation", "poisson-xg": "single-source"}
+    df = spark.createDataFrame([(k,) for k in kinds], "m string").select("m", model_type(F.col("m")).alias("k"))
+    assert {r.m: r.k for r in df.collect()} == kinds
+
+
+def test_search_takes_the_best_of_the_first_results(spark):
+    from touchline.operators.entity import best_results
+
+    rows = [
+        ("José Paz", 1, "Paz Team", 9e9, True), ("José Paz", 2, "Jose Pazos", 0.0, False), ("José Paz", 3, "Ana Pazos", 4e5, False), ("José Paz", 6, "Jose Paz", 1e6, False),
+        ("No One", 1, "Else", 0.0, None), ("No One", 2, None, 9e9, False), ("Al Bo Cruz", 1, "Cruz D", 1e5, False), ("Al Bo Cruz", 2, "Cruz E", 1e5, False),
+    ]
+    df = spark.createDataFrame(rows, "q string, place int, name string, fans double, national boolean")
+    got = {r.q: (r.name, r.score) for r in best_results(df, "q", "place", "name", "fans", "national").collect()}
+    assert got == {"José Paz": ("Jose Pazos", 10.0), "Al Bo Cruz": ("Cruz D", 6.0)}

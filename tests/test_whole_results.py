@@ -151,3 +151,25 @@ def test_fuzzy_names_lose_no_pair(spark, kind, least):
     ratio = {"set": token_set_ratio, "sort": token_sort_ratio}[kind]
     want = {(n, m) for b, n in left for m in names if b == "B" and ratio(n, m) >= least}
     assert {(r.l, r.r) for r in E.fuzzy_within(x, y, "b", "a", "c", "l", "r", least, 10, kind).collect()} == want
+
+
+def test_similar_names_match_in_their_context(spark, warehouse):
+    people = [*PLAYERS, ("P000004", "alisson ramses becker", "AKA", "Norte"), ("P000005", "mario rossi", "AKA", "Norte"), ("P000006", "mario rossi neto", "AKA", "Este")]
+    seen = [
+        appearance("f", "Alisson Becker", "Alkovia"), appearance("g", "Alisson Becker", None, "NORTE"), appearance("h", "Alisson Becker", "Dradovia", "Sur"),
+        appearance("i", "Rossi Mario", "AK", "Oeste"), appearance("j", None, "AK"), appearance("k", "Unknown Person", "AK"),
+    ]
+    got = {r.roster_id: (r.match_id, r.match_tier, r.match_reason) for r in QUERIES["e04_fuzzy_tier"](spark, warehouse(people, seen)).collect()}
+    nobody = (None, None, "unmatched")
+    assert got == {
+        "f": ("P000004", "fuzzy", "unique"), "g": ("P000004", "fuzzy", "unique"), "h": nobody, "i": (None, None, "ambiguous_fuzzy_2"), "j": nobody, "k": nobody,
+    }
+
+
+def test_refresh_claims_each_similar_entity_once(spark, warehouse):
+    people = [*PLAYERS, ("P000004", "alisson ramses becker", "AKA", "Norte")]
+    seen = [appearance("a", "José Núñez", "Alkovia", "Este"), appearance("f", "Alisson Becker", "Alkovia", "Oeste"), appearance("g", "Becker Ramses", "Alkovia", "Sur"), appearance("h", "New One", "Alkovia", "Sur")]
+    got = {(r.player_id, r.nn, r.club) for r in QUERIES["e12_master_refresh"](spark, warehouse(people, seen)).collect()}
+    assert {p for p, _, _ in got} == {f"P00000{i}" for i in range(1, 7)}
+    assert ("P000001", "jose nunez", "este") in got and ("P000002", "jose nunez", "sur") in got
+    assert [c for p, _, c in got if p == "P000004"][0] in ("oeste", "sur")

@@ -135,19 +135,16 @@ def accents_off(text: Column, pairs: Mapping[str, str] | None = None) -> Column:
     return F.translate(F.lower(text), frm, to)
 
 
-#: The three kinds of squad announcements, tried in this order.
-ANNOUNCEMENTS = (
-    ("final", r"(?i)final (?:squad|roster|list)[^.]*?(?:announced|named|confirmed)[^.]*?(?:on )?([A-Z][a-z]+ \d{1,2})"),
-    ("preliminary", r"(?i)preliminary (?:squad|roster|list)[^.]*?(?:announced|named)[^.]*?(?:on )?([A-Z][a-z]+ \d{1,2})"),
-    ("roster", r"(?i)(?:roster|squad|toster)[^.]*?(?:to be )?(?:announced|named)[^.]*?(?:on )?([A-Z][a-z]+ \d{1,2})"),
-)
+# What is announced, the kind that it tells, in the order in which they
+# are tried, and how the day follows.
+ANNOUNCED = [(r"\b(?:Preliminary|Provisional)\s+(?:squad|roster|toster)", "preliminary"), (r"\bFinal\s+squad", "final"), (r"\bRoster", "final")]
+ANNOUNCED_DAY = r"\s+(?:was\s+)?announced(?:\s+on)?\s+([A-Z][a-z]+\s+\d{1,2})"
 
 
 def announcement(text: Column) -> Column:
     """``struct(type, day)`` of an announcement; nulls where it says nothing."""
     kind, day = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for name, pattern in reversed(ANNOUNCEMENTS):
-        found = F.regexp_extract(text, pattern, 1)
-        hit = found != ""
-        kind, day = F.when(hit, name).otherwise(kind), F.when(hit, found).otherwise(day)
+    for what, name in reversed(ANNOUNCED):
+        found = F.regexp_extract(text, what + ANNOUNCED_DAY, 1)
+        kind, day = F.when(found != "", name).otherwise(kind), F.when(found != "", found).otherwise(day)
     return F.struct(kind.alias("type"), day.alias("day"))

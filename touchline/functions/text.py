@@ -29,6 +29,9 @@ _UNSEEN = "\u00ad\u034f\u061c" + "".join(map(chr, [*range(0x200B, 0x2010), *rang
 _SPACES = "\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
+_TO_SPACE = str.maketrans(_SPACES, " " * len(_SPACES))
+
+
 def normal_sql(text: str) -> str:
     """SQL of :func:`normalize`."""
     full, plain = "".join(map(chr, range(0xFF01, 0xFF5F))), "".join(map(chr, range(0x21, 0x7F))).replace("'", "''")
@@ -38,19 +41,30 @@ def normal_sql(text: str) -> str:
     return f"trim(regexp_replace(regexp_replace(lower(strip_accents({seen})), '[^a-z0-9\\s-]', ' ', 'g'), '\\s+', ' ', 'g'))"
 
 
-def simple_sql(text: str) -> str:
-    """SQL of :func:`simplify`; characters that SQL would drop with the accents
-    stand aside in the private area meanwhile."""
+def bare_sql(text: str) -> str:
+    """SQL of :func:`bare`; characters that SQL would drop with the accents stand
+    aside in the private area meanwhile."""
     aside = "".join(chr(0xE000 + i) for i in range(len(_UNSEEN)))
-    bare = f"translate(strip_accents(translate({text}, '{_UNSEEN}{_SPACES}', '{aside}{' ' * len(_SPACES)}')), '{aside}', '{_UNSEEN}')"
-    words = f"string_split_regex(trim(lower({bare})), '\\s+')"
+    return f"lower(translate(strip_accents(translate({text}, '{_UNSEEN}{_SPACES}', '{aside}{' ' * len(_SPACES)}')), '{aside}', '{_UNSEEN}'))"
+
+
+def simple_sql(text: str) -> str:
+    """SQL of :func:`simplify`."""
+    words = f"string_split_regex(trim({bare_sql(text)}), '\\s+')"
     return f"CASE WHEN len({words}) < 2 THEN {words}[1] ELSE {words}[1] || ' ' || {words}[-1] END"
 
 
+@lru_cache(maxsize=1 << 16)
+def bare(name: str) -> str:
+    """Lower case without accents, with ordinary spaces."""
+    plain = "".join(c for c in unicodedata.normalize("NFD", name) if not unicodedata.combining(c)).lower()
+    return plain.translate(_TO_SPACE)
+
+
 @lru_cache(maxsize=1 << 16)
 def simplify(name: str) -> str:
     """First and last word, in lower case without accents."""
-    plain = "".join(c for c in unicodedata.normalize("NFD", name) if not unicodedata.combining(c)).lower().split()
+    plain = bare(name).split()
     return " ".join(plain if len(plain) < 2 else (plain[0], plain[-1]))
 
 
@@ -119,6 +133,11 @@ def with_normalized(df: DataFrame, column: str, into: str) -> DataFrame:
     return df.withColumn(into, F.coalesce(_text_udf(normalize)(odd), plain))
 
 
+def with_bare(df: DataFrame, column: str, into: str) -> DataFrame:
+    ship(df.sparkSession)
+    return df.withColumn(into, _text_udf(bare)(F.col(column)))
+
+
 def with_simplified(df: DataFrame, column: str, into: str) -> DataFrame:
     ship(df.sparkSession)
     return df.withColumn(into, _text_udf(simplify)(F.col(column)))

@@ -6,8 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from touchline.functions.text import with_ratio
+from touchline.functions.text import with_bare, with_ratio
 from touchline.operators.relational import top_n
+from touchline.session import cut, scale_partitions
 
 FUZZY, TOP_SCAN = 90.0, 10
 
@@ -83,14 +84,53 @@ def best_pairing(pairs: DataFrame, left: str, right: str, score: str) -> DataFra
     return pairs.withColumn("_l", F.row_number().over(wl)).withColumn("_r", F.row_number().over(wr)).where("_l = 1 and _r = 1").drop("_l", "_r")
 
 
+def resolve_fuzzy(resolved: DataFrame, master: DataFrame, entity: str, name: str, contexts: Sequence[str], least: float = FUZZY, tier: str = "fuzzy") -> DataFrame:
+    """The last tier: rows that no tier matched, by a similar name in one of the
+    ``contexts`` (country, club) that they share with the entity.
+
+    One entity is a match; several are an ambiguity. Names are compared once for
+    each distinct name and context; rows without a name or a context stay
+    unmatched. Takes and gives what :func:`resolve_in_tiers` does.
+    """
+    key = F.concat_ws("\x01", *[F.coalesce(F.col(c), F.lit("\x02")) for c in (name, *contexts)])
+    rows = resolved.withColumn("_key", F.when((F.col("match_reason") == "unmatched") & F.col(name).isNotNull(), key))
+    open_ = rows.where("_key is not null").select("_key", name, *contexts).distinct()
+    found = None
+    for context in contexts:
+        left = open_.where(F.col(context).isNotNull()).select(F.concat_ws("\x01", name, context).alias("_left"), F.col(name).alias("_a"), F.col(context).alias("_c")).distinct()
+        right = master.where(F.col(context).isNotNull() & F.col(name).isNotNull()).select(F.col(context).alias("_c"), F.col(name).alias("_b"), F.col(entity).alias("_id"))
+        pairs = fuzzy_within(left, right, "_c", "_a", "_b", "_left", "_id", least, 1 << 30)
+        mine = open_.withColumn("_left", F.concat_ws("\x01", name, context)).where(F.col(context).isNotNull()).join(pairs, "_left").select("_key", "_id")
+        found = mine if found is None else found.unionByName(mine)
+    counts = found.groupBy("_key").agg(F.countDistinct("_id").alias("_n"), F.min("_id").alias("_id"))
+    joined = rows.join(counts, "_key", "left")
+    hit, one = F.col("_n").isNotNull(), F.col("_n") == 1
+    return joined.select(
+        *[c for c in resolved.columns if not c.startswith("match_")],
+        F.when(hit & one, F.col("_id")).otherwise(F.col("match_id")).alias("match_id"),
+        F.when(hit & one, F.lit(tier)).otherwise(F.col("match_tier")).alias("match_tier"),
+        F.when(hit & one, F.lit("unique")).when(hit, F.concat(F.lit(f"ambiguous_{tier}_"), F.col("_n").cast("string"))).otherwise(F.col("match_reason")).alias("match_reason"),
+    )
+
+
+def claim_similar(rows: DataFrame, master: DataFrame, entity: str, name: str, group: str, least: float = FUZZY) -> DataFrame:
+    """``name, group, _claimed``: rows with the one entity of their group that has a similar
+    name. A row with several such entities claims none, and of the rows that claim
+    one entity the most similar one has it."""
+    left = rows.where(F.col(name).isNotNull() & F.col(group).isNotNull()).select(F.struct(name, group).alias("_row"), F.col(name).alias("_a"), F.col(group).alias("_c"), F.concat_ws("\x01", name, group).alias("_left")).distinct()
+    right = master.select(F.col(group).alias("_c"), F.col(name).alias("_b"), F.col(entity).alias("_claimed"))
+    pairs = fuzzy_within(left, right, "_c", "_a", "_b", "_left", "_claimed", least, 1 << 30)
+    single = pairs.join(pairs.groupBy("_left").agg(F.count("*").alias("_n")).where("_n = 1").select("_left"), "_left")
+    best = best_pairing(single, "_left", "_claimed", "score")
+    return best.join(left, "_left").select(F.col(f"_row.{name}").alias(name), F.col(f"_row.{group}").alias(group), "_claimed")
+
+
 def assign_ids(new: DataFrame, order: Sequence[Column], after: int, prefix: str = "P", width: int = 6, into: str = "player_id") -> DataFrame:
     """New surrogate keys ``P000124...`` from ``after`` on, in the given total order.
 
     Rows are range-partitioned by the order; the sizes of the partitions, one
     number each, give every partition its first key.
     """
-    from touchline.session import cut, scale_partitions
-
     spark = new.sparkSession
     placed = cut(new.repartitionByRange(scale_partitions(spark), *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()))
     sizes = sorted((r["_part"], r["count"]) for r in placed.groupBy("_part").count().collect())
@@ -131,10 +171,26 @@ def sweep_inactive(master: DataFrame, touched: DataFrame, spared: DataFrame, key
     return joined.select(*[F.when(gone, F.lit(False)).otherwise(F.col(c)).alias(c) if c == flag else F.col(c) for c in master.columns])
 
 
-def refresh_master(master: DataFrame, rows: DataFrame, entity: str, tiers: Sequence[tuple[str, Sequence[str]]], fields: Sequence[str], order: Sequence[Column], locked: Sequence[str] = ()) -> DataFrame:
+def refresh_master(
+    master: DataFrame, rows: DataFrame, entity: str, tiers: Sequence[tuple[str, Sequence[str]]], fields: Sequence[str], order: Sequence[Column], locked: Sequence[str] = (), similar: tuple[str, str] | None = None
+) -> DataFrame:
     """The master after a load: known entities updated, new ones added with the
-    next ids, ambiguous rows skipped. Rows must be one an entity."""
+    next ids, ambiguous rows skipped. Rows must be one an entity.
+
+    With ``similar``, a name and a group, rows that no tier matched may claim an
+    entity of the group that no row has touched yet, before they count as new.
+    """
     resolved = resolve_in_tiers(rows, master, entity, tiers)
+    if similar:
+        name, group = similar
+        resolved = cut(resolved)
+        touched = resolved.where("match_id is not null").select(F.col("match_id").alias(entity)).distinct()
+        claimed = claim_similar(resolved.where("match_reason = 'unmatched'"), master.join(touched, entity, "left_anti"), entity, name, group)
+        joined = resolved.join(claimed, [name, group], "left")
+        resolved = joined.select(
+            *[c for c in resolved.columns if not c.startswith("match_")], F.coalesce("match_id", "_claimed").alias("match_id"),
+            F.when(F.col("_claimed").isNotNull(), F.lit("similar")).otherwise(F.col("match_tier")).alias("match_tier"), F.when(F.col("_claimed").isNotNull(), F.lit("unique")).otherwise(F.col("match_reason")).alias("match_reason"),
+        )
     known = resolved.where(F.col("match_id").isNotNull()).withColumn(entity, F.col("match_id"))
     one = top_n(known, [entity], order, 1)
     updated = fill_fields(master, one, entity, fields, locked)
@@ -159,16 +215,38 @@ def birth_tolerant(rows: DataFrame, master: DataFrame, keys: Sequence[str], year
 
 
 def search_score(query: Column, name: Column, popularity: Column) -> Column:
-    """Substring 10, each shared word 5, popularity up to 5."""
-    q, n = F.lower(query), F.lower(name)
-    words = F.size(F.array_intersect(F.split(q, r"\s+"), F.split(n, r"\s+")))
-    return F.when(n.contains(q), 10.0).otherwise(0.0) + words * 5.0 + F.least(popularity / 1e5, F.lit(5.0))
+    """10 where one bare name holds the other, else 5 where a longer word of the
+    query stands in the name, and up to 5 for popularity."""
+    words = F.filter(F.split(query, r"\s+"), lambda w: F.length(w) > 2)
+    agreement = F.when(name.contains(query) | query.contains(name), 10.0).when(F.exists(words, lambda w: name.contains(w)), 5.0).otherwise(0.0)
+    return agreement + F.least(F.coalesce(popularity, F.lit(0.0)) / 1e5, F.lit(5.0))
+
+
+def best_results(results: DataFrame, query: str, place: str, name: str, popularity: str, national: str, first: int = 5, key: str | None = None) -> DataFrame:
+    """``results`` with their ``score``: of each query's ``first`` results the best
+    one that is no national team and scores above zero, the earlier one of equals.
+    ``key`` tells queries of one text apart."""
+    bare = with_bare(with_bare(results.where(F.col(place) <= first), query, "_q"), name, "_n")
+    rows = bare.where(~F.coalesce(F.col(national), F.lit(False)) & F.col("_q").isNotNull() & F.col("_n").isNotNull())
+    scored = rows.withColumn("score", search_score(F.col("_q"), F.col("_n"), F.col(popularity))).where("score > 0")
+    return top_n(scored, [key or query], [F.desc("score"), F.asc(place)], 1).drop("_q", "_n")
+
+
+# Kinds of models by what their id holds, or is, in the order in which
+# they are tried, and the kind of all others.
+MODEL_HOLDS = [("baseline", "baseline"), ("ensemble", "compound"), ("compound", "compound")]
+MODEL_IS = [("manual-tier-list", "human"), ("wc2026-sim", "simulation")]
+MODEL_ELSE = "single-source"
 
 
 def model_type(name: Column) -> Column:
-    """Kind of a model from parts of its id, tried in order."""
-    n = F.lower(name)
-    return F.when(n.contains("ensemble"), "ensemble").when(n.contains("elo"), "rating").when(n.contains("poisson"), "goals").when(n.contains("form"), "form").otherwise("other")
+    """Kind of a model by its id."""
+    kind = F.lit(MODEL_ELSE)
+    for whole, found in reversed(MODEL_IS):
+        kind = F.when(name == whole, found).otherwise(kind)
+    for part, found in reversed(MODEL_HOLDS):
+        kind = F.when(name.contains(part), found).otherwise(kind)
+    return kind
 
 
 def apply_overrides(rows: DataFrame, overrides: DataFrame, alias: str, target: str, column: str) -> DataFrame:

@@ -71,32 +71,37 @@ def calibration_table(df: DataFrame, p: str, y: Column, edges: tuple[float, ...]
     return df.withColumn("bin", place).where("bin is not null").groupBy("bin").agg(F.count("*").alias("n"), F.avg(p).alias("forecast"), F.avg(y).alias("observed"))
 
 
-def bootstrap(df: DataFrame, value: str, resamples: int = 1000, seed: int = 42, low: float = 0.025, high: float = 0.975) -> DataFrame:
-    """``mean, low, high``: percentile interval of a mean.
+def bootstrap(df: DataFrame, values: str | list[str], resamples: int = 10_000, seed: int = 42, low: float = 0.025, high: float = 0.975) -> DataFrame:
+    """``value, mean, low, high``: percentile interval of the mean of each column.
 
     Each row draws its weight in every resample from a Poisson distribution seeded
-    by the row itself, so resamples are sums over partitions: no sample is ever
-    gathered, and the result doesn't depend on the partitioning. ``df`` needs the
-    columns ``row_id`` and ``value``.
+    by the row itself, the same for all columns, so resamples are sums over
+    partitions: no sample is ever gathered, and the result doesn't depend on the
+    partitioning. ``df`` needs ``row_id`` and the ``values``; nulls are left out.
     """
     import numpy as np
 
     ship(df.sparkSession)
-    schema = "resample int, s double, n double"
+    values = [values] if isinstance(values, str) else values
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        s, n = np.zeros(resamples), np.zeros(resamples)
+        s, n = np.zeros((len(values), resamples)), np.zeros((len(values), resamples))
         for batch in batches:
-            for key, v in zip(batch["row_id"], batch["v"]):
+            held = batch[values].to_numpy(float)
+            for key, row in zip(batch["row_id"], held):
                 w = np.random.default_rng((seed, int(key))).poisson(1.0, resamples)
-                s += w * v
-                n += w
-        yield pd.DataFrame({"resample": range(resamples), "s": s, "n": n})
-
-    rows = df.select("row_id", F.col(value).cast("double").alias("v")).dropna()
-    sums = rows.mapInPandas(run, schema).groupBy("resample").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).where("n > 0")
-    spread = sums.agg(F.percentile(F.col("s") / F.col("n"), F.array(F.lit(low), F.lit(high))).alias("q"))
-    return rows.agg(F.avg("v").alias("mean")).crossJoin(F.broadcast(spread)).select("mean", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))  # one row each
+                known = ~np.isnan(row)
+                s[known] += row[known, None] * w
+                n[known] += w
+        for k, name in enumerate(values):
+            yield pd.DataFrame({"value": name, "resample": range(resamples), "s": s[k], "n": n[k]})
+
+    rows = df.select("row_id", *[F.col(v).cast("double").alias(v) for v in values])
+    sums = rows.mapInPandas(run, "value string, resample int, s double, n double").groupBy("value", "resample").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).where("n > 0")
+    # as many values as resamples
+    spread = sums.groupBy("value").agg(F.percentile(F.col("s") / F.col("n"), F.array(F.lit(low), F.lit(high))).alias("q"))
+    means = rows.unpivot([], values, "value", "v").groupBy("value").agg(F.avg("v").alias("mean"))
+    return means.join(spread, "value").select("value", "mean", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
 
 
 def student_tail(t: float, dof: int) -> float:

@@ -37,7 +37,7 @@ def elo(matches: DataFrame, order: Sequence[str], pool: str | None = None, home:
     key = F.col(pool).cast("string") if pool else F.lit("all")
     rows = matches.select(key.alias("pool"), *[F.col(c) for c in order], F.col(home).cast("string").alias("h"), F.col(away).cast("string").alias("a"), F.col(hg).cast("int").alias("hg"), F.col(ag).cast("int").alias("ag"))
     rows = rows.dropna(subset=["h", "a", "hg", "ag"])
-    placed = (rows.repartition("pool") if pool else rows.coalesce(1)).sortWithinPartitions("pool", *order).select("pool", "h", "a", "hg", "ag")
+    placed = (rows.repartition("pool") if pool else rows.repartition(1)).sortWithinPartitions("pool", *order).select("pool", "h", "a", "hg", "ag")
     schema = "pool string, team string, rating double, games bigint"
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

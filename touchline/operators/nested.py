@@ -25,20 +25,80 @@ def _reject(name: str) -> None:
     raise ValueError(f"{name} is no JSON")
 
 
+def _read_deep(text: str) -> object:
+    """The value of a JSON text of any depth; objects and lists that are still open
+    stand in a list instead of on the stack of calls."""
+    flat, space = json.JSONDecoder(parse_constant=_reject), json.decoder.WHITESPACE
+    skip = lambda i: space.match(text, i).end()
+    top: list = []
+    open_: list = [top]
+    keys: list[str] = []
+    at, ready = skip(0), True
+    while True:
+        here = open_[-1]
+        ch = text[at : at + 1]
+        if ready and isinstance(here, dict):
+            if ch != '"':
+                raise ValueError("a key was expected")
+            key, at = json.decoder.scanstring(text, at + 1)
+            at = skip(at)
+            if text[at : at + 1] != ":":
+                raise ValueError("a colon was expected")
+            keys.append(key)
+            at = skip(at + 1)
+            ch = text[at : at + 1]
+        if ready:
+            if ch in ("{", "["):
+                value: object = {} if ch == "{" else []
+                at = skip(at + 1)
+                closed = text[at : at + 1] == ("}" if ch == "{" else "]")
+                at = at + 1 if closed else at
+            else:
+                # neither an object nor a list: one step
+                value, at = flat.raw_decode(text, at)
+                closed = True
+            if isinstance(here, dict):
+                here[keys.pop()] = value
+            else:
+                here.append(value)
+            if not closed:
+                open_.append(value)
+                continue
+        at, ready = skip(at), False
+        here = open_[-1]
+        if here is top:
+            if at != len(text):
+                raise ValueError("text behind the value")
+            return top[0]
+        ch = text[at : at + 1]
+        if ch == ",":
+            at, ready = skip(at + 1), True
+        elif ch == ("}" if isinstance(here, dict) else "]"):
+            open_.pop()
+            at += 1
+        else:
+            raise ValueError("a comma or an end was expected")
+
+
 def parse(text: str | None) -> object | None:
-    """The value of a JSON text; JSON held in a JSON string is unwrapped.
+    """The value of a JSON text; JSON held in a JSON string is unwrapped, however
+    often it was wrapped, and depth is no limit.
 
     None for null, invalid and empty text and for ``null`` itself.
     """
-    for _ in range(8):
-        if text is None:
-            return None
+    while text is not None:
         try:
             value = json.loads(text, parse_constant=_reject)
-        except (ValueError, RecursionError):
+        except RecursionError:
+            try:
+                value = _read_deep(text)
+            except ValueError:
+                return None
+        except ValueError:
             return None
         if not isinstance(value, str):
             return value
+        # each wrapping has its own quotes, so the text gets shorter
         text = value
     return None
 

@@ -31,9 +31,9 @@ def row_issues(df: DataFrame, key: str, rules: Mapping[str, Column]) -> DataFram
     return df.select(F.col(key), F.explode(F.array_compact(F.array(*broken))).alias("issue"))
 
 
-def group_sum_issues(df: DataFrame, keys: Sequence[str], value: str, low: float = 0.99, high: float = 1.01) -> DataFrame:
-    """Groups whose probabilities don't add up."""
-    sums = df.groupBy(*keys).agg(F.round(F.sum(value), 6).alias("total"), F.count("*").alias("n"))
+def group_sum_issues(df: DataFrame, keys: Sequence[str], value: str, market: str = "market_type", low: float = 0.99, high: float = 1.01) -> DataFrame:
+    """Groups whose probabilities don't add up, of the markets whose must."""
+    sums = df.where(F.col(market).isin(*C.SUM_TO_ONE)).groupBy(*keys).agg(F.round(F.sum(value), 6).alias("total"), F.count("*").alias("n"))
     return sums.where(~F.col("total").between(low, high))
 
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from touchline.functions import text as TX
 from touchline.operators import entity as E
@@ -62,7 +63,7 @@ def register(registry: Registry) -> None:
 
 TIERS_SQL = f"""
         WITH m AS (SELECT * REPLACE ({TX.normal_sql('nn')} AS nn) FROM ({MASTER_SQL})), pc AS (SELECT p.*, nullif({TX.normal_sql('player_name')}, '') AS nn, c.code AS cc FROM player_matches p LEFT JOIN {codes_sql('SELECT nation AS typed FROM player_matches')} c ON c.typed = p.nation WHERE roster_id IS NOT NULL),
-        r AS (SELECT roster_id, max(nn) AS nn, max(cc) AS cc, max(lower(trim(team_title))) AS club FROM pc GROUP BY 1),
+        r AS (SELECT roster_id, nn, cc, lower(trim(team_title)) AS club FROM (SELECT *, row_number() OVER (PARTITION BY roster_id ORDER BY loaded_at DESC, player_name NULLS LAST, team_title NULLS LAST, nation NULLS LAST) AS rn FROM pc) WHERE rn = 1),
         k1 AS (SELECT nn, cc, count(DISTINCT player_id) AS n, min(player_id) AS id FROM m WHERE nn IS NOT NULL AND cc IS NOT NULL GROUP BY 1, 2),
         k2 AS (SELECT nn, club, count(DISTINCT player_id) AS n, min(player_id) AS id FROM m WHERE nn IS NOT NULL AND club IS NOT NULL GROUP BY 1, 2),
         k3 AS (SELECT nn, count(DISTINCT player_id) AS n, min(player_id) AS id FROM m WHERE nn IS NOT NULL GROUP BY 1)
@@ -95,6 +96,12 @@ def _entities(add) -> None:
     def e04(spark, d):
         return _tiers(spark, d).select("roster_id", "match_id", "match_tier", "match_reason")
 
+    @add("e04_fuzzy_tier")
+    def e04b(spark, d):
+        players = TX.with_normalized(master(spark, d), "nn", "nn")
+        out = E.resolve_fuzzy(cut(_tiers(spark, d)), players, "player_id", "nn", ["cc", "club"])
+        return out.select("roster_id", "match_id", "match_tier", "match_reason")
+
     @add("e05_ambiguity_report", f"SELECT match_reason, count(*) AS n FROM ({TIERS_SQL}) GROUP BY 1")
     def e05(spark, d):
         return _tiers(spark, d).groupBy("match_reason").agg(F.count("*").alias("n"))
@@ -118,10 +125,19 @@ def _entities(add) -> None:
         p = table(spark, d, "players", ["row_id", "display_name"])
         return TX.with_simplified(p, "display_name", "short").select("row_id", "short")
 
-    @add("e09_search_score", "SELECT c_custkey, CASE WHEN contains(lower(c_name), 'customer') THEN 10.0 ELSE 0.0 END + 0 + least(c_acctbal / 1e5, 5.0) AS score FROM customer")
+    @add("e09_search_score", f"""
+        WITH q AS (SELECT player_id, min(understat_name) AS query FROM players GROUP BY 1),
+        r AS (SELECT q.query, p.player_id, row_number() OVER (PARTITION BY p.player_id ORDER BY row_id) AS place, display_name AS name, row_id % 7 * 90000.0 AS fans, position = 'GK' AS national FROM players p JOIN q USING (player_id) WHERE q.query IS NOT NULL),
+        b AS (SELECT *, {TX.bare_sql('query')} AS q, {TX.bare_sql('name')} AS n FROM r WHERE place <= 5 AND NOT coalesce(national, false) AND name IS NOT NULL),
+        s AS (SELECT *, CASE WHEN contains(n, q) OR contains(q, n) THEN 10.0 WHEN len(list_filter(string_split_regex(q, '\\s+'), lambda w: length(w) > 2 AND contains(n, w))) > 0 THEN 5.0 ELSE 0.0 END + least(fans / 1e5, 5.0) AS score FROM b)
+        SELECT query, player_id, name, score FROM (SELECT *, row_number() OVER (PARTITION BY query || player_id ORDER BY score DESC, place) AS rn FROM s WHERE score > 0) WHERE rn = 1""")
     def e09(spark, d):
-        c = table(spark, d, "customer", ["c_custkey", "c_name", "c_acctbal"])
-        return c.select("c_custkey", E.search_score(F.lit("Customer"), F.col("c_name"), F.col("c_acctbal")).alias("score"))
+        p = table(spark, d, "players", ["row_id", "player_id", "understat_name", "display_name", "position"])
+        q = p.groupBy("player_id").agg(F.min("understat_name").alias("query")).where("query is not null")
+        place = F.row_number().over(Window.partitionBy("player_id").orderBy("row_id"))
+        found = p.join(q, "player_id").select(F.struct("query", "player_id").alias("asked"), "query", "player_id", place.alias("place"), F.col("display_name").alias("name"), (F.col("row_id") % 7 * 90000.0).alias("fans"), (F.col("position") == "GK").alias("national"))
+        best = E.best_results(found, "query", "place", "name", "fans", "national", key="asked")
+        return best.select("query", "player_id", "name", "score")
 
     @add("e10_key_index", f"WITH m AS ({MASTER_SQL}) SELECT nn, cc, count(DISTINCT player_id) AS n, min(player_id) AS id FROM m WHERE nn IS NOT NULL AND cc IS NOT NULL GROUP BY 1, 2")
     def e10(spark, d):
@@ -137,7 +153,7 @@ def _entities(add) -> None:
         m = TX.with_normalized(master(spark, d).select("player_id", "nn", "cc", "club"), "nn", "nn")
         rows = A.with_person_keys(table(spark, d, "player_matches", ["player_name", "nation", "team_title"]), d).withColumn("club", F.lower(F.trim("team_title")))
         one = rows.where("nn is not null").groupBy("nn", "cc").agg(F.max("club").alias("club"))
-        return E.refresh_master(m, one, "player_id", [("name_country", ["nn", "cc"])], ["club"], [F.asc("nn"), F.asc_nulls_last("cc")])
+        return E.refresh_master(m, one, "player_id", [("name_country", ["nn", "cc"])], ["club"], [F.asc("nn"), F.asc_nulls_last("cc")], similar=("nn", "cc"))
 
     @add("e13_birth_tolerant", f"""
         WITH m AS ({MASTER_SQL}), r AS (SELECT DISTINCT nn, cc, byr FROM m WHERE nn IS NOT NULL AND cc IS NOT NULL)
@@ -185,9 +201,14 @@ def _entities(add) -> None:
     def e19(spark, d):
         return table(spark, d, "team_aliases").groupBy("team_code").agg(F.min("alias").alias("name"), F.count("*").alias("n"))
 
-    @add("e20_model_type", "SELECT source, CASE WHEN lower(source) LIKE '%ensemble%' THEN 'ensemble' WHEN lower(source) LIKE '%elo%' THEN 'rating' WHEN lower(source) LIKE '%poisson%' THEN 'goals' WHEN lower(source) LIKE '%form%' THEN 'form' ELSE 'other' END AS kind, count(*) AS n FROM documents WHERE source IS NOT NULL GROUP BY 1, 2")
+    @add("e20_model_type", """
+        WITH m AS (SELECT coalesce(source, 'wc2026-sim') AS model FROM documents UNION ALL SELECT r_name || '-baseline' FROM region UNION ALL SELECT 'ensemble-' || n_name FROM nation UNION ALL SELECT 'compound-' || n_name FROM nation UNION ALL SELECT 'manual-tier-list' FROM region)
+        SELECT model, CASE WHEN model LIKE '%baseline%' THEN 'baseline' WHEN model LIKE '%ensemble%' OR model LIKE '%compound%' THEN 'compound' WHEN model = 'manual-tier-list' THEN 'human' WHEN model = 'wc2026-sim' THEN 'simulation' ELSE 'single-source' END AS kind, count(*) AS n FROM m GROUP BY 1, 2""")
     def e20(spark, d):
-        return table(spark, d, "documents", ["source"]).where("source is not null").groupBy("source", E.model_type(F.col("source")).alias("kind")).agg(F.count("*").alias("n"))
+        region, nation = table(spark, d, "region", ["r_name"]), table(spark, d, "nation", ["n_name"])
+        named = [table(spark, d, "documents", ["source"]).select(F.coalesce("source", F.lit("wc2026-sim"))), region.select(F.concat("r_name", F.lit("-baseline"))), nation.select(F.concat(F.lit("ensemble-"), "n_name")), nation.select(F.concat(F.lit("compound-"), "n_name")), region.select(F.lit("manual-tier-list"))]
+        models = reduce(DataFrame.union, named).toDF("model")
+        return models.groupBy("model", E.model_type(F.col("model")).alias("kind")).agg(F.count("*").alias("n"))
 
     @add("e21_player_lists", f"SELECT nation_name AS nation, {NAME_SQL} AS name, {CLUB_SQL} AS club FROM players WHERE {NAME_SQL} <> ''")
     def e21(spark, d):
@@ -209,8 +230,11 @@ def _entities(add) -> None:
 
 
 def _tiers(spark: SparkSession, d: str) -> DataFrame:
-    r = table(spark, d, "player_matches", ["roster_id", "player_name", "nation", "team_title"]).where("roster_id is not null")
-    rows = A.with_person_keys(r, d).groupBy("roster_id").agg(F.max("nn").alias("nn"), F.max("cc").alias("cc"), F.max(F.lower(F.trim("team_title"))).alias("club"))
+    from touchline.operators.relational import keep_best
+
+    p = table(spark, d, "player_matches", ["roster_id", "player_name", "nation", "team_title", "loaded_at"]).where("roster_id is not null")
+    one = keep_best(p, ["roster_id"], [F.desc("loaded_at"), F.asc_nulls_last("player_name"), F.asc_nulls_last("team_title"), F.asc_nulls_last("nation")])
+    rows = A.with_person_keys(one, d).select("roster_id", "nn", "cc", F.lower(F.trim("team_title")).alias("club"))
     return E.resolve_in_tiers(rows, TX.with_normalized(master(spark, d), "nn", "nn"), "player_id", [("name_country", ["nn", "cc"]), ("name_club", ["nn", "club"]), ("name", ["nn"])])
 
 
@@ -421,7 +445,7 @@ def _quality(add) -> None:
         s = table(spark, d, "polymarket_snapshot", ["snap_id", "as_of_date", "match_id", "market_type", "outcome", "yes_price"])
         return Q.row_issues(s.withColumns({"p_model": F.col("yes_price").cast("string"), "confidence": F.lit("0.5"), "model_version": F.lit("v")}), "snap_id", Q.prediction_rules())
 
-    @add("d03_group_sums", "SELECT match_id, market_type, as_of_date, round(sum(yes_price), 6) AS total, count(*) AS n FROM polymarket_snapshot GROUP BY 1, 2, 3 HAVING NOT (round(sum(yes_price), 6) BETWEEN 0.99 AND 1.01)")
+    @add("d03_group_sums", "SELECT match_id, market_type, as_of_date, round(sum(yes_price), 6) AS total, count(*) AS n FROM polymarket_snapshot WHERE market_type IN ('match_1x2', 'outright_winner', 'group_winner', 'totals', 'btts') GROUP BY 1, 2, 3 HAVING NOT (round(sum(yes_price), 6) BETWEEN 0.99 AND 1.01)")
     def d03(spark, d):
         return Q.group_sum_issues(table(spark, d, "polymarket_snapshot", ["match_id", "market_type", "as_of_date", "yes_price"]), ["match_id", "market_type", "as_of_date"], "yes_price")
 

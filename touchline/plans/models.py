@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from touchline.functions import constants as C
 from touchline.functions import scalars as X
 from touchline.operators import edges as B
 from touchline.operators import evaluation as V
@@ -128,9 +129,9 @@ def _scalars(add) -> None:
         m = table(spark, d, "match_results", ["match_no"])
         return m.select("match_no", X.keyword_weight(name, IMPORTANCE, IMPORTANCE_OF_OTHERS).alias("w"), X.keyword_weight(name, IMPORTANCE, IMPORTANCE_OF_OTHERS, longest=True).alias("w_longest"))
 
-    @add("x10_time_decay", "SELECT match_no, round(exp(-0.0018 * date_diff('day', match_date, DATE '2026-06-11')), 9) AS w FROM match_results")
+    @add("x10_time_decay", "SELECT match_no, round(exp(-0.002 * date_diff('day', match_date, DATE '2026-06-11')), 9) AS w FROM match_results")
     def x10(spark, d):
-        return table(spark, d, "match_results", ["match_no", "match_date"]).select("match_no", F.round(X.time_decay(F.datediff(F.lit("2026-06-11").cast("date"), "match_date"), 0.0018), 9).alias("w"))
+        return table(spark, d, "match_results", ["match_no", "match_date"]).select("match_no", F.round(X.time_decay(F.datediff(F.lit("2026-06-11").cast("date"), "match_date"), C.DECAY), 9).alias("w"))
 
     @add("x11_clip", "SELECT c_custkey, greatest(0, least(5000, c_acctbal)) AS clipped, round(ln(1 + abs(c_acctbal)), 6) AS lg FROM customer")
     def x11(spark, d):
@@ -153,15 +154,17 @@ def _scalars(add) -> None:
         p = table(spark, d, "players", ["row_id", "nation_name"]).where(F.col("nation_name").rlike("^[A-Za-zàáâãäèéêëìíîïòóôõöùúûüçñšžÀ-Ý ]+$"))
         return p.select("row_id", X.accents_off(F.col("nation_name")).alias("plain"))
 
-    @add("x15_announcement", """
-        SELECT row_id, CASE row_id % 4 WHEN 0 THEN 'final' WHEN 1 THEN 'preliminary' WHEN 2 THEN 'roster' END AS type,
-               CASE WHEN row_id % 4 < 3 THEN 'May ' || CAST(1 + row_id % 28 AS VARCHAR) END AS day FROM players""")
+    phrases = ["Final squad was announced ", "Roster announced on ", "Roster announced ", "Preliminary squad was announced ", "Preliminary roster announced on ", "Provisional toster announced on ", "Roster yet to be announced ", "Final list, roster announced "]
+    said = "row_id, list_extract([" + ", ".join(f"'{p}'" for p in phrases) + "], CAST(row_id % 8 + 1 AS INTEGER)) || 'May ' || CAST(1 + row_id % 28 AS VARCHAR) AS t"
+
+    @add("x15_announcement", f"""
+        WITH p AS (SELECT {said} FROM players),
+        x AS (SELECT row_id, nullif(regexp_extract(t, '(Preliminary|Provisional) (squad|roster|toster) (was )?announced (on )?([A-Z][a-z]+ [0-9]+)', 5), '') AS a,
+              nullif(regexp_extract(t, 'Final squad (was )?announced (on )?([A-Z][a-z]+ [0-9]+)', 3), '') AS b, nullif(regexp_extract(t, 'Roster (was )?announced (on )?([A-Z][a-z]+ [0-9]+)', 3), '') AS c FROM p)
+        SELECT row_id, CASE WHEN a IS NOT NULL THEN 'preliminary' WHEN b IS NOT NULL OR c IS NOT NULL THEN 'final' END AS type, coalesce(a, b, c) AS day FROM x""")
     def x15(spark, d):
         p = table(spark, d, "players", ["row_id"])
-        day = F.concat(F.lit("May "), (1 + F.col("row_id") % 28).cast("string"))
-        kind = F.col("row_id") % 4
-        text = F.when(kind == 0, F.concat(F.lit("Final squad announced on "), day)).when(kind == 1, F.concat(F.lit("Preliminary roster named on "), day)).when(
-            kind == 2, F.concat(F.lit("toster to be announced "), day)).otherwise("yet to be announced")
+        text = F.concat(F.element_at(F.array(*map(F.lit, phrases)), (F.col("row_id") % 8 + 1).cast("int")), F.lit("May "), (1 + F.col("row_id") % 28).cast("string"))
         return p.select("row_id", X.announcement(text).alias("a")).select("row_id", "a.*")
 
     @add("x16_epoch_day", "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day FROM orders")
@@ -253,7 +256,7 @@ def _models(add) -> None:
 
     @add("m07_poisson_fit")
     def m07(spark, d):
-        m = A.scored(spark, d).withColumn("w", M.match_weight(F.col("match_date"), "2026-06-11", 0.0018, F.when(F.col("is_ko"), 1.0).otherwise(0.7)))
+        m = A.scored(spark, d).withColumn("w", M.match_weight(F.col("match_date"), "2026-06-11", C.DECAY, F.when(F.col("is_ko"), 1.0).otherwise(0.7)))
         fit = M.poisson_fit(m, "home", "away", "hg", "ag", "w")
         return fit.select("team", *[F.round(c, 6).alias(c) for c in ("attack", "defence", "home_edge")])
 
@@ -370,7 +373,7 @@ def _models(add) -> None:
     def m21(spark, d):
         c = table(spark, d, "customer", ["c_nationkey", "c_acctbal"]).groupBy("c_nationkey").agg((1500 + F.sum("c_acctbal") / 1e5).alias("s"))
         field = [(str(r["c_nationkey"]), float(r["s"])) for r in c.orderBy(F.desc("s"), "c_nationkey").limit(16).collect()]
-        return M.stage_shares(M.simulate_knockout(spark, field, 2000), 4)
+        return M.stage_shares(M.simulate_knockout(spark, field, 10_000), 4)
 
     @add("m22_low_score_correction_and_temperature")
     def m22(spark, d):
@@ -411,9 +414,10 @@ def _evaluation(add) -> None:
 
     @add("v06_bootstrap_interval")
     def v06(spark, d):
-        p = probs(spark, d).where("model = 'elo'")
-        r = p.select(F.col("match_no").alias("row_id"), V.rps(F.col("h"), F.col("d"), F.col("a"), F.col("actual")).alias("rps"))
-        return V.bootstrap(r, "rps", 400).select(*[F.round(c, 6).alias(c) for c in ("mean", "low", "high")])
+        r = V.rps(F.col("h"), F.col("d"), F.col("a"), F.col("actual"))
+        models = ["elo", "cycle", "flat"]
+        wide = probs(spark, d).groupBy(F.col("match_no").alias("row_id")).agg(*[F.max(F.when(F.col("model") == m, r)).alias(m) for m in models])
+        return V.bootstrap(wide, models, 10_000).select("value", *[F.round(c, 6).alias(c) for c in ("mean", "low", "high")])
 
     @add("v07_paired_t")
     def v07(spark, d):

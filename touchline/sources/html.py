@@ -18,8 +18,10 @@ _ESCAPED, _KEPT = re.compile(r"\\(.)", re.S), re.compile("\0(\\d+)\0")
 
 def split_players(text: str, ids: dict[str, str] | None = None, bucket: str | None = None) -> list[dict[str, str | None]]:
     """Players of ``Name (Club), Name (Club)``; a comma inside parentheses parts
-    nothing, and a missing parenthesis at the end is closed. A character after a
-    backslash stands for itself."""
+    nothing. Clubs hold no parentheses, so a second opening one shows that the first
+    was never closed: the player before the last comma ends there, and without a
+    comma the club does. A missing parenthesis at the end is closed. A character
+    after a backslash stands for itself."""
     kept: list[str] = []
     text = _ESCAPED.sub(lambda m: kept.append(m.group(1)) or f"\0{len(kept) - 1}\0", text)
     whole = lambda s: _KEPT.sub(lambda m: kept[int(m.group(1))], s)
@@ -28,9 +30,13 @@ def split_players(text: str, ids: dict[str, str] | None = None, bucket: str | No
         if ch == "," and depth <= 0:
             parts.append(part)
             part, depth = "", 0
-        else:
-            depth += (ch == "(") - (ch == ")")
-            part += ch
+            continue
+        if ch == "(" and depth > 0:
+            ended, comma, begun = part.rpartition(",")
+            parts.append(f"{ended if comma and '(' in ended else part})")
+            part, depth = begun if comma and "(" in ended else "", 0
+        depth = max(0, depth + (ch == "(") - (ch == ")"))
+        part += ch
     out = []
     for entry in (p.strip().strip(".").strip() for p in [*parts, part]):
         m = re.match(r"^(.*?)\s*(?:\((.*?)\)?)?\s*$", entry)
