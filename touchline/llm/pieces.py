@@ -184,3 +184,13 @@ def split_oversized(
 def oversized(pieces: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Ids of the documents that had to be cut."""
     return pieces.where((F.col("pieces") > 1) & (F.col("piece") == 0)).select(id_col).distinct()
+
+
+def rejoin(pieces: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``id_col, text``: the text of each document from its pieces; ``id_col`` must
+    tell documents apart. What a piece repeats of the one before is left out."""
+    one = F.struct("piece", "begin", "end", "text")
+    held = pieces.groupBy(id_col).agg(F.array_sort(F.collect_set(one)).alias("p"))
+    before = lambda i: F.when(i > 0, F.get("p", i - 1)["end"]).otherwise(0)
+    own = F.transform("p", lambda x, i: F.substr(x["text"], before(i) - x["begin"] + 1))
+    return held.select(id_col, F.array_join(own, "").alias("text"))

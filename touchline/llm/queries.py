@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from touchline.llm.canon import asked_names, market_teams, team_matches
-from touchline.llm.encode import encode_corpus
+from touchline.llm.encode import decode_corpus, encode_corpus
 from touchline.llm.leaks import find_leaks
 from touchline.llm.linkage import link_appearances
-from touchline.llm.pieces import oversized, split_oversized
+from touchline.llm.pieces import oversized, rejoin, split_oversized
 from touchline.llm.ranking import rank_teams
 from touchline.llm.unify import find_inconsistent, unify_column
 from touchline.llm.variants import same_people
@@ -25,6 +25,16 @@ def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode_corpus(table(spark, folder, "documents", ["doc_id", "text"]))
 
 
+#: Texts as they are, null as the empty one: what goes through an operator and back.
+TEXTS_SQL = "SELECT doc_id, coalesce(text, '') AS text FROM documents"
+
+
+@registry.add("p8_decoded", TEXTS_SQL)
+def p8_decoded(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text from its own token ids."""
+    return decode_corpus(p8_ids(spark, folder))
+
+
 @registry.add("p6_found")
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     players = find_inconsistent(table(spark, folder, "players", ["row_id", "display_name"]), "row_id", "display_name", "players")
@@ -65,6 +75,12 @@ def p10_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return split_oversized(table(spark, folder, "documents", ["doc_id", "text"]))
 
 
+@registry.add("p10_rejoined", TEXTS_SQL)
+def p10_rejoined(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text from its pieces, without their overlaps."""
+    return rejoin(p10_pieces(spark, folder))
+
+
 def _team_lists(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     return table(spark, folder, "teams", ["team_code", "team_name", "iso2_code"]), table(spark, folder, "team_aliases", ["alias", "team_code"])
 
