@@ -26,7 +26,7 @@ def register(registry: Registry) -> None:
     def p2_found(spark: SparkSession, folder: str) -> DataFrame:
         return _history(spark, folder).select("player_id", F.date_format("valid_from", "yyyy-MM-dd").alias("valid_from"))
 
-    @registry.add("p2_history")
+    @registry.add("p2_history", P2_HISTORY_SQL)
     def p2_history(spark: SparkSession, folder: str) -> DataFrame:
         return _history(spark, folder)
 
@@ -69,6 +69,26 @@ SELECT player_id, strftime(d, '%Y-%m-%d') AS valid_from
 FROM marked WHERE n = 1 OR c IS DISTINCT FROM pc OR a IS DISTINCT FROM pa
 """
 
+P2_HISTORY_SQL = """
+WITH day AS (
+  SELECT player_id, last_updated_at AS d, current_club, is_active,
+         row_number() OVER (PARTITION BY player_id, last_updated_at ORDER BY loaded_at DESC, row_id DESC) AS rn
+  FROM players WHERE player_id IS NOT NULL AND last_updated_at IS NOT NULL
+), clean AS (
+  SELECT player_id, d, CASE WHEN trim(regexp_replace(current_club, '\\s+', ' ', 'g')) <> '' THEN current_club END AS raw, is_active AS a FROM day WHERE rn = 1
+), filled AS (
+  SELECT player_id, d, coalesce(last_value(raw IGNORE NULLS) OVER w, first_value(raw IGNORE NULLS) OVER v) AS raw, coalesce(last_value(a IGNORE NULLS) OVER w, first_value(a IGNORE NULLS) OVER v) AS a
+  FROM clean
+  WINDOW w AS (PARTITION BY player_id ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+         v AS (PARTITION BY player_id ORDER BY d ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+), keyed AS (SELECT *, lower(trim(regexp_replace(raw, '\\s+', ' ', 'g'))) AS c FROM filled
+), marked AS (
+  SELECT *, lag(c) OVER o AS pc, lag(a) OVER o AS pa, row_number() OVER o AS n FROM keyed WINDOW o AS (PARTITION BY player_id ORDER BY d)
+), begun AS (SELECT * FROM marked WHERE n = 1 OR c IS DISTINCT FROM pc OR a IS DISTINCT FROM pa
+), ended AS (SELECT *, lead(d) OVER (PARTITION BY player_id ORDER BY d) AS following FROM begun)
+SELECT player_id, d AS valid_from, CAST(following - INTERVAL 1 DAY AS DATE) AS valid_to, following IS NULL AS is_current, raw AS current_club, a AS is_active FROM ended
+"""
+
 P4_SQL = """
 WITH v AS (SELECT CASE WHEN json_valid(payload) THEN CAST(payload AS JSON) END AS j FROM kxfifaadvance_markets),
 p AS (SELECT CASE WHEN json_type(j) = 'VARCHAR' THEN CASE WHEN json_valid(json_extract_string(j, '$')) THEN CAST(json_extract_string(j, '$') AS JSON) END ELSE j END AS j FROM v),
