@@ -166,12 +166,14 @@ def poisson_outcomes(lam: Column, mu: Column, most: int = GOALS) -> Column:
 
 
 def corrected_outcomes(lam: Column, mu: Column, rho: float, most: int = GOALS) -> Column:
-    """Poisson outcomes with the low-score correction of factor ``rho``."""
-    base = F.exp(-lam - mu)
-    shift = base * (lam * mu * rho)  # 0-0 and 1-1 lose what 1-0 and 0-1 gain, for small goals
+    """Poisson outcomes with the low-score correction of factor ``rho``, kept where
+    no score's probability falls below zero."""
+    bounded = F.greatest(F.least(F.lit(rho), F.lit(1.0), 1 / (lam * mu)), -1 / F.greatest(lam, mu))
+    mass = lambda rate: F.exp(-rate) * sum((F.pow(rate, F.lit(float(k))) / math.factorial(k) for k in range(1, most + 1)), F.lit(1.0))
+    # 0-0 and 1-1 lose what 1-0 and 0-1 gain, inside the same grid of scores
+    shift = F.exp(-lam - mu) * lam * mu * bounded / (mass(lam) * mass(mu))
     plain = poisson_outcomes(lam, mu, most)
-    h, d, a = plain["h"] + shift, plain["d"] - 2 * shift, plain["a"] + shift
-    return F.struct(h.alias("h"), d.alias("d"), a.alias("a"))
+    return F.struct((plain["h"] + shift).alias("h"), (plain["d"] - 2 * shift).alias("d"), (plain["a"] + shift).alias("a"))
 
 
 def xg_rate(attack: Column, mean_attack: Column, defence: Column, mean_defence: Column, base: float = 1.15) -> Column:

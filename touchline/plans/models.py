@@ -52,6 +52,23 @@ def prices(spark: SparkSession, d: str) -> DataFrame:
     return v.withColumn("s", F.sum("v").over(w)).withColumn("n", F.count("*").over(w)).where("n >= 2").select("user_id", "day", "outcome", F.round(F.col("v") / F.col("s") * 1.05, 6).alias("price"))
 
 
+def elo_sql(pool: str) -> str:
+    """The ratings of each pool by a recursive query: one step a match."""
+    step = """30e0 * ln(greatest(abs(hg - ag), 1) + 1) * CASE WHEN abs(hg - ag) >= 3 THEN 1.75e0 WHEN abs(hg - ag) = 2 THEN 1.5e0 ELSE 1e0 END
+        * (CASE WHEN hg > ag THEN 1e0 WHEN hg = ag THEN 0.5e0 ELSE 0e0 END - 1e0 / (1e0 + pow(10e0, (s.r[g.a] - s.r[g.h]) / 400e0)))"""
+    return f"""
+WITH RECURSIVE m AS MATERIALIZED (SELECT pool, row_number() OVER (PARTITION BY pool ORDER BY match_date, match_no) AS i, home, away, hg, ag FROM (SELECT *, CAST({pool} AS VARCHAR) AS pool FROM ({A.SCORED_SQL}))),
+t AS MATERIALIZED (SELECT pool, team, count(*) AS games, row_number() OVER (PARTITION BY pool ORDER BY team) AS k FROM (SELECT pool, home AS team FROM m UNION ALL SELECT pool, away FROM m) GROUP BY 1, 2),
+g AS MATERIALIZED (SELECT m.pool, i, h.k AS h, a.k AS a, hg, ag FROM m JOIN t h ON h.pool = m.pool AND h.team = home JOIN t a ON a.pool = m.pool AND a.team = away),
+s(pool, i, r) AS (
+  SELECT pool, CAST(0 AS BIGINT), list_transform(range(count(*)), lambda x: 1500e0) FROM t GROUP BY pool
+  UNION ALL
+  SELECT pool, i, list_transform(r, lambda x, n: CASE WHEN n = h THEN x + step WHEN n = a THEN x - step ELSE x END)
+  FROM (SELECT g.pool, g.i, s.r, g.h, g.a, {step} AS step FROM s JOIN g ON g.pool = s.pool AND g.i = s.i + 1)),
+f AS (SELECT pool, arg_max(r, i) AS r FROM s GROUP BY pool)
+SELECT t.pool, team, round(f.r[k], 6) AS rating, games FROM t JOIN f ON t.pool = f.pool"""
+
+
 def register(registry: Registry) -> None:
     add = registry.add
     _scalars(add)
@@ -210,11 +227,11 @@ def _scalars(add) -> None:
 
 
 def _models(add) -> None:
-    @add("m01_elo")
+    @add("m01_elo", elo_sql("'all'"))
     def m01(spark, d):
         return M.elo(A.results(spark, d), ["match_date", "match_no"]).withColumn("rating", F.round("rating", 6))
 
-    @add("m01_elo_by_pool")
+    @add("m01_elo_by_pool", elo_sql("year(match_date)"))
     def m01b(spark, d):
         m = A.results(spark, d).withColumn("pool", F.year("match_date"))
         return M.elo(m, ["match_date", "match_no"], pool="pool").withColumn("rating", F.round("rating", 6))
@@ -375,7 +392,13 @@ def _models(add) -> None:
         field = [(str(r["c_nationkey"]), float(r["s"])) for r in c.orderBy(F.desc("s"), "c_nationkey").limit(16).collect()]
         return M.stage_shares(M.simulate_knockout(spark, field, 10_000), 4)
 
-    @add("m22_low_score_correction_and_temperature")
+    @add("m22_low_score_correction_and_temperature", """
+        WITH l AS (SELECT c_custkey, 0.7 + CAST(c_custkey % 12 AS DOUBLE) / 10 AS lam, 0.7 + CAST(c_custkey % 7 AS DOUBLE) / 10 AS mu, 0.03 AS r FROM customer),
+        g AS (SELECT i, j, CAST(factorial(CAST(i AS INTEGER)) AS DOUBLE) AS fi, CAST(factorial(CAST(j AS INTEGER)) AS DOUBLE) AS fj FROM range(0, 9) a(i), range(0, 9) b(j)),
+        p AS (SELECT c_custkey, i, j, exp(-lam) * pow(lam, i) / fi * exp(-mu) * pow(mu, j) / fj
+              * CASE WHEN i = 0 AND j = 0 THEN 1 - lam * mu * r WHEN i = 0 AND j = 1 THEN 1 + lam * r WHEN i = 1 AND j = 0 THEN 1 + mu * r WHEN i = 1 AND j = 1 THEN 1 - r ELSE 1 END AS p FROM l, g),
+        o AS (SELECT c_custkey, pow(sum(CASE WHEN i > j THEN p END) / sum(p), 1 / 1.2e0) AS h, pow(sum(CASE WHEN i = j THEN p END) / sum(p), 1 / 1.2e0) AS d, pow(sum(CASE WHEN i < j THEN p END) / sum(p), 1 / 1.2e0) AS a FROM p GROUP BY 1)
+        SELECT c_custkey, round(h / (h + d + a), 6) AS h, round(d / (h + d + a), 6) AS d, round(a / (h + d + a), 6) AS a FROM o""")
     def m22(spark, d):
         c = table(spark, d, "customer", ["c_custkey"])
         o = M.corrected_outcomes(F.lit(0.7) + F.col("c_custkey") % 12 / 10, F.lit(0.7) + F.col("c_custkey") % 7 / 10, 0.03)
