@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -153,6 +154,39 @@ def test_fuzzy_names_lose_no_pair(spark, kind, least):
     assert {(r.l, r.r) for r in E.fuzzy_within(x, y, "b", "a", "c", "l", "r", least, 10, kind).collect()} == want
 
 
+def test_fuzzy_names_of_one_large_block_meet_by_keys(spark):
+    import random
+
+    from touchline.functions.text import token_set_ratio
+    from touchline.operators import entity as E
+
+    draw = random.Random(11)
+    syllables = [a + b for a in "bdfgklmnprstvz" for b in ("a", "e", "i", "o", "u", "ae", "sta")]
+    first = ["eduardo", "ana", "bartholomew", "jo", "li", "maria", "jean-luc", "a"]
+    names = sorted({" ".join(draw.sample(first, draw.choice([0, 1, 1, 2])) + ["".join(draw.choices(syllables, k=draw.choice([1, 2, 3, 4, 5])))]) for _ in range(1500)} | {"a b c d e", "jo li xu do", "jo li xu da", "a"})
+
+    def miswritten(name: str) -> str:
+        for _ in range(draw.choice([1, 2, 3])):
+            at = draw.randrange(len(name) + 1)
+            name = draw.choice([name[:at] + draw.choice("aeiou ") + name[at:], name[:at] + name[at + 1:], name[:at] + draw.choice("aeiou") + name[at + 1:]])
+        words = name.split()
+        draw.shuffle(words)
+        return " ".join(words)
+
+    left = sorted({miswritten(n) for n in names[::4] for _ in range(2)} | {"a b c d f", "li jo xu do"})
+    x = spark.createDataFrame([("B", n) for n in left], "b string, a string").withColumn("l", F.col("a"))
+    y = spark.createDataFrame([("B", n) for n in names], "b string, c string").withColumn("r", F.col("c"))
+    got = {(r.l, r.r) for r in E.fuzzy_within(x, y, "b", "a", "c", "l", "r", 90.0, None).collect()}
+    assert got == {(n, m) for n in left for m in names if token_set_ratio(n, m) >= 90.0} and len(got) > 500
+    # names meet by keys; the block as a whole would meet in len(left) * len(names) pairs
+    met = E._set_pairs(x.select(F.col("b").alias("_b"), F.col("a").alias("_s")), y.select(F.col("b").alias("_b"), F.col("c").alias("_t")), 90.0)
+    plan = met._jdf.queryExecution().optimizedPlan().toString()
+    assert "_key" in plan[plan.index("Join"):].split("\n")[0]
+    chosen = E.SetKeys(np.ones(E.SetKeys.BUCKETS), 90.0)
+    meet = sum(bool(set(chosen.left(" ".join(sorted(set(n.split()))))) & set(chosen.right(" ".join(sorted(set(m.split())))))) for n in left[:50] for m in names if n)
+    assert meet < 0.4 * 50 * len(names)
+
+
 def test_similar_names_match_in_their_context(spark, warehouse):
     people = [*PLAYERS, ("P000004", "alisson ramses becker", "AKA", "Norte"), ("P000005", "mario rossi", "AKA", "Norte"), ("P000006", "mario rossi neto", "AKA", "Este")]
     seen = [

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import math
+import zlib
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.functions import pandas_udf
 
 from touchline.functions.text import with_bare, with_ratio
 from touchline.operators.relational import top_n
-from touchline.session import cut, scale_partitions
+from touchline.session import cut, scale_partitions, ship
 
 FUZZY, TOP_SCAN = 90.0, 10
 
@@ -49,32 +54,163 @@ def split_matches(resolved: DataFrame) -> tuple[DataFrame, DataFrame]:
     return resolved.where(F.col("match_id").isNotNull()), resolved.where(F.col("match_id").isNull())
 
 
-def fuzzy_within(left: DataFrame, right: DataFrame, block: str, a: str, b: str, left_key: str, right_key: str, least: float = FUZZY, keep: int = TOP_SCAN, kind: str = "set") -> DataFrame:
-    """``left_key, right_key, score``: best similar names inside a block.
+def _words_of(column: Column, kind: str) -> Column:
+    words = F.filter(F.split(column, r"(?U)[\s\x1c-\x1f]+"), lambda x: x != "")
+    return F.array_sort(F.array_distinct(words) if kind == "set" else words)
 
-    The block is an equality join, and every pair in it counts. The JVM drops
-    only what can't reach ``least``: a ratio of r percent leaves no more edits
-    than the rest of both lengths, and a set ratio of names that share no word
-    is that of their sorted words. Each kind of letter that only one name has is
-    an edit, and words in common have bits in common, which spares most pairs the
-    longer tests.
+
+def _grams(word: str) -> list[str]:
+    """Three letters each of a word with the space before it."""
+    padded = " " + word
+    return [padded[i : i + 3] for i in range(max(1, len(padded) - 2))]
+
+
+class SetKeys:
+    """Keys by which two names of a block meet if their set ratio can reach ``least``.
+
+    A ratio of whole names leaves ``room`` single-letter edits, each of which spoils
+    one of the disjoint grams of the left name at most, so of one gram more the right
+    name holds one. A ratio with the shared words leaves a proven length of words
+    out, so one of the rarest words beyond that length is shared. ``counts`` of the
+    right side's grams, in buckets, choose which grams and words stand for a name;
+    they decide how few pairs meet, never which are found.
     """
-    def side(df: DataFrame, key: str, name: str, k: str, n: str, w: str) -> DataFrame:
-        words = F.filter(F.split(F.col(name), r"\s+"), lambda x: x != "")
-        words = F.array_sort(F.array_distinct(words) if kind == "set" else words)
-        return df.where(F.col(name).isNotNull()).select(F.col(block).alias("_b"), F.col(key).alias(k), F.col(name).alias(n), words.alias(w)).distinct()
-
-    x, y = side(left, left_key, a, "_l", "_x", "_v"), side(right, right_key, b, "_r", "_y", "_w")
-    bits = lambda items, value: F.expr(f"aggregate({items}, 0L, (m, i) -> m | shiftleft(1L, pmod({value}, 64)))")
-    x = x.withColumn("_s", F.array_join("_v", " ")).withColumns({"_cx": bits("split(_s, '')", "ascii(i)"), "_hx": bits("_v", "hash(i)")})
-    y = y.withColumn("_t", F.array_join("_w", " ")).withColumns({"_cy": bits("split(_t, '')", "ascii(i)"), "_hy": bits("_w", "hash(i)")})
-    room = f"cast(floor((length(_s) + length(_t)) * {(100 - least) / 100!r} + 1e-6) as int)"
-    close = F.expr(f"bit_count(_cx ^ _cy) <= {room} and abs(length(_s) - length(_t)) <= {room} and levenshtein(_s, _t) <= {room}")
-    able = (F.expr("(_hx & _hy) <> 0") & F.arrays_overlap("_v", "_w")) | close if kind == "set" else close
-    pairs = x.join(y, "_b").where(able).select("_l", "_r", "_x", "_y").distinct()
-    scored = with_ratio(pairs, "_x", "_y", "score", kind).where(F.col("score") >= least)
-    best = scored.groupBy("_l", "_r").agg(F.max("score").alias("score"))
-    return top_n(best, ["_l"], [F.desc("score"), F.asc("_r")], keep).select(F.col("_l").alias(left_key), F.col("_r").alias(right_key), F.round("score", 4).alias("score"))
+
+    BUCKETS = 1 << 16
+
+    def __init__(self, counts: np.ndarray, least: float):
+        self.counts, self.room, self.spare = counts, 2 * (100 - least) / least, (200 - 2 * least) / (200 - least)
+        self.known: dict[str, int] = {}
+
+    def cost(self, gram: str) -> int:
+        found = self.known.get(gram)
+        if found is None:
+            if len(self.known) > 200_000:
+                self.known.clear()
+            found = self.known[gram] = 1 + int(self.counts[zlib.crc32(gram.encode()) % self.BUCKETS])
+        return found
+
+    def rare(self, words: list[str], length: int) -> tuple[set[str], set[str]]:
+        """A gram for each of the rarest words, of which one is shared, and for the others."""
+        marks = sorted((self.cost(g), g, w) for w in words for g in [min(_grams(w), key=lambda g: (self.cost(g), g))])
+        first, rest, spent = set(), set(), 0
+        for _, gram, word in marks:
+            (first if spent <= self.spare * length + 1e-6 else rest).add(gram)
+            spent += len(word) + 1
+        return first, rest
+
+    def left(self, name: str) -> list[str]:
+        words = name.split(" ")
+        first, rest = self.rare(words, len(name))
+        need = math.floor(self.room * len(name) + 1e-6) + 1
+        # best[k]: least cost of k disjoint grams so far, with the grams
+        best: list[list[tuple[int, tuple]]] = [[(0, ())]]
+        for word in words:
+            padded = " " + word
+            for end in range(1, len(padded) + 1):
+                before = best[-1]
+                row = list(before)
+                if end >= 3:
+                    gram, cost = padded[end - 3 : end], self.cost(padded[end - 3 : end])
+                    for k, (spent, taken) in enumerate(best[-3][:need]):
+                        if k + 1 == len(row):
+                            row.append((spent + cost, (gram, taken)))
+                        elif spent + cost < row[k + 1][0]:
+                            row[k + 1] = (spent + cost, (gram, taken))
+                best.append(row)
+        if len(best[-1]) <= need:
+            first.add("*")  # too many short words: meets its whole block
+        else:
+            taken = best[-1][need][1]
+            while taken:
+                first.add(taken[0])
+                taken = taken[1]
+        return [*first, *("=" + g for g in rest)]
+
+    def right(self, name: str) -> list[str]:
+        words = name.split(" ")
+        return [*{g for w in words for g in _grams(w)}, *("=" + g for g in self.rare(words, len(name))[0]), "*"]
+
+
+def _bucket(column: Column) -> Column:
+    return F.pmod(F.crc32(F.encode(column, "utf-8")), F.lit(SetKeys.BUCKETS)).cast("int")
+
+
+def _set_pairs(x: DataFrame, y: DataFrame, least: float) -> DataFrame:
+    """``_b, _s, _t``: pairs of names, as sorted words, that may reach ``least``.
+
+    All that comes to the driver are counts of a fixed number of buckets.
+    """
+    spark = x.sparkSession
+    ship(spark)
+    # blocks of one side only have no pairs
+    blocks = x.select("_b", F.lit(1).alias("k")).union(y.select("_b", F.lit(2))).distinct().groupBy(_bucket(F.col("_b")).alias("bucket")).agg(F.bit_or("k").alias("k")).where("k = 3").toPandas()
+    flags = np.zeros(SetKeys.BUCKETS // 32, dtype=np.int64)
+    np.bitwise_or.at(flags, blocks["bucket"].to_numpy(int) // 32, 1 << (blocks["bucket"].to_numpy(np.int64) % 32))
+    listed, at = f"array({', '.join(f'{v}L' for v in flags.tolist())})", f"cast(pmod(crc32(encode(_b, 'utf-8')), {SetKeys.BUCKETS}) as int)"
+    both = F.expr(f"get({listed}, shiftright({at}, 5)) & shiftleft(1L, pmod({at}, 32)) <> 0")
+    # one row a name; its keys are chosen once
+    sides = [df.where(both).groupBy(n).agg(F.collect_set("_b").alias("_blocks")) for df, n in ((x, "_s"), (y, "_t"))]
+    grams = F.flatten(F.transform(F.split("_t", " "), lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(w) - 1)), lambda i: F.concat(F.lit(" "), w).substr(i, F.lit(3)))))
+    table = y.where(both).select(F.explode(grams).alias("gram")).groupBy(_bucket(F.col("gram")).alias("bucket")).count().toPandas()
+    counts = np.zeros(SetKeys.BUCKETS, dtype=np.int64)
+    counts[table["bucket"].to_numpy(int)] = table["count"].to_numpy()
+    shared = spark.sparkContext.broadcast(counts)
+
+    def keys(side: str):
+        @pandas_udf("array<string>")
+        def run(s: pd.Series) -> pd.Series:
+            choose = getattr(SetKeys(shared.value, least), side)
+            return pd.Series([choose(n) for n in s], dtype=object)
+
+        return run.asNondeterministic()  # else filters of what follows choose them again
+
+    def spread(df: DataFrame, name: str, side: str, block: str, mask: str, size: str) -> DataFrame:
+        # in one number the kinds of letters, and above them the words
+        letters = F.expr(f"aggregate(split({name}, ''), 0L, (m, i) -> m | shiftleft(1L, pmod(ascii(i), 32)))")
+        words = F.expr(f"aggregate(split({name}, ' '), 0L, (m, i) -> m | shiftleft(1L, 32 + pmod(hash(i), 32)))")
+        keyed = df.select(name, letters.bitwiseOR(words).alias(mask), F.length(name).alias(size), "_blocks", keys(side)(name).alias("_keys"))
+        rows = keyed.select(name, mask, size, "_keys", F.explode("_blocks").alias(block)).select(name, mask, size, block, F.explode("_keys").alias("_k"))
+        return rows.select(F.xxhash64(block, "_k").alias("_key"), name, mask, size, block)
+
+    met = spread(sides[0], "_s", "left", "_b", "_m", "_i").join(spread(sides[1], "_t", "right", "_c", "_n", "_j"), "_key")
+    room = f"cast(floor((_i + _j) * {(100 - least) / 100!r}D + 1e-6D) as int)"
+    spare = (200 - 2 * least) / (200 - least)
+    fewer = lambda m, n, size: f"bit_count({m} & ~{n} & 4294967295L) <= {size} * {spare!r}D + 1e-6D"
+    common = "length(array_join(array_intersect(split(_s, ' '), split(_t, ' ')), ' '))"
+    within = f"shiftrightunsigned(_m & _n, 32) <> 0 and ({fewer('_m', '_n', '_i')} or {fewer('_n', '_m', '_j')}) and {common} > 0 and {common} * {200 - least!r}D + 1e-6D >= {least!r}D * least(_i, _j)"
+    rest = lambda s, t: f"array_join(array_except(split({s}, ' '), split({t}, ' ')), ' ')"
+    close = f"abs(_i - _j) <= {room} and bit_count((_m ^ _n) & 4294967295L) <= {room} and levenshtein({rest('_s', '_t')}, {rest('_t', '_s')}, {room}) >= 0"
+    return met.where(F.expr(f"_b = _c and (({close}) or ({within}))")).select("_b", "_s", "_t").distinct()
+
+
+def fuzzy_within(left: DataFrame, right: DataFrame, block: str, a: str, b: str, left_key: str, right_key: str, least: float = FUZZY, keep: int | None = TOP_SCAN, kind: str = "set") -> DataFrame:
+    """``left_key, right_key, score``: best similar names inside a block, all of them
+    where ``keep`` is None.
+
+    Both ratios look at sorted words, so each name of that form counts once in its
+    block. Set ratios meet by :class:`SetKeys`, which lose no pair that reaches
+    ``least``; sort ratios compare every pair of the block. The JVM drops only what
+    can't reach ``least``: a ratio of r percent leaves no more edits than the rest of
+    both lengths, and each kind of letter that only one name has is an edit.
+    """
+    def side(df: DataFrame, key: str, name: str, k: str, s: str) -> DataFrame:
+        words = F.array_join(_words_of(F.col(name), kind), " ")
+        named = df.where(F.col(name).isNotNull() & F.col(block).isNotNull()).select(F.col(block).alias("_b"), F.col(key).alias(k), words.alias(s))
+        return (named.where(F.col(s) != "") if kind == "set" and least > 0 else named).distinct()
+
+    x, y = side(left, left_key, a, "_l", "_s"), cut(side(right, right_key, b, "_r", "_t"))
+    if kind == "set" and least > 0:
+        pairs = _set_pairs(x.select("_b", "_s").distinct(), y.select("_b", "_t").distinct(), least)
+    else:
+        room = f"cast(floor((length(_s) + length(_t)) * {(100 - least) / 100!r}D + 1e-6D) as int)"
+        close = F.expr(f"bit_count(_m ^ _n) <= {room} and abs(length(_s) - length(_t)) <= {room} and levenshtein(_s, _t) <= {room}") if kind == "sort" else F.lit(True)
+        bits = lambda s: F.expr(f"aggregate(split({s}, ''), 0L, (m, i) -> m | shiftleft(1L, pmod(ascii(i), 64)))")
+        pairs = x.select("_b", "_s").distinct().withColumn("_m", bits("_s")).join(y.select("_b", "_t").distinct().withColumn("_n", bits("_t")), "_b").where(close).select("_b", "_s", "_t")
+    scored = with_ratio(pairs, "_s", "_t", "score", kind).where(F.col("score") >= least)
+    best = scored.join(x, ["_b", "_s"]).join(y, ["_b", "_t"]).groupBy("_l", "_r").agg(F.max("score").alias("score"))
+    best = top_n(best, ["_l"], [F.desc("score"), F.asc("_r")], keep) if keep is not None else best
+    return best.select(F.col("_l").alias(left_key), F.col("_r").alias(right_key), F.round("score", 4).alias("score"))
 
 
 def best_pairing(pairs: DataFrame, left: str, right: str, score: str) -> DataFrame:
@@ -95,14 +231,16 @@ def resolve_fuzzy(resolved: DataFrame, master: DataFrame, entity: str, name: str
     key = F.concat_ws("\x01", *[F.coalesce(F.col(c), F.lit("\x02")) for c in (name, *contexts)])
     rows = resolved.withColumn("_key", F.when((F.col("match_reason") == "unmatched") & F.col(name).isNotNull(), key))
     open_ = rows.where("_key is not null").select("_key", name, *contexts).distinct()
-    found = None
-    for context in contexts:
-        left = open_.where(F.col(context).isNotNull()).select(F.concat_ws("\x01", name, context).alias("_left"), F.col(name).alias("_a"), F.col(context).alias("_c")).distinct()
-        right = master.where(F.col(context).isNotNull() & F.col(name).isNotNull()).select(F.col(context).alias("_c"), F.col(name).alias("_b"), F.col(entity).alias("_id"))
-        pairs = fuzzy_within(left, right, "_c", "_a", "_b", "_left", "_id", least, 1 << 30)
-        mine = open_.withColumn("_left", F.concat_ws("\x01", name, context)).where(F.col(context).isNotNull()).join(pairs, "_left").select("_key", "_id")
-        found = mine if found is None else found.unionByName(mine)
-    counts = found.groupBy("_key").agg(F.countDistinct("_id").alias("_n"), F.min("_id").alias("_id"))
+
+    def placed(df: DataFrame, *keep: Column) -> DataFrame:
+        """A row for each context that is known."""
+        places = F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{c}\x01"), F.col(c))) for c in contexts]))
+        return df.where(F.col(name).isNotNull()).select(*keep, F.explode(places).alias("_c"))
+
+    left = placed(open_, F.col("_key"), F.col(name).alias("_a"))
+    right = placed(master, F.col(entity).alias("_id"), F.col(name).alias("_n"))
+    pairs = fuzzy_within(left, right, "_c", "_a", "_n", "_key", "_id", least, None)
+    counts = pairs.groupBy("_key").agg(F.count("*").alias("_n"), F.min("_id").alias("_id"))
     joined = rows.join(counts, "_key", "left")
     hit, one = F.col("_n").isNotNull(), F.col("_n") == 1
     return joined.select(
@@ -119,7 +257,7 @@ def claim_similar(rows: DataFrame, master: DataFrame, entity: str, name: str, gr
     one entity the most similar one has it."""
     left = rows.where(F.col(name).isNotNull() & F.col(group).isNotNull()).select(F.struct(name, group).alias("_row"), F.col(name).alias("_a"), F.col(group).alias("_c"), F.concat_ws("\x01", name, group).alias("_left")).distinct()
     right = master.select(F.col(group).alias("_c"), F.col(name).alias("_b"), F.col(entity).alias("_claimed"))
-    pairs = fuzzy_within(left, right, "_c", "_a", "_b", "_left", "_claimed", least, 1 << 30)
+    pairs = fuzzy_within(left, right, "_c", "_a", "_b", "_left", "_claimed", least, None)
     single = pairs.join(pairs.groupBy("_left").agg(F.count("*").alias("_n")).where("_n = 1").select("_left"), "_left")
     best = best_pairing(single, "_left", "_claimed", "score")
     return best.join(left, "_left").select(F.col(f"_row.{name}").alias(name), F.col(f"_row.{group}").alias(group), "_claimed")
