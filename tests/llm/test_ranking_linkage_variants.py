@@ -194,3 +194,26 @@ def test_channel_keeps_relatives_apart():
     assert best_channel(["anna varolensen"], ["varolensen a"], {}) > 0
     assert best_channel(["anna varolensen"], ["boris varolensen"], {}) < best_channel(["anna varolensen"], ["anna varolenzen"], {})
     assert best_channel([], ["x"], {}) < 0
+
+
+def test_common_words_lose_no_candidate(spark):
+    from touchline.llm import linkage as L
+
+    syllables = [a + b for a in "bdfgklmnprtvz" for b in "aeiou"]
+    families = ["".join(syllables[(i * k + j) % 65] for j, k in enumerate((1, 7, 11, 17))) for i in range(60)]
+    known = [(f"m{i}", 1, f"maria {f}") for i, f in enumerate(families)] + [(f"s{i}", 1, f"{f[::-1]} silva") for i, f in enumerate(families)]
+    known += [("garbled", 1, "maria lemikeara"), ("shorter", 1, "maria silva"), ("nation", None, "maria lemikeara")]
+    schema = "player_id string, p_nation bigint, p_line int, stays array<struct<club:string,first_day:date,last_day:date>>, spelled array<string>"
+    master = spark.createDataFrame([(i, n, None, [("norte", None, None)] if i != "nation" else [], [s]) for i, n, s in known], schema)
+    assert L.common_words(master) == ["maria", "silva"]
+    # neither beginning nor end of the rare word is spared; all words of the shorter name are common
+    seen = [("maria leimkeara", "norte", None), ("maria silva lopez", "norte", None), ("leimkeara maria", None, None), ("silva mariaa lopez", None, 1)]
+    apps = spark.createDataFrame(seen, "folded string, club string, nation bigint")
+    got = {r.folded: {c.player_id: c.name for c in r.found} for r in L.candidates(apps, master).collect()}
+    assert got["maria leimkeara"]["garbled"] == 4
+    assert {got["leimkeara maria"].get(p) for p in ("garbled", "nation")} == {4}
+    assert got["maria silva lopez"]["shorter"] == 4
+    # a name of common words only agrees by all of them
+    plain = L.candidates(spark.createDataFrame([("silva maria", "norte", 1), ("maria silva", None, 1)], "folded string, club string, nation bigint"), spark.createDataFrame([*master.collect(), ("longer", 1, None, [], ["maria silva lopez"])], schema))
+    got = {r.folded: {c.player_id: c.name for c in r.found} for r in plain.collect()}
+    assert got["maria silva"]["longer"] == got["silva maria"]["longer"] == 4 and "m3" not in got["maria silva"]
