@@ -217,3 +217,37 @@ def test_common_words_lose_no_candidate(spark):
     plain = L.candidates(spark.createDataFrame([("silva maria", "norte", 1), ("maria silva", None, 1)], "folded string, club string, nation bigint"), spark.createDataFrame([*master.collect(), ("longer", 1, None, [], ["maria silva lopez"])], schema))
     got = {r.folded: {c.player_id: c.name for c in r.found} for r in plain.collect()}
     assert got["maria silva"]["longer"] == got["silva maria"]["longer"] == 4 and "m3" not in got["maria silva"]
+
+
+def test_spellings_of_a_common_word_share_blocks(spark):
+    from touchline.llm import linkage as L
+
+    syllables = [a + b for a in "bdfgklmnprtvz" for b in "aeiou"]
+    families = ["".join(syllables[(i * k + j) % 65] for j, k in enumerate((1, 7, 11, 17))) for i in range(60)]
+    known = [(f"a{i}", f"mariana {f}") for i, f in enumerate(families)] + [(f"e{i}", f"marianne {f[::-1]}") for i, f in enumerate(families)] + [("garbled", "mariana lemikeara")]
+    schema = "player_id string, p_nation bigint, p_line int, stays array<struct<club:string,first_day:date,last_day:date>>, spelled array<string>"
+    master = spark.createDataFrame([(i, 1, None, [("norte", None, None)], [s]) for i, s in known], schema)
+    assert L.families(L.common_words(master)) == {"mariana": "mariana", "marianne": "mariana"}
+    # neither club nor nation, the other spelling, and no end of the rare word spared
+    apps = spark.createDataFrame([("marianne leimkeara", None, None)], "folded string, club string, nation bigint")
+    got = {c.player_id: c.name for r in L.candidates(apps, master).collect() for c in r.found}
+    assert got["garbled"] == 4
+
+
+def test_a_pair_meets_in_few_blocks(spark):
+    from touchline.llm import linkage as L
+
+    common = ["mariana", "silva"]
+    spots = [("x", ["mariana lemikeara", "lemikeara mariana"], [1], [2], [3], None), ("y", ["mariana silva"], [1], [2], [3], None)]
+    df = spark.createDataFrame(spots, "id string, names array<string>, at array<bigint>, inside array<bigint>, anywhere array<bigint>, lost array<bigint>")
+    keys = L._keys(df, "id", F.col("names"), common)
+    assert keys.groupBy("id", "k", "w").count().where("count > 1").count() == 0
+    ours, theirs = keys.where("id = 'x'"), keys.where("id = 'x'").selectExpr("k", "w as v")
+    both = ours.join(theirs, "k")
+    # by the rare word's beginning, and by both words inside a nation and anywhere; of
+    # all other keys that are equal it is known that one of these is
+    assert both.where(L._meets(F.col("w"), F.col("v"))).count() == 3 < both.count()
+    # common words only: each beside the other, and the first letter of either in the
+    # other's block; each word serves for want of a rare one besides
+    ours, theirs = keys.where("id = 'y'"), keys.where("id = 'y'").selectExpr("k", "w as v")
+    assert ours.join(theirs, "k").where(L._meets(F.col("w"), F.col("v"))).count() == 8
